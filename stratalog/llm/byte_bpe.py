@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,27 +154,27 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_at = batch.schema.get_field_index("__words")
         keys = batch.remove_column(words_at)
         column = batch.column(words_at)
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
         values = column.flatten()
-        sizes = np.concatenate([[0], np.cumsum(pa.compute.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))])
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))])
         row = 0
         while row < batch.num_rows:
             first = int(ends[row - 1]) if row else 0
             stop = max(row + 1, int(np.searchsorted(sizes[ends], sizes[first] + CHUNK_BYTES, "right")))
             stop = min(stop, batch.num_rows)
             part = values.slice(first, int(ends[stop - 1]) - first).dictionary_encode()
-            known = pa.compute.index_in(part.dictionary, value_set=seen)
+            known = pc.index_in(part.dictionary, value_set=seen)
             fresh = len(seen) > MEMORY_WORDS
             if fresh or not len(seen):
                 fresh, known, seen = True, pa.nulls(len(part.dictionary), pa.int32()), pa.array([], pa.string())
-            new = pa.compute.is_null(known)
+            new = pc.is_null(known)
             added = part.dictionary.filter(new)
             number = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32, copy=True)
             number[new.to_numpy(zero_copy_only=False)] = len(seen) + np.arange(len(added), dtype=np.int32)
             seen = pa.concat_arrays([seen, added])
             numbers = number[part.indices.to_numpy()] if len(part) else np.zeros(0, np.int32)
             raw = added.cast(pa.binary())
-            spans = np.concatenate([[0], np.cumsum(pa.compute.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64))]).astype(np.int32)
+            spans = np.concatenate([[0], np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64))]).astype(np.int32)
             data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(np.int32)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, keys.schema) as out:
@@ -201,7 +202,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = batch.column(1).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
             numbers = batch.column(2).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
             words = batch.column(4).slice(i, 1).flatten()
-            n = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
             if batch.column(3)[i].as_py():
                 flat, starts, lengths = flat[:0], starts[:0], lengths[:0]
             starts = np.concatenate([starts, len(flat) + np.cumsum(n) - n])

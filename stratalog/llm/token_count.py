@@ -20,6 +20,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,15 +142,15 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in batches:
         at = batch.schema.get_field_index("__words")
         column = batch.column(at)
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         part = column.flatten().dictionary_encode()
         if len(seen) > MEMORY_WORDS:
             seen, tokens = seen.slice(0, 0), tokens[:0]
-        known = pa.compute.index_in(part.dictionary, value_set=seen) if len(seen) else pa.nulls(len(part.dictionary), pa.int32())
-        new = pa.compute.is_null(known)
+        known = pc.index_in(part.dictionary, value_set=seen) if len(seen) else pa.nulls(len(part.dictionary), pa.int32())
+        new = pc.is_null(known)
         added = part.dictionary.filter(new)
         raw = added.cast(pa.binary())
-        lengths = pa.compute.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
         data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
         spans, fresh, start = np.concatenate([[0], np.cumsum(lengths)]), [], 0
         while start < len(lengths):
