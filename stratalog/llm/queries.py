@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import byte_bpe, license_scan, mixing, url_filter
+from stratalog.llm import byte_bpe, kn_quality, license_scan, mixing, simhash, token_count, toxicity, url_filter
 from stratalog.llm.common import read
 
 
@@ -17,10 +17,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": kn_quality.query,
         "op2_url_filter": url_filter.query,
         "op3_license_scan": license_scan.query,
         "op5_byte_bpe": op5,
+        "op6_toxicity": toxicity.query,
         "op7_mixing": mixing.query,
+        "op8_token_count": token_count.query,
+        "op10_simhash": simhash.query,
     }
 
 
