@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stratalog.llm import byte_bpe, kn_quality, license_scan, mixing, simhash, token_count, toxicity, url_filter
+from stratalog.llm import byte_bpe, html_crf, itq, kn_quality, license_scan, mixing, simhash, token_count, toxicity, url_filter
 from stratalog.llm.common import read
 
 
@@ -20,10 +19,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": kn_quality.query,
         "op2_url_filter": url_filter.query,
         "op3_license_scan": license_scan.query,
+        "op4_html_extract": html_crf.query,
         "op5_byte_bpe": op5,
         "op6_toxicity": toxicity.query,
         "op7_mixing": mixing.query,
         "op8_token_count": token_count.query,
+        "op9_itq": itq.query,
         "op10_simhash": simhash.query,
     }
 
