@@ -1,0 +1,36 @@
+"""The model's tables. Ids are strings or longs, digests lower-case hex, times microseconds since 1970 (UTC)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+
+
+DDL = {
+    "artifact": "tenant_id string, artifact_id bigint, sha256 string, seq bigint, size_bytes bigint, artifact_class string, scope string, storage_state string",
+    "occurrence": "tenant_id string, artifact_id bigint, host_name bigint, boot_id string, agent_sequence bigint, path string, observed_at bigint, received_at bigint",
+    "capture_attempt": "tenant_id string, host_name string, path string, outcome string, observed_at bigint",
+    "rule": "tenant_id string, namespace string, stable_id string, source string",
+    "hunt_match": "hunt_id string, tenant_id string, artifact_id bigint, rule_id string",
+    "scan_cache": "tenant_id string, artifact_sha256 string, rule_bundle_digest string, engine_version string, scan_config_digest string, status string, rules array<string>",
+    "edge": "tenant_id string, src bigint, dst bigint, edge_type string, score double, model_version string, evidence string",
+    "opinion": "tenant_id string, artifact_id bigint, opinion_id bigint, opinion string, created_at bigint",
+    "indicator": "tenant_id string, source string, ioc_type string, value string, raw string, seen_at bigint",
+    "trigger_rule": "tenant_id string, trigger_id string, condition string, url string, enabled boolean",
+    "detection": "tenant_id string, artifact_id bigint, severity string, source string, mitre array<string>, created_at bigint",
+    "telemetry": "tenant_id string, host_name string, segment string, event string",
+}
+
+
+def schema(table: str) -> T.StructType:
+    return T.StructType.fromDDL(DDL[table])
+
+
+def check(df: DataFrame, table: str) -> DataFrame:
+    """df, if it has the columns of a table with their types; other columns may follow."""
+    have = dict(df.dtypes)
+    wrong = {f.name: (f.dataType.simpleString(), have.get(f.name)) for f in schema(table) if have.get(f.name) != f.dataType.simpleString()}
+    if wrong:
+        raise ValueError(f"{table}: {wrong}")
+    return df
