@@ -28,12 +28,12 @@ def test_byte_bpe_equals_tiktoken(spark, odd):
     plain = tiktoken.Encoding("plain", pat_str=byte_bpe.default_pattern(), mergeable_ranks=byte_bpe.load_ranks(byte_bpe.default_ranks_path()), special_tokens={})
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).unionByName(odd.select(F.col("doc_id") + 10**6, "text").toDF("doc_id", "text"))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    rows = byte_bpe.digests(byte_bpe.encode(docs)).collect()
+    rows = byte_bpe.encode(docs, digests=True).withColumn("d", F.sha2(byte_bpe.decode(F.col("ids")), 256)).collect()
     assert len(rows) == docs.count()
     for r in rows:
         ids = plain.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+        assert r.ids == ids and r.d == r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     assert byte_bpe.encode(odd.limit(0)).count() == 0
 
 
