@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalog.functions import scalars as S
-from stratalog.operators import analyst, events, graph, hunts, ledger, similarity
+from stratalog.operators import analyst, catalogue, events, graph, hunts, ledger, similarity
 from stratalog.sources import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,3 +595,117 @@ def classify(spark, sf_dir):
 def content_range(spark, sf_dir):
     b = F.encode("text", "utf-8")
     return B.table(spark, sf_dir, "documents").where(F.octet_length("text") >= 24).select("doc_id", F.sha2(b, 256).alias("sha256"), F.octet_length(b).cast("long").alias("size_bytes"), F.hex(F.substring(b, 17, 8)).alias("range_hex"))
+
+
+# --- dimensions and views ---------------------------------------------------------------------------
+
+
+@query("""WITH tenant AS (SELECT 'id-' || s_suppkey AS tenant_id, 'slug-' || s_suppkey AS slug, CASE WHEN s_suppkey % 7 = 0 THEN 'suspended' ELSE 'active' END AS state FROM supplier UNION ALL SELECT 'id-default', 'default', 'active'),
+request AS (SELECT event_id AS request_id, CASE event_id % 4 WHEN 0 THEN 'id-' || user_id WHEN 1 THEN ' SLUG-' || user_id || ' ' WHEN 2 THEN '' END AS spec FROM events)
+SELECT request_id, t.tenant_id FROM request r LEFT JOIN tenant t ON t.state = 'active' AND lower(CASE WHEN coalesce(trim(spec), '') = '' THEN 'default' ELSE trim(spec) END) IN (t.tenant_id, t.slug)""")
+def tenant_resolution(spark, sf_dir):
+    k, name = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    tenant = B.table(spark, sf_dir, "supplier").select(F.concat(F.lit("id-"), name).alias("tenant_id"), F.concat(F.lit("slug-"), name).alias("slug"), F.when(k % 7 == 0, "suspended").otherwise("active").alias("state"))
+    tenant = tenant.unionByName(spark.createDataFrame([("id-default", "default", "active")], "tenant_id string, slug string, state string"))
+    k, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    spec = F.when(k == 0, F.concat(F.lit("id-"), user)).when(k == 1, F.concat(F.lit(" SLUG-"), user, F.lit(" "))).when(k == 2, "")
+    return catalogue.resolve_tenant(B.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), spec.alias("spec")), tenant)
+
+
+@query("SELECT 't0' AS tenant_id, 'ns' || (p_size % 3) AS namespace, p_name AS stable_id, count(DISTINCT p_type) AS sources, count(*) AS offers FROM part GROUP BY 1, 2, 3 HAVING count(DISTINCT p_type) > 1")
+def rule_conflicts(spark, sf_dir):
+    p = B.table(spark, sf_dir, "part")
+    return catalogue.rule_conflicts(p.select(F.lit("t0").alias("tenant_id"), F.concat(F.lit("ns"), (F.col("p_size") % 3).cast("string")).alias("namespace"), F.col("p_name").alias("stable_id"), F.col("p_type").alias("source")))
+
+
+@query("""WITH rule AS (SELECT 'u' || p_partkey AS rule_id, 'r' || (p_partkey // 2) AS stable_id FROM part), spec AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'u' || l_partkey ELSE 'r' || l_partkey END AS spec FROM lineitem)
+SELECT spec, coalesce(a.rule_id, b.rule_id) AS rule_id FROM spec LEFT JOIN rule a ON a.rule_id = spec LEFT JOIN (SELECT stable_id, min(rule_id) AS rule_id FROM rule GROUP BY 1) b ON b.stable_id = spec""")
+def rule_resolution(spark, sf_dir):
+    rule = B.table(spark, sf_dir, "part").select(F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("rule_id"), F.concat(F.lit("r"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("stable_id"))
+    k = F.col("l_partkey").cast("string")
+    spec = B.table(spark, sf_dir, "lineitem").select(F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("u"), k)).otherwise(F.concat(F.lit("r"), k)).alias("spec")).distinct()
+    return catalogue.resolve_rule(spec, rule)
+
+
+@query("""SELECT event_id, '{"type":"' || event_type || '","score":"' || (event_id % 100) || '"}' AS evidence FROM events""")
+def evidence_strip(spark, sf_dir):
+    whole = F.to_json(F.struct(F.col("event_type").alias("type"), F.lit("x").alias("secret"), (F.col("event_id") % 100).cast("string").alias("score"), F.lit("y").alias("matched_feature")))
+    return B.table(spark, sf_dir, "events").select("event_id", catalogue.evidence_strip(whole).alias("evidence"))
+
+
+@query("""SELECT o_orderkey, sha256(string_agg(lower(n) || chr(0), '' ORDER BY lower(n))) AS import_hash FROM (SELECT DISTINCT o_orderkey, unnest([o_orderpriority, o_orderstatus, 'LoadLibrary', 'loadlibrary']) AS n FROM orders WHERE o_orderkey < 5000) t
+WHERE n <> 'loadlibrary' GROUP BY 1""")
+def import_set_hash(spark, sf_dir):
+    names = F.array("o_orderpriority", "o_orderstatus", F.lit("LoadLibrary"), F.lit("loadlibrary"))
+    return B.table(spark, sf_dir, "orders").where("o_orderkey < 5000").select("o_orderkey", catalogue.join_hash(names).alias("import_hash"))
+
+
+@query("""SELECT l_orderkey, round(sum(l_discount * 80 * l_linenumber) / sum(l_linenumber), 6) AS mean_entropy, round(max(l_discount * 80), 6) AS max_entropy FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1""")
+def section_entropy(spark, sf_dir):
+    s = B.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("size"), (F.col("l_discount") * 80).alias("entropy"), (F.col("l_returnflag") != "N").alias("executable"))
+    return catalogue.section_entropy(s, ["l_orderkey"]).select("l_orderkey", F.round("mean_entropy", 6).alias("mean_entropy"), F.round("max_entropy", 6).alias("max_entropy"))
+
+
+@query("SELECT user_id, arg_min(event_id % 5, (event_id % 5, event_id)) AS priority, arg_min(event_id, (event_id % 5, event_id)) AS job_id FROM events WHERE epoch_us(ts) <= 1705000000000000 GROUP BY 1")
+def priority_queue(spark, sf_dir):
+    q = B.table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 5).alias("priority"), F.col("event_id").alias("job_id"), B.micros("ts").alias("due_at"))
+    return catalogue.next_due(q, 1_705_000_000_000_000, ["user_id"])
+
+
+@query("SELECT event_id AS request_id, v AS version, CASE WHEN v = 'sem:v0' THEN 'retired' WHEN v = 'none' THEN 'unknown' ELSE 'active' END AS status FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'byte:v1' WHEN 1 THEN 'sem:v0' WHEN 2 THEN 'sem:v1' ELSE 'none' END AS v FROM events)")
+def analyzer_registry(spark, sf_dir):
+    k = F.col("event_id") % 4
+    r = B.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.when(k == 0, "byte:v1").when(k == 1, "sem:v0").when(k == 2, "sem:v1").otherwise("none").alias("version"))
+    return catalogue.lookup_analyzer(r, catalogue.analyzer(spark))
+
+
+@query(f"""WITH {B.ARTIFACT}, e AS (SELECT a.tenant_id, a.artifact_id AS src, b.artifact_id AS dst FROM artifact a JOIN artifact b ON a.tenant_id = b.tenant_id AND b.artifact_id = a.artifact_id + 40)
+SELECT x.tenant_id, x.artifact_id, x.other, a.sha256 AS other_sha256 FROM (SELECT tenant_id, src AS artifact_id, dst AS other FROM e UNION ALL SELECT tenant_id, dst, src FROM e) x JOIN artifact a ON a.tenant_id = x.tenant_id AND a.artifact_id = x.other""")
+def similar_view(spark, sf_dir):
+    a = B.artifacts(spark, sf_dir)
+    b = a.select("tenant_id", (F.col("artifact_id") - 40).alias("src"), F.col("artifact_id").alias("dst"))
+    edge = a.select("tenant_id", F.col("artifact_id").alias("src")).join(b, ["tenant_id", "src"]).withColumns({"edge_type": F.lit("byte_similar"), "score": F.lit(50.0)})
+    return catalogue.similar_view(edge, a).select("tenant_id", "artifact_id", "other", "other_sha256")
+
+
+@query("""SELECT event_id, h NOT IN ('.', '..') AND regexp_full_match(h, '[A-Za-z0-9._-]+') AS host_ok, regexp_full_match(s, '[A-Za-z0-9._-]*[.]jsonl[.]gz') AS segment_ok, length(d) = 64 AS digest_ok
+FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'host-' || user_id WHEN 1 THEN '..' ELSE 'a b' END AS h, event_type || CASE WHEN event_id % 2 = 0 THEN '.jsonl.gz' ELSE '.jsonl' END AS s, substr(sha256(event_type), 1, CASE WHEN event_id % 5 = 0 THEN 63 ELSE 64 END) AS d FROM events)""")
+def telemetry_validators(spark, sf_dir):
+    k = F.col("event_id")
+    e = B.table(spark, sf_dir, "events").select(
+        "event_id", F.when(k % 3 == 0, F.concat(F.lit("host-"), F.col("user_id").cast("string"))).when(k % 3 == 1, "..").otherwise("a b").alias("h"), F.concat("event_type", F.when(k % 2 == 0, ".jsonl.gz").otherwise(".jsonl")).alias("s"),
+        F.substring(F.sha2("event_type", 256), F.lit(1), F.when(k % 5 == 0, 63).otherwise(64)).alias("d"))
+    return catalogue.validators(e, "h", "s", "d").select("event_id", "host_ok", "segment_ok", "digest_ok")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id ELSE 'b' || user_id || ':' || event_id END AS identity, 'b' || user_id AS boot_id, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN sha256(event_type) END AS artifact_sha256, event_id * 1000000 + 500000 AS observed_at FROM events""")
+def telemetry_identity(spark, sf_dir):
+    k = F.col("event_id")
+    body = F.to_json(F.struct(
+        F.when(k % 3 == 0, F.concat(F.lit("e"), k.cast("string"))).alias("event_id"), F.concat(F.lit("b"), F.col("user_id").cast("string")).alias("boot_id"), k.alias("source_seq"), F.col("event_type").alias("kind"),
+        F.lit("not a digest").alias("exe_sha256"), F.when(k % 2 == 0, F.upper(F.sha2("event_type", 256))).alias("file_sha256"), (k + 0.5).alias("ts")))
+    e = B.table(spark, sf_dir, "events").select("event_id", events.telemetry_identity(body).alias("i"))
+    return e.select("event_id", F.col("i.event_id").alias("identity"), "i.boot_id", "i.kind", "i.artifact_sha256", "i.observed_at")
+
+
+@query("""SELECT event_id AS outbox_id, CAST(900000000 + least(300, 5 * pow(2, least(event_id % 9, 6))) * 1000000 AS BIGINT) AS retry_at, event_id % 9 + 1 >= 8 AS given_up FROM events WHERE event_id % 9 < 8 AND event_id <= 900000000 AND event_id % 2 = 0 ORDER BY event_id LIMIT 20""")
+def outbox_delivery(spark, sf_dir):
+    box = B.table(spark, sf_dir, "events").select(F.col("event_id").alias("outbox_id"), F.col("event_id").alias("next_attempt_at"), (F.col("event_id") % 2 == 1).alias("delivered"), (F.col("event_id") % 9).alias("attempts"))
+    return events.delivery(box, 900_000_000).select("outbox_id", "retry_at", "given_up")
+
+
+@query("""SELECT event_id, 'signature' AS category, 'sig' || (event_id % 10) || ': d' AS summary, event_id % 10 AS severity FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'attack', 'ATT&CK T' || (1000 + event_id % 50) || ' (observed in sandbox)', NULL FROM events""")
+def sandbox_findings(spark, sf_dir):
+    k = F.col("event_id")
+    sig = F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit("sig"), (k % 10).cast("string")).alias("name"), F.lit("d").alias("description"), (k % 10).alias("severity"))))
+    report = F.to_json(F.struct(sig.alias("signatures"), F.array(F.struct(F.concat(F.lit("T"), (1000 + k % 50).cast("string")).alias("ttp"))).alias("ttps")))
+    return B.table(spark, sf_dir, "events").select("event_id", F.explode(events.sandbox_findings(report)).alias("f")).select("event_id", "f.category", "f.summary", "f.severity")
+
+
+@query("""WITH d AS (SELECT doc_id, substr(sha256(lang || (doc_id % 40)), 1, 20) AS h, source FROM documents), p AS (SELECT a.doc_id AS src, b.doc_id AS dst, a.h AS x, b.h AS y FROM d a JOIN d b ON a.source = b.source AND b.doc_id = a.doc_id + 40),
+s AS (SELECT src, dst, x, y, EXISTS (SELECT 1 FROM range(1, 15) r(i) WHERE contains(y, substr(x, CAST(i AS BIGINT), 7))) AS common FROM p)
+SELECT src, dst, CASE WHEN x = y THEN 100 WHEN common THEN CAST(least(100 - (100 * ((levenshtein(x, y) * 64) // 40)) // 64, 32 * 20) AS INTEGER) ELSE 0 END AS score FROM s""")
+def fuzzy_compare(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("96:"), F.substring(F.sha2(F.concat("lang", (F.col("doc_id") % 40).cast("string")), 256), 1, 20), F.lit(":")).alias("h"))
+    b = d.select((F.col("doc_id") - 40).alias("src"), F.col("doc_id").alias("dst"), "source", F.col("h").alias("g"))
+    return d.withColumnRenamed("doc_id", "src").join(b, ["src", "source"]).select("src", "dst", S.fuzzy_compare(F.col("h"), F.col("g")).alias("score"))
