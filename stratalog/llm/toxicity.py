@@ -96,6 +96,12 @@ class Network:
         self.p = {"W": f(2, WIDTH, 3 * HIDDEN), "U": f(2, HIDDEN, 3 * HIDDEN), "b": np.zeros((2, 1, 3 * HIDDEN), np.float32),
                   "A": f(2 * HIDDEN, HIDDEN), "v": f(HIDDEN), "w": f(2 * HIDDEN), "c": np.zeros(1, np.float32)}
 
+    def all_gates(self, words: np.ndarray, grams: np.ndarray, n: np.ndarray, step: int = 20_000) -> np.ndarray:
+        """Gate inputs of many words, a block of them at a time."""
+        ends = np.concatenate([[0], np.cumsum(n)])
+        parts = [self.project(self.embed(words[i:i + step], grams[ends[i]:ends[min(len(n), i + step)]], n[i:i + step])) for i in range(0, max(1, len(n)), step)]
+        return np.concatenate(parts, axis=1)
+
     def embed(self, words: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
         out = self.words[words]
         if len(grams):
@@ -189,8 +195,8 @@ def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct lower-cased words, each text's word numbers one after the other, and the texts' counts."""
     seen: dict[str, int] = {}
     number = lambda w: seen.setdefault(w, len(seen))
-    rows = [[number(w) for w in t.lower().encode().split()] for t in texts]
-    return list(seen), np.array([w for r in rows for w in r], np.int64), np.array(list(map(len, rows)), np.int64)
+    rows = [np.array([number(w) for w in t.lower().encode().split()], np.int32) for t in texts]
+    return list(seen), np.concatenate([*rows, np.zeros(0, np.int32)]), np.array(list(map(len, rows)), np.int64)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | None:
@@ -202,24 +208,22 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | None:
     vocabulary, numbers, counts = split(texts)
     lengths = np.array(list(map(len, vocabulary)), np.int64)
     words, grams, n_grams = word_features(np.frombuffer(b"".join(vocabulary), np.uint8), lengths)
+    grams = grams.astype(np.int32)
     gram_start = np.cumsum(n_grams) - n_grams
     # the first coordinate starts from how much oftener texts of class 1 have a row; the rest is learned from noise
-    owner = np.repeat(np.arange(len(counts)), counts)
-    for table, of_word, size in ((net.words, words[numbers], WORD_ROWS), (net.grams, None, GRAM_ROWS)):
-        if of_word is None:
-            pairs = np.unique(np.stack([owner, numbers]), axis=1)
-            who, row = np.repeat(pairs[0], n_grams[pairs[1]]), grams[ragged(gram_start[pairs[1]], n_grams[pairs[1]])]
-        else:
-            who, row = owner, of_word
-        code = np.unique(who * size + row)
-        who, row = code // size, code % size
-        one, zero = (np.bincount(row, weights=w, minlength=size) for w in (y[who], 1 - y[who]))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    tallies = {size: np.zeros((2, size)) for size in (WORD_ROWS, GRAM_ROWS)}
+    for i, label in enumerate(labels):
+        own = np.unique(numbers[ends[i]:ends[i + 1]])
+        tallies[WORD_ROWS][label, np.unique(words[own])] += 1
+        tallies[GRAM_ROWS][label, np.unique(grams[ragged(gram_start[own], n_grams[own])])] += 1
+    for table, (zero, one) in ((net.words, tallies[WORD_ROWS]), (net.grams, tallies[GRAM_ROWS])):
         table[:, 0] = np.clip(np.log((one + 1) / (y.sum() + 2) / ((zero + 1) / (len(y) - y.sum() + 2))), -3, 5) * (one + zero > 2) * 0.3
     speed = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     seen_w, seen_g, count = np.full(WORD_ROWS, 1e-4, np.float32), np.full(GRAM_ROWS, 1e-4, np.float32), 0
     every = np.arange(WINDOW)
     for epoch in range(EPOCHS):
-        gates = net.project(net.embed(words, grams, n_grams))
+        gates = net.all_gates(words, grams, n_grams)
         _, logits, (own, start, size) = net.scores(gates, numbers, counts)
         lo = np.searchsorted(own, np.arange(len(counts)))
         hi = np.append(lo[1:], len(own))
@@ -273,10 +277,9 @@ def _score(batches: Iterator[pa.RecordBatch], network: Broadcast) -> Iterator[pa
         added = part.dictionary.filter(new)
         raw = added.cast(pa.binary()).to_pylist()
         fresh = []
-        for lo in range(0, len(raw), 100_000):
-            some = raw[lo:lo + 100_000]
-            features = word_features(np.frombuffer(b"".join(some), np.uint8), np.array(list(map(len, some)), np.int64))
-            fresh.append(net.project(net.embed(*features)))
+        for lo in range(0, len(raw), 50_000):
+            some = raw[lo:lo + 50_000]
+            fresh.append(net.all_gates(*word_features(np.frombuffer(b"".join(some), np.uint8), np.array(list(map(len, some)), np.int64))))
         number = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         number[new.to_numpy(zero_copy_only=False)] = len(seen) + np.arange(len(added))
         seen, gates = pa.concat_arrays([seen, added]), np.concatenate([gates, *fresh], axis=1)
