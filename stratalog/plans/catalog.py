@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions import scalars as S
-from stratalog.operators import analyst, catalogue, events, graph, hunts, ledger, similarity
+from stratalog.operators import analyst, catalogue, events, graph, hunts, ledger, reports, similarity
 from stratalog.sources import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -709,3 +709,34 @@ def fuzzy_compare(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("96:"), F.substring(F.sha2(F.concat("lang", (F.col("doc_id") % 40).cast("string")), 256), 1, 20), F.lit(":")).alias("h"))
     b = d.select((F.col("doc_id") - 40).alias("src"), F.col("doc_id").alias("dst"), "source", F.col("h").alias("g"))
     return d.withColumnRenamed("doc_id", "src").join(b, ["src", "source"]).select("src", "dst", S.fuzzy_compare(F.col("h"), F.col("g")).alias("score"))
+
+
+# --- compositions -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_BLAST}, det AS (SELECT tenant_id, artifact_id, CASE WHEN artifact_id % 50 = 7 THEN 'critical' ELSE 'low' END AS worst FROM artifact WHERE artifact_id % 10 = 7),
+base AS (SELECT a.tenant_id, a.artifact_id, a.sha256, opinion, worst, matched_rules, coalesce(host_count, 0) AS host_count FROM artifact a LEFT JOIN rules USING (tenant_id, artifact_id) LEFT JOIN p USING (tenant_id, artifact_id) LEFT JOIN latest USING (tenant_id, artifact_id) LEFT JOIN det USING (tenant_id, artifact_id)),
+lev AS (SELECT *, CASE WHEN worst = 'critical' THEN 'critical' WHEN opinion = 'malicious' THEN 'high' WHEN matched_rules IS NOT NULL THEN 'medium' WHEN opinion = 'grayware' THEN 'low' ELSE 'info' END AS b, (opinion = 'malicious') IS TRUE OR (worst = 'critical') IS TRUE OR matched_rules IS NOT NULL AS up FROM base)
+SELECT tenant_id, artifact_id, sha256, CASE WHEN b = 'medium' AND host_count > 5 THEN 'high' ELSE b END AS level, CASE WHEN NOT up THEN 'monitor' WHEN host_count > 0 THEN 'block_hash,contain_hosts,detonate,set_opinion' ELSE 'block_hash,detonate,set_opinion' END AS actions,
+CASE WHEN worst IS NOT NULL THEN 'T1027,T1486' ELSE '' END AS techniques, coalesce(matched_rules, '') AS matched_rules, host_count FROM lev""")
+def investigation(spark, sf_dir):
+    a = B.artifacts(spark, sf_dir)
+    detection = a.where("artifact_id % 10 = 7").select(
+        "tenant_id", "artifact_id", F.when(F.col("artifact_id") % 50 == 7, "critical").otherwise("low").alias("severity"), S.techniques(F.array(F.lit("ransom"), F.lit("packed"))).alias("mitre"))
+    return reports.investigate(a, _matches(spark, sf_dir), B.occurrences(spark, sf_dir), B.opinions(spark, sf_dir), detection)
+
+
+@query(f"""WITH {B.ARTIFACT}, {_SEEN} SELECT tenant_id, artifact_id, 'high' AS severity, 'intel' AS source FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen)""")
+def continuous_intel(spark, sf_dir):
+    triggers = spark.createDataFrame([], "tenant_id string, condition string, trigger_id string, url string, enabled boolean")
+    found, _ = reports.continuous_intel(events.upsert_indicators(_seen(spark, sf_dir)), B.artifacts(spark, sf_dir), triggers)
+    return found.select("tenant_id", "artifact_id", "severity", "source")
+
+
+@query()
+def function_coverage(spark, sf_dir):
+    """Items of the benchmark as artifacts, their sentences as functions; not told in SQL, as the matching is greedy."""
+    words = lambda s: F.array_sort(F.array_distinct(F.transform(F.filter(F.split(s, " "), lambda w: w != ""), S.token_hash)))
+    one = B.table(spark, sf_dir, "benchmark").select(F.lit("t0").alias("tenant_id"), F.col("item_id").alias("artifact_id"), F.posexplode(F.split("text", r"[.,]")).alias("offset", "s"))
+    functions = one.select("tenant_id", "artifact_id", F.col("offset").cast("long").alias("offset"), words(F.col("s")).alias("tokens")).where(F.size("tokens") > 0)
+    return similarity.coverage(functions, similarity.function_candidates(functions))
