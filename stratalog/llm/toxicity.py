@@ -39,7 +39,7 @@ WIDTH, HIDDEN = 10, 8
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 EPOCHS, BATCH = 10, 128
 #: Distinct words a worker keeps before it starts over.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 300_000
 _MIX = np.random.default_rng(5).integers(1, 2**31, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -206,9 +206,13 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | None:
         return None
     net, r = Network(seed), np.random.default_rng(seed)
     vocabulary, numbers, counts = split(texts)
-    lengths = np.array(list(map(len, vocabulary)), np.int64)
-    words, grams, n_grams = word_features(np.frombuffer(b"".join(vocabulary), np.uint8), lengths)
-    grams = grams.astype(np.int32)
+    features = []
+    for i in range(0, max(1, len(vocabulary)), 20_000):
+        some = vocabulary[i:i + 20_000]
+        w, g, n = word_features(np.frombuffer(b"".join(some), np.uint8), np.array(list(map(len, some)), np.int64))
+        features.append((w.astype(np.int32), g.astype(np.int32), n))
+    words, grams, n_grams = (np.concatenate(x) for x in zip(*features, strict=True))
+    del vocabulary, features
     gram_start = np.cumsum(n_grams) - n_grams
     # the first coordinate starts from how much oftener texts of class 1 have a row; the rest is learned from noise
     ends = np.concatenate([[0], np.cumsum(counts)])
