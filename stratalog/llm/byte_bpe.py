@@ -4,8 +4,8 @@ Encoding: each text is cut by the pre-token pattern on the JVM. Within a task
 every distinct pre-token is a byte array once; a chunk row carries the words
 not seen before in its task and each text's word numbers. Higher-order
 functions fold the ranked merges over those byte arrays, with the rank map as
-a literal: a cuckoo table from (left id, right id) to the merged rank, found
-by two array reads. The rows of a text are then put together from the words'
+a literal: a table by hash and displacement from (left id, right id) to the merged
+rank, found by two array reads. The rows of a text are then put together from the words'
 ids. All three steps run in one stage, so nothing is shuffled whatever the
 size or skew. Decoding maps ids to their binary pieces and concatenates them.
 
@@ -16,9 +16,10 @@ columns, clashing names included, are left out but for those asked for.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,8 @@ from pyspark.sql import functions as F
 #: Distinct words a task remembers before it forgets them all; bounds its memory, never its results.
 MEMORY_WORDS = 1_500_000
 #: Bytes of pre-tokens in a chunk row, about; a longer text stands alone.
-CHUNK_BYTES = 8 << 20
-_SLOTS = 1 << 18
-_ODD = (461845907, 433494437)
+CHUNK_BYTES = 6 << 20
+_SLOTS, _BUCKETS, _ODD = 1 << 18, 1 << 16, (10087, 17779)
 _NONE = 1 << 20  # a rank above all others
 
 
@@ -63,36 +63,46 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return found
 
 
-def _slot(key: int, table: int) -> int:
-    mixed = key if table == 0 else key ^ (key >> 13)
-    return (mixed * _ODD[table] >> 16) & (_SLOTS - 1)
-
-
 @cache
-def cuckoo(path: str) -> tuple[list[list[int]], list[int], list[str]]:
-    """Two tables of packed (key, rank), the start word of each two bytes, and each id's piece in hex."""
+def literal_map(path: str) -> tuple[list[int], list[int], list[int]]:
+    """The rank map by hash and displacement, and the start word of each two bytes.
+
+    A pair's bucket gives a displacement, that and the pair its slot, where the
+    pair itself stands with its rank: a lookup is two array reads.
+    """
     ranks = load_ranks(path)
-    if max(ranks.values()) >= 1 << 16:
+    n = max(ranks.values()) + 1
+    if n > 1 << 16:
         raise ValueError("ids must fit 16 bits")
     single = {piece[0]: rank for piece, rank in ranks.items() if len(piece) == 1}
     pairs = pair_ranks(ranks)
-    tables = [[0] * _SLOTS, [0] * _SLOTS]
-    for (left, right), rank in pairs.items():
-        held, t = ((left << 16 | right) + (1 << 32)) << 16 | rank, 0
-        for _ in range(10_000):
-            at = _slot(held >> 16, t)
-            held, tables[t][at] = tables[t][at], held
-            if not held:
+    buckets: dict[int, list[tuple[int, int]]] = {}
+    for left, right in pairs:
+        buckets.setdefault((left * _ODD[0] + right) & _BUCKETS - 1, []).append((left, right))
+    slots, displaced = [-1] * _SLOTS, [0] * _BUCKETS
+    for bucket in sorted(buckets, key=lambda x: (-len(buckets[x]), x)):
+        for d in range(_SLOTS):
+            at = [(right * _ODD[1] + left + d) & _SLOTS - 1 for left, right in buckets[bucket]]
+            if len(set(at)) == len(at) and all(slots[i] < 0 for i in at):
                 break
-            t ^= 1
         else:
-            raise ValueError("the rank map does not fit its tables")
+            raise ValueError("the rank map does not fit its table")
+        displaced[bucket] = d
+        for i, (left, right) in zip(at, buckets[bucket], strict=True):
+            slots[i] = (left << 16 | right) << 16 | pairs[left, right]
     starts = [pairs.get((single[i >> 8], single[i & 255]), _NONE) << 16 | single[i >> 8] for i in range(65536)]
     starts += [_NONE << 16 | single[i] for i in range(256)]  # a last byte has no partner
+    return slots, displaced, starts
+
+
+@cache
+def piece_hex(path: str) -> list[str]:
+    """Each id's piece, in hex."""
+    ranks = load_ranks(path)
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
-    return tables, starts, pieces
+    return pieces
 
 
 def _bind(value: Column, body) -> Column:
@@ -100,44 +110,58 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _if(condition: Column, yes: Column, no: Column) -> Column:
+    """Evaluated by interpretation, as lambdas are, it is cheaper than CASE WHEN."""
+    return F.call_function("if", condition, yes, no)
+
+
 def merged_ids(words: Column, path: str) -> Column:
-    """Folds ranked merges over each byte array (array<int>) of an array of words; gives each word's ids.
+    """Folds ranked merges over each byte array of an array of words; gives each word's ids.
+
+    A byte stands as 256 * byte + next byte, the last one as 65536 + byte, which
+    is where its state starts.
+
+    The literal map is a text that each row of words parses once: as arrays, its
+    half a million boxed numbers would be deserialised again for every task.
 
     A word's state holds one long for each symbol: the rank of the pair it forms
-    with the next one, then its id, so the least long names the pair to merge.
+    with the next one, then its id; the least rank, at its first place, is next.
     """
-    tables, starts, _ = cuckoo(path)
-    literal = F.struct(*(F.from_json(F.lit(json.dumps(x)), "array<bigint>").alias(n) for n, x in (("a", tables[0]), ("b", tables[1]), ("s", starts))))
+    slots, displaced, starts = literal_map(path)
+    text = json.dumps({"m": slots, "d": displaced, "s": starts}, separators=(",", ":"))
+    unfolded = F.substring(F.size(words).cast("string"), 1, 0)
+    literal = F.from_json(F.concat(F.lit(text), unfolded), "m array<bigint>, d array<bigint>, s array<bigint>")
 
     def encode(t: Column) -> Column:
+        none = F.lit(_NONE << 16)
+
         def partner(left: Column, right: Column) -> Column:
             """The rank of a pair, as it stands in a state's long."""
-
-            def probe(k: Column) -> Column:
-                a = F.get(t["a"], F.shiftright(k * _ODD[0], 16).bitwiseAND(_SLOTS - 1).cast("int"))
-                b = F.get(t["b"], F.shiftright(k.bitwiseXOR(F.shiftright(k, 13)) * _ODD[1], 16).bitwiseAND(_SLOTS - 1).cast("int"))
-                return F.when(F.shiftright(a, 16) == k, a.bitwiseAND(65535)).when(F.shiftright(b, 16) == k, b.bitwiseAND(65535)).otherwise(F.lit(_NONE).cast("long"))
-
-            return F.shiftleft(_bind(F.shiftleft(left, 16).bitwiseOR(right) + (1 << 32), probe), 16)
+            key = F.shiftleft(left, 16).bitwiseOR(right)
+            moved = F.get(t["d"], (left * _ODD[0] + right).bitwiseAND(_BUCKETS - 1).cast("int"))
+            slot = F.get(t["m"], (right * _ODD[1] + left + moved).bitwiseAND(_SLOTS - 1).cast("int"))
+            return _if(F.shiftright(slot, 16) == key, F.shiftleft(slot.bitwiseAND(65535), 16), none)
 
         def merge(state: Column, _: Column) -> Column:
             def at(least: Column) -> Column:
-                rank = F.shiftright(least, 16)
+                rank = F.shiftright(least, 27)
 
                 def join(p: Column) -> Column:  # p: 1-based place of the left symbol
                     follower = F.get(state, p + 1)
-                    joined = F.when(follower.isNull(), F.lit(_NONE << 16)).otherwise(partner(rank, follower.bitwiseAND(65535))).bitwiseOR(rank)
-                    before = lambda x: partner(x.bitwiseAND(65535), rank).bitwiseOR(x.bitwiseAND(65535))
-                    return F.array_remove(F.transform(state, lambda x, i: F.when(i == p - 1, joined).when(i == p, F.lit(-1).cast("long")).when(i == p - 2, before(x)).otherwise(x)), F.lit(-1).cast("long"))
+                    joined = _if(follower.isNull(), none, partner(rank, follower.bitwiseAND(65535))).bitwiseOR(rank)
+                    id_before = F.get(state, p - 2).bitwiseAND(65535)
+                    pair = _if(p == 1, F.array(joined), F.array(partner(id_before, rank).bitwiseOR(id_before), joined))
+                    return F.flatten(F.array(F.slice(state, F.lit(1), F.greatest(p - 2, F.lit(0))), pair, F.slice(state, p + 2, F.size(state))))
 
-                return F.when(least >= _NONE << 16, state).otherwise(_bind(F.array_position(state, least).cast("int"), join))
+                return _if(rank >= _NONE, state, _bind((least.bitwiseAND((1 << 27) - 1) + 1).cast("int"), join))
 
-            return _bind(F.array_min(state), at)
+            # rank and place in one number; array_position leaves its loop by an exception, which costs far more
+            return _bind(F.array_min(F.transform(state, lambda x, i: F.shiftleft(F.shiftright(x, 16), 27).bitwiseOR(i.cast("long")))), at)
 
         def word(w: Column) -> Column:
-            state = F.transform(w, lambda x, i: F.get(t["s"], F.coalesce(x * 256 + F.get(w, i + 1), x + 65536)))
-            return F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(
-                F.aggregate(F.sequence(F.lit(1), F.size(w)), state, merge, lambda s: F.transform(s, lambda x: x.bitwiseAND(65535).cast("int"))))
+            state = F.transform(w, lambda x: F.get(t["s"], x))
+            return _if(F.size(w) == 0, F.array().cast("array<int>"), F.aggregate(
+                F.sequence(F.lit(1), F.size(w)), state, merge, lambda s: F.transform(s, lambda x: x.bitwiseAND(65535).cast("int"))))
 
         return F.transform(words, word)
 
@@ -156,7 +180,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = batch.column(words_at)
         ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
         values = column.flatten()
-        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))])
+        sizes = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset) if len(values) else np.zeros(1, np.int32)
         row = 0
         while row < batch.num_rows:
             first = int(ends[row - 1]) if row else 0
@@ -176,6 +200,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = added.cast(pa.binary())
             spans = np.concatenate([[0], np.cumsum(pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64))]).astype(np.int32)
             data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(np.int32)
+            last = spans[1:][spans[1:] > spans[:-1]] - 1
+            paired = 256 * data
+            paired[:-1] += data[1:]
+            paired[last] = 65536 + data[last]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, keys.schema) as out:
                 out.write_batch(keys.slice(row, stop - row))
@@ -183,7 +211,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
             yield pa.RecordBatch.from_arrays([
                 pa.array([sink.getvalue().to_pybytes()], pa.binary()), one(counts), one(numbers), pa.array([fresh]),
-                pa.ListArray.from_arrays(pa.array([0, len(added)], pa.int32()), pa.ListArray.from_arrays(pa.array(spans), pa.array(data)))], names=["keys", "counts", "numbers", "fresh", "words"])
+                pa.ListArray.from_arrays(pa.array([0, len(added)], pa.int32()), pa.ListArray.from_arrays(pa.array(spans), pa.array(paired)))], names=["keys", "counts", "numbers", "fresh", "words"])
             row = stop
 
 
@@ -194,8 +222,31 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunk rows with each new word's ids to rows of (key columns, ids)."""
+@cache
+def _tables(path: str) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+    """For each id its piece, and its decimal number with a space after it: bytes, starts, lengths."""
+    pieces = [bytes.fromhex(p) for p in piece_hex(path)]
+    out = []
+    for table in (pieces, [b"%d " % i for i in range(len(pieces))]):
+        n = np.array(list(map(len, table)), np.int64)
+        out.append((np.frombuffer(b"".join(table), np.uint8), np.cumsum(n) - n, n))
+    return tuple(out)
+
+
+def decode_bytes(ids: np.ndarray, path: str) -> bytes:
+    """Concatenates the ids' binary pieces."""
+    data, start, size = _tables(path)[0]
+    return data[ragged(start[ids], size[ids])].tobytes()
+
+
+def _digests(ids: np.ndarray, path: str) -> tuple[str, str]:
+    data, start, size = _tables(path)[1]
+    spelled = data[ragged(start[ids], size[ids])].tobytes()[:-1]
+    return hashlib.sha256(spelled).hexdigest(), hashlib.sha256(decode_bytes(ids, path)).hexdigest()
+
+
+def _rows(batches: Iterator[pa.RecordBatch], path: str, ids_kept: bool, digested: bool) -> Iterator[pa.RecordBatch]:
+    """Chunk rows with each new word's ids to rows of (key columns, ids, n_tokens, ids_sha256, decoded_sha256)."""
     flat, starts, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         for i in range(batch.num_rows):
@@ -212,33 +263,34 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = flat[ragged(starts[numbers], each)]
             upto = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
             with pa.ipc.open_stream(batch.column(0)[i].as_py()) as stream:
-                keys = stream.read_next_batch()
-            yield pa.RecordBatch.from_arrays([*keys.columns, pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))], names=[*keys.schema.names, "ids"])
+                out = stream.read_next_batch()
+            if ids_kept:
+                out = out.append_column("ids", pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids)))
+            if digested:
+                both = [_digests(ids[a:b], path) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                out = out.append_column("n_tokens", pa.array(np.diff(upto)))
+                out = out.append_column("ids_sha256", pa.array([x for x, _ in both], pa.string())).append_column("decoded_sha256", pa.array([y for _, y in both], pa.string()))
+            yield out
+
 
+def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
+    """(kept columns, ids array<int>): each text's ids without special tokens.
 
-def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(kept columns, ids array<int>): each text's ids without special tokens."""
+    digests: adds n_tokens, ids_sha256 (of the decimal ids joined by one space)
+    and decoded_sha256 (of the bytes that the ids decode to).
+    """
     path, pattern = path or default_ranks_path(), pattern or default_pattern()
     # (?U): white space as Unicode has it
     cut = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
     given = docs.select(*keep, cut.alias("__words"))
     chunks = given.mapInArrow(_chunks, _CHUNK)
     coded = chunks.select("keys", "counts", "numbers", "fresh", merged_ids(F.col("words"), path).alias("ids"))
-    kinds = [given.schema[k] for k in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
-    return coded.mapInArrow(_rows, f"{schema}, ids array<int>")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__words"]
+    fields += ["ids array<int>"] * ids + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] * digests
+    return coded.mapInArrow(partial(_rows, path=path, ids_kept=ids, digested=digests), ", ".join(fields))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
     """The bytes of an array of ids: their binary pieces, one after the other. An unknown id gives null."""
-    _, _, pieces = cuckoo(path or default_ranks_path())
-    return _bind(F.from_json(F.lit(json.dumps(pieces)), "array<string>"), lambda t: F.when(F.size(ids) == 0, F.lit(b"")).otherwise(
+    return _bind(F.from_json(F.lit(json.dumps(piece_hex(path or default_ranks_path()))), "array<string>"), lambda t: F.when(F.size(ids) == 0, F.lit(b"")).otherwise(
         F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))))
-
-
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds n_tokens, ids_sha256, decoded_sha256 and drops the ids."""
-    ids = F.col("ids")
-    return encoded.select(
-        *[c for c in encoded.columns if c != "ids"], F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(decode(ids, path), 256).alias("decoded_sha256"))

@@ -11,7 +11,7 @@ from stratalog.llm.common import read
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(byte_bpe.encode(read(spark, sf_dir, "documents")))
+    return byte_bpe.encode(read(spark, sf_dir, "documents"), ids=False, digests=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

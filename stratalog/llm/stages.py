@@ -44,8 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, their digest and that of the decoded bytes."""
-    coded = byte_bpe.encode(docs, keep=("doc_id", "lang", "source")).withColumn("token_ids", F.col("ids"))
-    return byte_bpe.digests(coded)
+    return byte_bpe.encode(docs, keep=("doc_id", "lang", "source"), digests=True)
 
 
 STAGES = [
