@@ -40,6 +40,8 @@ WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 EPOCHS, BATCH = 10, 128
 #: Distinct words a worker keeps before it starts over.
 MEMORY_WORDS = 300_000
+#: Words scored at a time.
+SLICE_WORDS = 400_000
 _MIX = np.random.default_rng(5).integers(1, 2**31, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -265,11 +267,24 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | None:
     return net
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about SLICE_WORDS words at a time; a longer text stands alone."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index("__words"))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        row = 0
+        while row < batch.num_rows:
+            before = int(ends[row - 1]) if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, before + SLICE_WORDS, "right")))
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 def _score(batches: Iterator[pa.RecordBatch], network: Broadcast) -> Iterator[pa.RecordBatch]:
     net: Network = network.value
     seen, gates = pa.array([], pa.string()), np.zeros((2, 0, 3 * HIDDEN), np.float32)
     nothing = net.project(np.zeros((1, WIDTH), np.float32))
-    for batch in batches:
+    for batch in _slices(batches):
         at = batch.schema.get_field_index("__words")
         column = batch.column(at)
         counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
