@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import small_batches
+
 #: Distinct words a task remembers before it forgets them all; bounds its memory, never its results.
 MEMORY_WORDS = 1_500_000
 #: Bytes of pre-tokens in a chunk row, about; a longer text stands alone.
@@ -280,6 +282,7 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc
     and decoded_sha256 (of the bytes that the ids decode to).
     """
     path, pattern = path or default_ranks_path(), pattern or default_pattern()
+    small_batches(docs.sparkSession)
     # (?U): white space as Unicode has it
     cut = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
     given = docs.select(*keep, cut.alias("__words"))

@@ -42,6 +42,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lets Arrow batches hold so many rows at most: for steps whose rows carry whole texts as arrays of words.
+
+    A session setting that bounds the memory of Python workers and changes no
+    result; a smaller one stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Splits batches so that a piece holds about `most` bytes of a string column; a longer text stands alone."""
     for batch in batches:

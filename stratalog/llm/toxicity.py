@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.byte_bpe import ragged
-from stratalog.llm.common import WORD
+from stratalog.llm.common import WORD, small_batches
 
 #: Most labelled rows of a class to learn from.
 TRAIN_ROWS = 2_000
@@ -327,6 +327,7 @@ def score(docs: DataFrame, network: Network | None, *, text: str = "text", keep:
     """(kept columns, score)."""
     if network is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)
     given = docs.select(*keep, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0)).alias("__words"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__words")
