@@ -4,10 +4,14 @@ Vectors of one label link at a cosine of 0.98 or more. Equal vectors collapse
 first. A rotation for balanced binary codes is learned (PCA, then alternating
 signs and orthogonal Procrustes steps) on at most FIT_ROWS vectors; every
 vector gets a code of up to 64 bits. Multi-index Hamming tables each key the
-codes by one seeded subset of bits; subsets grow with the logarithm of the
-number of vectors, and there are so many tables that a linked pair meets in one
-with the probability RECALL. Whatever meets in a table is reranked with the
-original vectors in double precision, so no pair below the threshold links.
+codes by one seeded subset of bits. How often bits of linked vectors differ is
+measured, as it depends on the data: QUERY_ROWS vectors are compared with all
+others of their label, and tables are added until the share RECALL of the links
+found meets in one; where these are few, pairs made at the threshold must meet
+as well. Of the subset sizes, up to the logarithm of the number of vectors, the
+one of least work is taken; a size of zero compares all. Whatever meets in a
+table is reranked with the original vectors in double precision, so no pair
+below the threshold links.
 
 A pair counts in the first table where it meets. Hot keys are cut into
 sub-blocks whose pairs are dealt out; a task emits sums of links for each vector
@@ -36,6 +40,10 @@ COSINE = 0.98
 #: Most vectors the rotation is learned on, by a hash of their ids.
 FIT_ROWS = 10_000
 BITS, ROUNDS, RECALL = 64, 40, 0.999
+#: Vectors whose links are brute-forced to measure recall, by a hash of their ids; links that suffice without made ones; most links kept.
+QUERY_ROWS, ENOUGH, MOST_LINKS = 1_000, 2_000, 100_000
+#: Tables beyond which a subset size is given up, and comparisons that cost as much as a row of a table.
+MOST_TABLES, ROW_COST = 256, 200
 SUB_BLOCK = 1024
 SMALL = 48
 
@@ -66,17 +74,67 @@ class Quantiser:
         return np.packbits(full, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def table_masks(n: int, bits: int, flip: float, seed: int = 2) -> list[int]:
-    """Seeded subsets of code bits, as masks: as many as a pair whose bits each differ with the chance flip needs."""
-    size = max(6, min(bits, 26, round(math.log2(max(n, 2)))))
-    meet = (1 - flip) ** size
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
-    r = np.random.default_rng(seed)
-    masks = []
-    for _ in range(tables):
-        mask = sum(1 << int(b) for b in r.choice(bits, size, replace=False))
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    return masks
+def _as_long(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def table_masks(n: int, bits: int, differ: list[tuple[np.ndarray, np.ndarray]], seed: int = 2) -> list[int]:
+    """Seeded subsets of code bits, as masks: as many as each set (differing bits, number) of linked pairs needs to meet."""
+    best, least = [0], float(n + ROW_COST)  # one table that holds all
+    for size in range(max(1, min(bits, 26, round(math.log2(max(n, 2))))), 0, -1):
+        r = np.random.default_rng(seed)
+        apart, masks, work = [(x, m) for x, m in differ], [], ROW_COST + n / 2**size
+        # half the allowance, as tables are fitted to the measured pairs
+        allowed = [m.sum() * (1 - RECALL) / 2 for _, m in differ]
+        while any(m.sum() > most for (_, m), most in zip(apart, allowed, strict=True)) or not masks:
+            if len(masks) == MOST_TABLES or (len(masks) + 1) * work >= least:
+                masks = []
+                break
+            mask = _as_long(sum(1 << int(b) for b in r.choice(bits, size, replace=False)))
+            masks.append(mask)
+            apart = [(x[miss], m[miss]) for x, m in apart for miss in [x & mask != 0]]
+        if masks:
+            best, least = masks, len(masks) * work
+    return best
+
+
+def made_pairs(quantiser: Quantiser, x: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Differing bits of unit vectors x and of vectors at the threshold from them, in random directions."""
+    noise = np.random.default_rng(seed).standard_normal(x.shape)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    noise /= np.maximum(np.sqrt((noise * noise).sum(axis=1, keepdims=True)), 1e-300)
+    return quantiser.codes(x) ^ quantiser.codes(COSINE * x + math.sqrt(1 - COSINE**2) * noise)
+
+
+def _differ(batches: Iterator[pa.RecordBatch], queries: Broadcast, width: int) -> Iterator[pa.RecordBatch]:
+    """Differing bits of each link between a vector and a query, with their number."""
+    label, ids, code, q = queries.value
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1024):
+            part = batch.slice(start, 1024)
+            at = {f: part.column(part.schema.get_field_index(f)) for f in ("label", "id", "code", "vec")}
+            near = _matrix(at["vec"], width) @ q.T >= COSINE
+            near &= (at["label"].to_numpy()[:, None] == label) & (at["id"].to_numpy()[:, None] != ids)
+            i, j = np.nonzero(near)
+            x, m = np.unique(at["code"].to_numpy()[i] ^ code[j], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(m.astype(np.int64))], names=["x", "m"])
+
+
+def measured_pairs(coded: DataFrame, quantiser: Quantiser, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sets of (differing bits, number) of the links of QUERY_ROWS vectors, and of made ones where these are few."""
+    some = coded.orderBy(F.xxhash64("id", "label"), "id").limit(QUERY_ROWS).toArrow()  # bounded
+    if not some.num_rows:
+        return []
+    q = _matrix(some["vec"].combine_chunks(), width)
+    label, ids, code = (some[c].to_numpy() for c in ("label", "id", "code"))
+    sent = coded.sparkSession.sparkContext.broadcast((label, ids, code, q))
+    links = coded.select("label", "id", "code", "vec").mapInArrow(partial(_differ, queries=sent, width=width), "x long, m long").groupBy("x").agg(F.sum("m").alias("m"))
+    found = links.orderBy(F.xxhash64("x")).limit(MOST_LINKS).toArrow()
+    sets = [(found["x"].to_numpy(), found["m"].to_numpy())] if found.num_rows else []
+    if found.num_rows < ENOUGH:
+        made = made_pairs(quantiser, np.repeat(q, max(1, ENOUGH // len(q)), axis=0))
+        sets.append((made, np.ones(len(made), np.int64)))
+    return sets
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -198,10 +256,10 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         x = _matrix(picked["vec"].combine_chunks(), width)
         quantiser = Quantiser.fit(x)
         sent = vectors.sparkSession.sparkContext.broadcast(quantiser)
-        masks = table_masks(n, quantiser.rotation.shape[1], math.acos(COSINE) / math.pi)
         plain = named.where(F.col("rep").isNotNull()).select(F.xxhash64("label").alias("label"), F.col("rep").alias("id"), "n", "vec")
         coded = plain.mapInArrow(partial(_code, quantiser=sent, width=width), "label long, id long, n long, vec array<double>, code long")
         coded = durable(coded)
+        masks = table_masks(n, quantiser.rotation.shape[1], measured_pairs(coded, quantiser, width))
         tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("code").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])
         keyed = coded.select("label", "id", F.explode(tables).alias("e")).select("label", "id", "e.t", "e.k")
         shared = keyed.groupBy("label", "t", "k").agg(F.count("*").alias("m")).where("m > 1")

@@ -144,6 +144,24 @@ def test_itq_recall_and_exact_rerank(spark):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_itq_recall_of_vectors_with_a_common_mean(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(1500, 64)) / 8
+    mean = r.normal(size=64)
+    x = base + 3 * mean / np.linalg.norm(mean)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = r.normal(size=x.shape)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.981 * x + np.sqrt(1 - 0.981**2) * noise])
+    near = both @ both.T >= itq.COSINE
+    np.fill_diagonal(near, False)
+    got = itq.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")).collect()
+    found = {g.vec_id: g.n_links for g in got}
+    assert all(found[i] <= near[i].sum() for i in found)
+    assert sum(found.values()) >= 0.99 * near.sum() > 0
+
+
 def test_targets_and_flow():
     assert mixing.targets({"a": 10, "b": 10, "c": 80}, {"a": 1, "b": 8, "c": 1}) == {"a": 30.0, "b": 30.0, "c": 40.0}
     # shared documents go where their own sources fall short, and nothing repeats while fresh words are left
