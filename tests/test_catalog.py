@@ -30,3 +30,43 @@ def test_query_equals_its_twin(spark, duck, name):
 def test_function_coverage_is_one_to_one(spark):
     rows = catalog.queries()["function_coverage"](spark, SF).collect()
     assert rows and all(0 <= r.a_to_b <= 1 and 0 <= r.b_to_a <= 1 and r.contested_a >= 0 and r.unmatched_b >= 0 for r in rows)
+
+
+def test_whole_graph_equals_union_find(spark, tmp_path):
+    orders = spark.createDataFrame([(k, k * 37 % 1500 + 1, "O", "1-URGENT") for k in range(1, 6001)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    edges, root = set(), {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for k in range(1, 6001):
+        a, b = k * 37 % 1500 + 1, k * 7 % 1000
+        kind = "normalized_equivalent" if k % 12 == 0 else "semantic_variant_strong" if k % 12 == 1 else "byte_similar" if k % 3 == 1 else "shared_provenance"
+        if a != b:
+            edges.add((f"t{a % 3}", min(a, b), max(a, b), kind))
+    strong = ("normalized_equivalent", "semantic_variant_strong")
+    for t, a, b, kind in edges:
+        if kind in strong:
+            x, y = sorted((find((t, a)), find((t, b))))
+            root[y] = x
+    group = {x: find(x)[1] for x in root}
+    run = lambda name: {tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    assert run("canonical_edges_whole") == edges
+    assert run("variant_groups_whole") == {(t, n, g) for (t, n), g in group.items()}
+    members = {}
+    for (t, n), g in group.items():
+        members.setdefault((t, g), set()).add(n)
+    assert run("group_members_whole") == {(t, g, len(m), min(m), max(m)) for (t, g), m in members.items()}
+    assert run("intra_group_edges_whole") == {e for e in edges if e[:2] in group and (e[0], e[2]) in group}
+    ways = {(t, *w, kind) for t, a, b, kind in edges for w in ((a, b), (b, a))}
+    assert run("weak_leads_whole") == {(t, group[t, a], b) for t, a, b, kind in ways if kind not in strong and (t, a) in group and b not in members[t, group[t, a]]}
+    depth = {(t, 7): 0 for t, a, _, _ in ways if a == 7}
+    for d in (1, 2):
+        for t, b in {(t, b) for t, a, b, _ in ways if depth.get((t, a)) == d - 1} - set(depth):
+            depth[t, b] = d
+    got = {(r.tenant_id, r.node, r.depth) for r in catalog.queries()["neighborhood_bfs_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(t, n, d) for (t, n), d in depth.items()}
+    assert len(run("import_set_hash_whole")) == 6000
