@@ -1,7 +1,8 @@
 """The registered queries and their DuckDB twins.
 
 Queries over orders as edges, and import_set_hash, hold a bounded range of keys in
-their SQL, as recursive SQL is slow; each has a twin NAME_whole over the whole table.
+their SQL, as recursive SQL is slow; those over indicators hold every fourth document
+and stix_hash_tokens two of five. Each has a twin NAME_whole over the whole table.
 """
 
 from __future__ import annotations
@@ -305,11 +306,39 @@ def hash_hunt(spark, sf_dir):
     return events.hash_hunt(events.upsert_indicators(_seen(spark, sf_dir)), B.artifacts(spark, sf_dir)).select("tenant_id", "sha256", "artifact_id")
 
 
+_ALL_SEEN = "seen AS (SELECT source AS tenant_id, 'feed' || (doc_id % 3) AS source, CASE WHEN lang = 'en' THEN 'sha256' ELSE 'md5' END AS ioc_type, CASE WHEN lang = 'en' THEN sha256(text) ELSE md5(text) END AS value, lang AS raw, doc_id AS seen_at FROM documents)"
+
+
+def _all_seen(spark, sf_dir):
+    """Every document, known by SHA-256 or, in other languages than English, by MD5 only."""
+    sha = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return B.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("tenant_id"), F.concat(F.lit("feed"), (F.col("doc_id") % 3).cast("string")).alias("source"), F.when(sha, "sha256").otherwise("md5").alias("ioc_type"),
+        F.upper(F.when(sha, F.sha2("text", 256)).otherwise(F.md5("text"))).alias("value"), F.col("lang").alias("raw"), F.col("doc_id").alias("seen_at"))
+
+
+@query(f"WITH {_ALL_SEEN} SELECT tenant_id, source, ioc_type, value, min(seen_at) AS first_seen, max(seen_at) AS last_seen, arg_max(raw, seen_at) AS raw FROM seen GROUP BY 1, 2, 3, 4")
+def indicator_upsert_whole(spark, sf_dir):
+    return events.upsert_indicators(_all_seen(spark, sf_dir))
+
+
+@query(f"WITH {B.ARTIFACT}, {_ALL_SEEN} SELECT tenant_id, sha256, artifact_id FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen WHERE ioc_type = 'sha256')")
+def hash_hunt_whole(spark, sf_dir):
+    return events.hash_hunt(events.upsert_indicators(_all_seen(spark, sf_dir)), B.artifacts(spark, sf_dir)).select("tenant_id", "sha256", "artifact_id")
+
+
+@query("""SELECT 'indicator--' || doc_id AS stix_id, unnest(['sha256', 'md5']) AS ioc_type, unnest([sha256(text), md5(text)]) AS value FROM documents WHERE lang = 'en'""")
+def stix_hash_tokens_whole(spark, sf_dir):
+    return _stix(B.table(spark, sf_dir, "documents"), F.when(F.col("lang") == "en", "indicator").otherwise("malware"))
+
+
 @query("""SELECT 'indicator--' || doc_id AS stix_id, unnest(['sha256', 'md5']) AS ioc_type, unnest([sha256(text), md5(text)]) AS value FROM documents WHERE doc_id % 5 = 0""")
 def stix_hash_tokens(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").where("doc_id % 5 IN (0, 1)")
+    return _stix(B.table(spark, sf_dir, "documents").where("doc_id % 5 IN (0, 1)"), F.when(F.col("doc_id") % 5 == 0, "indicator").otherwise("malware"))
+
+
+def _stix(docs, kind):
     pattern = F.concat(F.lit("[file:hashes.'SHA-256' = '"), F.upper(F.sha2("text", 256)), F.lit("' OR file:hashes.MD5 = '"), F.md5("text"), F.lit("']"))
-    kind = F.when(F.col("doc_id") % 5 == 0, "indicator").otherwise("malware")
     bundle = docs.select(F.to_json(F.struct(F.array(F.struct(kind.alias("type"), F.concat(F.lit("indicator--"), F.col("doc_id").cast("string")).alias("id"), pattern.alias("pattern"))).alias("objects"))).alias("bundle"))
     return events.stix_indicators(bundle).select("stix_id", "ioc_type", "value")
 
@@ -778,12 +807,17 @@ def investigation(spark, sf_dir):
 
 
 @query(f"""WITH {B.ARTIFACT}, {_SEEN} SELECT tenant_id, artifact_id, 'high' AS severity, 'intel' AS source FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen)""")
-def continuous_intel(spark, sf_dir):
+def continuous_intel(spark, sf_dir, seen=_seen):
     triggers = spark.createDataFrame([], "tenant_id string, condition string, trigger_id string, url string, enabled boolean")
-    found, _ = reports.continuous_intel(events.upsert_indicators(_seen(spark, sf_dir)), B.artifacts(spark, sf_dir), triggers)
+    found, _ = reports.continuous_intel(events.upsert_indicators(seen(spark, sf_dir)), B.artifacts(spark, sf_dir), triggers)
     return found.select("tenant_id", "artifact_id", "severity", "source")
 
 
+@query(f"""WITH {B.ARTIFACT}, {_ALL_SEEN} SELECT tenant_id, artifact_id, 'high' AS severity, 'intel' AS source FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen WHERE ioc_type = 'sha256')""")
+def continuous_intel_whole(spark, sf_dir):
+    return continuous_intel(spark, sf_dir, _all_seen)
+
+
 @query()
 def function_coverage(spark, sf_dir):
     """Items of the benchmark as artifacts, their sentences as functions; not told in SQL, as the matching is greedy."""

@@ -70,3 +70,10 @@ def test_whole_graph_equals_union_find(spark, tmp_path):
     got = {(r.tenant_id, r.node, r.depth) for r in catalog.queries()["neighborhood_bfs_whole"](spark, str(tmp_path)).collect()}
     assert got == {(t, n, d) for (t, n), d in depth.items()}
     assert len(run("import_set_hash_whole")) == 6000
+
+
+def test_every_document_reaches_the_indicators(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = catalog.queries()["indicator_upsert_whole"](spark, SF)
+    assert found.select("value").distinct().count() == docs.select("text").distinct().count()
+    assert catalog.queries()["stix_hash_tokens_whole"](spark, SF).count() == 2 * docs.where("lang = 'en'").count() > 0
