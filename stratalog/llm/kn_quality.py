@@ -15,6 +15,12 @@ table bars and repeats lower it. For each language the median and the
 median absolute deviation of log perplexity, exact over all documents that pass
 the base rules, give the lower and the upper band.
 
+A second model counts pairs of words over the whole corpus (`kn_words`), so
+words, their order and scripts that the alphabet folds together count as well. A
+document is kept within the bands of the first and below the upper band of the
+second: text that others repeat is foretold well, and copies are not the matter
+of these rules.
+
 Null and empty texts have no perplexity and fail the base rules. A null
 language is a language of its own. Repeated rows count as often as they stand.
 """
@@ -31,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalog.llm import kn_words
 from stratalog.llm.common import durable, pieces
 
 ORDER, ALPHABET = 4, 47
@@ -230,10 +237,16 @@ def base_measures(text: bytes, numbers: dict[bytes, int]) -> tuple[int, int, int
 _MOST_NUMBERS = 2_000_000
 
 
+def _with_words(batches: Iterator[pa.RecordBatch], model: kn_words.WordModel) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "__text", kn_words.PIECE):
+        texts = batch.column(batch.schema.get_field_index("__text")).cast(pa.binary()).fill_null(b"").to_pylist()
+        yield batch.append_column("__word_ppl", pa.array(model.log_perplexity(texts), from_pandas=True))
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, measured: bool) -> Iterator[pa.RecordBatch]:
-    scorer = _Scorer(model.value)
+    scorer = _Scorer(model.value[0])
     numbers: dict[bytes, int] = {}
-    for batch in pieces(batches, "__text"):
+    for batch in pieces(_with_words(batches, model.value[1]), "__text"):
         at = batch.schema.get_field_index("__text")
         texts = batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
         out = batch.remove_column(at).append_column("__log_ppl", pa.array(scorer(texts), from_pandas=True))
@@ -253,12 +266,12 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def scored(docs: DataFrame, model: Broadcast, *, text: str = "text", keep: tuple[str, ...], measured: bool = True) -> DataFrame:
     given = docs.select(*keep, F.col(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"] + ["__log_ppl double"] + [f"{m} long" for m in MEASURES if measured]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"] + ["__word_ppl double", "__log_ppl double"] + [f"{m} long" for m in MEASURES if measured]
     return given.mapInArrow(partial(_score, model=model, measured=measured), ", ".join(fields))
 
 
-def bands(narrow: DataFrame, lang: str = "lang") -> DataFrame:
-    """narrow (lang, __log_ppl): (lang, low, high) from exact binned medians and median deviations."""
+def bands(narrow: DataFrame, lang: str = "lang", column: str = "__log_ppl") -> DataFrame:
+    """narrow (lang, column): (lang, low, high) from exact binned medians and median deviations."""
 
     def median(df: DataFrame, value: str) -> DataFrame:
         binned = df.groupBy(lang, F.round(F.col(value) / BIN).cast("long").alias("b")).agg(F.sum("n").alias("n"))
@@ -266,7 +279,7 @@ def bands(narrow: DataFrame, lang: str = "lang") -> DataFrame:
         upto = binned.withColumn("upto", F.sum("n").over(by.orderBy("b"))).withColumn("all", F.sum("n").over(by))
         return upto.where(2 * F.col("upto") >= F.col("all")).groupBy(lang).agg((F.min("b") * BIN).alias("m"))
 
-    hist = durable(narrow.where(F.col("__log_ppl").isNotNull()).groupBy(lang, (F.round(F.col("__log_ppl") / BIN) * BIN).alias("x")).agg(F.count("*").alias("n")))
+    hist = durable(narrow.where(F.col(column).isNotNull()).groupBy(lang, (F.round(F.col(column) / BIN) * BIN).alias("x")).agg(F.count("*").alias("n")))
     middle = median(hist, "x")
     away = hist.join(middle.withColumnRenamed(lang, "__l"), F.col(lang).eqNullSafe(F.col("__l"))).select(lang, F.abs(F.col("x") - F.col("m")).alias("d"), "n")
     spread = median(away, "d").select(F.col(lang).alias("__l"), F.col("m").alias("mad"))
@@ -280,16 +293,19 @@ MOST_LANGUAGES = 50_000
 
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(kept columns, MEASURES, base_failed, perplexity, low, high, kept)."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, text))
-    found = durable(bands(scored(docs, model, text=text, keep=(lang,), measured=False), lang))
-    if found.count() <= MOST_LANGUAGES:
-        found = F.broadcast(found)
-    columns = tuple(dict.fromkeys((*keep, lang)))
-    rows = scored(docs, model, text=text, keep=columns).join(found, F.col(lang).eqNullSafe(F.col("__lang")), "left")
+    """(kept columns, MEASURES, base_failed, perplexity, low, high, word_perplexity, word_high, kept)."""
+    model = docs.sparkSession.sparkContext.broadcast((train(docs, text), kn_words.train(docs, text)))
+    rows = narrow = durable(scored(docs, model, text=text, keep=tuple(dict.fromkeys((*keep, lang)))))
+    for prefix, column in (("", "__log_ppl"), ("__word", "__word_ppl")):
+        found = durable(bands(narrow, lang, column)).toDF(*(f"{prefix}{x}" for x in ("__lang", "__low", "__high")))
+        if found.count() <= MOST_LANGUAGES:
+            found = F.broadcast(found)
+        rows = rows.join(found, F.col(lang).eqNullSafe(F.col(f"{prefix}__lang")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    within = F.coalesce(F.col("__log_ppl").between(F.col("__low"), F.col("__high")), F.lit(False))
-    return rows.select(*keep, *MEASURES, failed.alias("base_failed"), F.exp("__log_ppl").alias("perplexity"), F.exp("__low").alias("low"), F.exp("__high").alias("high"), (~failed & within).alias("kept"))
+    within = F.coalesce(F.col("__log_ppl").between(F.col("__low"), F.col("__high")) & (F.col("__word_ppl") <= F.col("__word__high")), F.lit(False))
+    return rows.select(
+        *keep, *MEASURES, failed.alias("base_failed"), F.exp("__log_ppl").alias("perplexity"), F.exp("__low").alias("low"), F.exp("__high").alias("high"),
+        F.exp("__word_ppl").alias("word_perplexity"), F.exp("__word__high").alias("word_high"), (~failed & within).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

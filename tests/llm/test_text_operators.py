@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm import byte_bpe, crf_pages, html_blocks, html_crf, kn_quality, license_scan, token_count, toxicity, url_filter
+from stratalog.llm import byte_bpe, crf_pages, html_blocks, html_crf, kn_quality, kn_words, license_scan, token_count, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "word " * 5000, "日本語 text 😀😀  \n\n x", "aaaaaaaaaaaaaaaaaaaaaaaaaa", "same", "same", "\x1c\x85\xa0 nbsp", "it's I'll we've DON'T", "x<|endoftext|>y  <|endoftext|>"]
@@ -123,6 +123,51 @@ def test_kneser_ney_equals_a_plain_one_and_sums_to_one(spark):
         assert abs(np.exp(model.log_probability(every)).sum() - 1) < 1e-9
 
 
+def _plain_word_perplexity(texts, which):
+    """Modified Kneser-Ney over pairs, by dictionaries, discounts of all texts, counts of the others."""
+    split = [re.findall(r"[a-z]+|[.,]", t.lower()) for t in texts]
+    ways = [[("", *w[:1])] * bool(w) + list(zip(w, w[1:], strict=False)) for w in split]
+    whole = Counter(p for w in ways for p in w)
+    rest = whole - Counter(ways[which])
+    heads = lambda c: Counter(w for _, w in c)
+    d = [kn_words.discounts([sum(v == k for v in c.values()) for k in range(1, 5)]) for c in (whole, heads(whole))]
+    mass = sum(d[1][min(3, v)] for v in heads(whole).values())
+    some, n = heads(rest), len(rest)
+    logs = 0
+    for c, w in ways[which]:
+        low = (max(0, some[w] - d[1][min(3, some[w])]) + mass / (len(heads(whole)) + 1)) / n
+        after = {k: v for k, v in rest.items() if k[0] == c}
+        total = sum(after.values())
+        logs += np.log((max(0, rest[c, w] - d[0][min(3, rest[c, w])]) + sum(d[0][min(3, v)] for v in after.values()) * low) / total if total else low)
+    return -logs / len(ways[which])
+
+
+def test_word_model_equals_a_plain_one(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["The", "cat", "sat,", "on", "a", "mat.", "dog", "ran"], k=r.randint(1, 30))) for _ in range(40)] + ["only here once", "the cat sat", ""]
+    model = kn_words.train(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(5))
+    got = model.log_perplexity([t.encode() for t in texts])
+    assert np.isnan(got[-1]) and np.allclose(got[:-1], [_plain_word_perplexity(texts, i) for i in range(len(texts) - 1)])
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnop", "абвгдежзиклмнопр"])
+def test_word_salad_goes(spark, letters):
+    r = random.Random(5)
+    lexicon = ["".join(r.choices(letters, k=r.randint(3, 8))) for _ in range(300)]
+    chain = {w: r.sample(lexicon, 3) for w in lexicon}
+    texts = []
+    for _ in range(300):
+        now, text = r.choice(lexicon), []
+        for _ in range(120):
+            text.append(now)
+            now = r.choice(chain[now])
+        texts.append(text)
+    salad = [r.sample(t, len(t)) for t in texts[:5]]
+    rows = kn_quality.judge(spark.createDataFrame([(i, " ".join(t), "xx") for i, t in enumerate(texts + salad)], "doc_id long, text string, lang string")).collect()
+    assert sum(x.kept for x in rows if x.doc_id < 300) > 290
+    assert not any(x.kept for x in rows if x.doc_id >= 300)
+
+
 def test_quality_verdicts(spark, odd):
     rows = {r.doc_id: r for r in kn_quality.judge(odd).collect()}
     assert len(rows) == len(ODD) + 1
