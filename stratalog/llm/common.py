@@ -3,10 +3,12 @@ Arrow batches in bounded pieces, and connected components."""
 
 from __future__ import annotations
 
-import re
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same set of separators, as a character class.
 GAP = r"[\x20\x09-\x0D]"
-#: The part of Unicode for which `simple_pattern` holds.
-_BEYOND = re.compile("[^\x00-ɏ]")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if folder := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return folder
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.gettempdir() + "/stratalog-checkpoints"
 
@@ -42,19 +42,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Lets Arrow batches hold so many rows at most: for steps whose rows carry whole texts as arrays of words.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    A session setting that bounds the memory of Python workers and changes no
-    result; a smaller one stays.
+
+def limit_batches(spark: SparkSession, rows: int = 1_000) -> str:
+    """Lets the session's Arrow batches hold so many rows at most; returns the former setting.
+
+    Spark bounds these batches by rows alone, whole texts and all, in the JVM and in the worker. Only applications
+    (the pipeline's stages and the query of operator 5) call this, operators never; it changes no result.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+    before = spark.conf.get(BATCH_ROWS)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+    return before
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Splits batches so that a piece holds about `most` bytes of a string column; a longer text stands alone."""
+    """Splits batches so that a piece holds about `most` bytes of a string column; a longer text stands alone.
+
+    A batch is let go before the next one is read; a caller that does so with its pieces holds one batch at a time.
+    """
     for batch in batches:
         sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
         start = held = 0
@@ -65,14 +72,35 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             held += n
         if batch.num_rows > start:
             yield batch.slice(start)
+        del batch
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of the elements of slices (start, length), one slice after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on after its task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
-    return batch.column(batch.schema.get_field_index(column)).fill_null("").to_pylist()
+def packed(x: np.ndarray, deltas: bool = False) -> bytes:
+    """A numpy array of 4 or 8 byte integers, byte plane by byte plane, compressed; deltas: of sorted ones, their differences."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if deltas else x
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def within_latin(text: str) -> bool:
-    return _BEYOND.search(text) is None
+def unpacked(b: bytes, dtype: type, deltas: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(b[8:], size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    x = np.ascontiguousarray(planes.T).view(dtype)[:, 0]
+    return np.cumsum(x, dtype=dtype) if deltas else x
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

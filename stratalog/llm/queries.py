@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm import byte_bpe, html_crf, itq, kn_quality, license_scan, mixing, simhash, token_count, toxicity, url_filter
-from stratalog.llm.common import read
+from stratalog.llm.common import limit_batches, read
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit_batches(spark)
     return byte_bpe.encode(read(spark, sf_dir, "documents"), ids=False, digests=True)
 
 

@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.byte_bpe import default_pattern, ragged
+from stratalog.llm.byte_bpe import default_pattern
+from stratalog.llm.common import ragged
 
 #: Distinct words a task remembers before it forgets them all; bounds its memory, never its results.
 MEMORY_WORDS = 2_000_000
