@@ -7,13 +7,17 @@ pools their states, and a logistic unit gives the window's score. All windows
 of WINDOW words, each overlapping the next by half, cover a whole text; the
 text's score is its highest window's.
 
-Training is plain numpy on the driver, over at most TRAIN_ROWS labelled rows of
-each class, drawn by a hash of their ids: a text is taught by its highest
-window of the epoch and a random one. The network's weights (a few MB) are
-broadcast; scoring runs over Arrow batches and shuffles nothing.
-
-Null and empty texts get the score of an empty window; if the labels lack a
-class, every score is 0. Labels, language, source and ids are no inputs.
+Training is plain numpy on the driver, over at most TRAIN_ROWS labelled ids of
+each class, drawn by a hash, and whole texts of at most TRAIN_BYTES: a text is
+taught by its highest window of the epoch and a random one. The network's
+weights (a few MB) are broadcast; scoring cuts whole texts into words within the
+worker, a slice of SLICE_BYTES at a time, and shuffles nothing.
+
+Null and empty texts get the score of an empty window; a very long text is
+scored whole, in a slice of its own. Repeated rows get equal scores; an id that
+repeats is learned from once. If the labels lack a class, or a table is empty,
+every score is 0. Extra columns are left out unless kept. Labels, language,
+source and ids are no inputs.
 """
 
 from __future__ import annotations
@@ -28,20 +32,19 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.byte_bpe import ragged
-from stratalog.llm.common import WORD, small_batches
+from stratalog.llm.common import give_back, pieces, ragged
 
-#: Most labelled rows of a class to learn from.
-TRAIN_ROWS = 2_000
+#: Most labelled ids of a class to learn from, and bytes of a text that is learned from: the sample holds 64 MB at most. Scoring has no such bound.
+TRAIN_ROWS, TRAIN_BYTES = 2_000, 16 << 10
 WINDOW, STRIDE = 32, 16
 THRESHOLD = 0.7
 WIDTH, HIDDEN = 10, 8
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
-EPOCHS, BATCH = 10, 128
+EPOCHS, BATCH = 6, 128
 #: Distinct words a worker keeps before it starts over.
-MEMORY_WORDS = 300_000
-#: Words scored at a time.
-SLICE_WORDS = 400_000
+MEMORY_WORDS = 150_000
+#: Bytes of text scored at a time; a longer text stands alone.
+SLICE_BYTES = 2 << 20
 _MIX = np.random.default_rng(5).integers(1, 2**31, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -98,11 +101,14 @@ class Network:
         self.p = {"W": f(2, WIDTH, 3 * HIDDEN), "U": f(2, HIDDEN, 3 * HIDDEN), "b": np.zeros((2, 1, 3 * HIDDEN), np.float32),
                   "A": f(2 * HIDDEN, HIDDEN), "v": f(HIDDEN), "w": f(2 * HIDDEN), "c": np.zeros(1, np.float32)}
 
-    def all_gates(self, words: np.ndarray, grams: np.ndarray, n: np.ndarray, step: int = 20_000) -> np.ndarray:
+    def all_gates(self, words: np.ndarray, grams: np.ndarray, n: np.ndarray, step: int = 5_000) -> np.ndarray:
         """Gate inputs of many words, a block of them at a time."""
         ends = np.concatenate([[0], np.cumsum(n)])
-        parts = [self.project(self.embed(words[i:i + step], grams[ends[i]:ends[min(len(n), i + step)]], n[i:i + step])) for i in range(0, max(1, len(n)), step)]
-        return np.concatenate(parts, axis=1)
+        out = np.empty((2, len(n), 3 * HIDDEN), np.float32)
+        for i in range(0, len(n), step):
+            j = min(len(n), i + step)
+            out[:, i:j] = self.project(self.embed(words[i:j], grams[ends[i]:ends[j]], n[i:j]))
+        return out
 
     def embed(self, words: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
         out = self.words[words]
@@ -193,12 +199,21 @@ class Network:
         return best, logits, (owner, start, size)
 
 
-def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All lower-cased words, one text after the other, and each text's count; a null text has none."""
+    listed = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    flat = listed.flatten()
+    full = pc.not_equal(flat, "")  # white space at either end leaves an empty string
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return flat.filter(full), np.diff(upto[ends])
+
+
+def split(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct lower-cased words, each text's word numbers one after the other, and the texts' counts."""
-    seen: dict[str, int] = {}
-    number = lambda w: seen.setdefault(w, len(seen))
-    rows = [np.array([number(w) for w in t.lower().encode().split()], np.int32) for t in texts]
-    return list(seen), np.concatenate([*rows, np.zeros(0, np.int32)]), np.array(list(map(len, rows)), np.int64)
+    flat, counts = words_of(pa.array(texts, pa.string()))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), counts
 
 
 def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | None:
@@ -208,23 +223,15 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | None:
         return None
     net, r = Network(seed), np.random.default_rng(seed)
     vocabulary, numbers, counts = split(texts)
+    give_back()
     features = []
-    for i in range(0, max(1, len(vocabulary)), 20_000):
-        some = vocabulary[i:i + 20_000]
+    for i in range(0, max(1, len(vocabulary)), 5_000):
+        some = vocabulary[i:i + 5_000]
         w, g, n = word_features(np.frombuffer(b"".join(some), np.uint8), np.array(list(map(len, some)), np.int64))
         features.append((w.astype(np.int32), g.astype(np.int32), n))
     words, grams, n_grams = (np.concatenate(x) for x in zip(*features, strict=True))
     del vocabulary, features
     gram_start = np.cumsum(n_grams) - n_grams
-    # the first coordinate starts from how much oftener texts of class 1 have a row; the rest is learned from noise
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    tallies = {size: np.zeros((2, size)) for size in (WORD_ROWS, GRAM_ROWS)}
-    for i, label in enumerate(labels):
-        own = np.unique(numbers[ends[i]:ends[i + 1]])
-        tallies[WORD_ROWS][label, np.unique(words[own])] += 1
-        tallies[GRAM_ROWS][label, np.unique(grams[ragged(gram_start[own], n_grams[own])])] += 1
-    for table, (zero, one) in ((net.words, tallies[WORD_ROWS]), (net.grams, tallies[GRAM_ROWS])):
-        table[:, 0] = np.clip(np.log((one + 1) / (y.sum() + 2) / ((zero + 1) / (len(y) - y.sum() + 2))), -3, 5) * (one + zero > 2) * 0.3
     speed = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     seen_w, seen_g, count = np.full(WORD_ROWS, 1e-4, np.float32), np.full(GRAM_ROWS, 1e-4, np.float32), 0
     every = np.arange(WINDOW)
@@ -264,31 +271,19 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | None:
                 np.add.at(total, inverse, grad)
                 seen[rows] += (total * total).mean(axis=1)
                 table[rows] -= 0.03 * total / np.sqrt(seen[rows])[:, None]
+    del gates, logits, own, start, size, words, grams, n_grams, gram_start, numbers
+    give_back()
     return net
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of about SLICE_WORDS words at a time; a longer text stands alone."""
-    for batch in batches:
-        column = batch.column(batch.schema.get_field_index("__words"))
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        row = 0
-        while row < batch.num_rows:
-            before = int(ends[row - 1]) if row else 0
-            stop = max(row + 1, int(np.searchsorted(ends, before + SLICE_WORDS, "right")))
-            yield batch.slice(row, stop - row)
-            row = stop
-
-
-def _score(batches: Iterator[pa.RecordBatch], network: Broadcast) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], network: Broadcast, column: str, kept: bool) -> Iterator[pa.RecordBatch]:
     net: Network = network.value
     seen, gates = pa.array([], pa.string()), np.zeros((2, 0, 3 * HIDDEN), np.float32)
     nothing = net.project(np.zeros((1, WIDTH), np.float32))
-    for batch in _slices(batches):
-        at = batch.schema.get_field_index("__words")
-        column = batch.column(at)
-        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = column.flatten().dictionary_encode()
+    for batch in pieces(batches, column, SLICE_BYTES):
+        at = batch.schema.get_field_index(column)
+        flat, counts = words_of(batch.column(at))
+        part = flat.dictionary_encode()
         if len(seen) > MEMORY_WORDS:
             seen, gates = seen.slice(0, 0), gates[:, :0]
         known = pc.index_in(part.dictionary, value_set=seen) if len(seen) else pa.nulls(len(part.dictionary), pa.int32())
@@ -296,15 +291,18 @@ def _score(batches: Iterator[pa.RecordBatch], network: Broadcast) -> Iterator[pa
         added = part.dictionary.filter(new)
         raw = added.cast(pa.binary()).to_pylist()
         fresh = []
-        for lo in range(0, len(raw), 50_000):
-            some = raw[lo:lo + 50_000]
+        for lo in range(0, len(raw), 5_000):
+            some = raw[lo:lo + 5_000]
             fresh.append(net.all_gates(*word_features(np.frombuffer(b"".join(some), np.uint8), np.array(list(map(len, some)), np.int64))))
         number = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         number[new.to_numpy(zero_copy_only=False)] = len(seen) + np.arange(len(added))
         seen, gates = pa.concat_arrays([seen, added]), np.concatenate([gates, *fresh], axis=1)
         numbers = number[part.indices.to_numpy()] if len(part) else np.zeros(0, np.int64)
         best, _, _ = net.scores(gates if gates.shape[1] else nothing, numbers, counts)
-        yield batch.remove_column(at).append_column("__score", pa.array(_sigmoid(best.astype(np.float64))))
+        yield (batch if kept else batch.remove_column(at)).append_column("__score", pa.array(_sigmoid(best.astype(np.float64))))
+        del batch, flat, part, known, new, added, raw, fresh, number, numbers, counts
+    del seen, gates
+    give_back()
 
 
 def held_out(key: Column) -> Column:
@@ -312,26 +310,31 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most TRAIN_ROWS labelled texts of each class, by a hash of their ids, without those held out."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("__y"))
-    picked = None
-    for y in (0, 1):
-        some = known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-        picked = some if picked is None else picked.unionByName(some)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "__y", F.coalesce("text", F.lit("")).alias("t")).collect()  # bounded by the sample
-    rows.sort(key=lambda r: (r["doc_id"], r["__y"], r["t"]))
-    return [r["t"] for r in rows], [r["__y"] for r in rows]
+    """Texts of at most TRAIN_ROWS labelled ids of each class, by a hash of their ids, without those held out and texts beyond TRAIN_BYTES.
+
+    An id counts once: of repeated rows one is taken. Both bounds hold before anything is collected.
+    """
+    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("__y"))
+    draw = (F.xxhash64("doc_id"), F.col("doc_id"))
+    picked = known.where("__y = 0").orderBy(*draw).limit(TRAIN_ROWS).unionByName(known.where("__y = 1").orderBy(*draw).limit(TRAIN_ROWS))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where(F.octet_length(text) <= TRAIN_BYTES).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "__y").agg(F.min(text).alias("t")).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending")])
+    return rows["t"].to_pylist(), rows["__y"].to_pylist()
 
 
 def score(docs: DataFrame, network: Network | None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(kept columns, score)."""
+    """(kept columns, score). A column of docs named score may not be kept beside it."""
+    if "score" in keep:
+        raise ValueError("score is a column of the result")
     if network is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)
-    given = docs.select(*keep, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0)).alias("__words"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__words")
-    return given.mapInArrow(partial(_score, network=sent), f"{schema}, __score double").withColumnRenamed("__score", "score")
+    kept = text in keep
+    column = text if kept else "__text"
+    given = docs.select(*keep) if kept else docs.select(*keep, F.col(text).alias(column))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if kept or f.name != column)
+    return given.mapInArrow(partial(_score, network=sent, column=column, kept=kept), f"{schema}, __score double").withColumnRenamed("__score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
