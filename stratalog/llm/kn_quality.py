@@ -5,7 +5,7 @@ a fixed alphabet (letters without case, digits, groups of punctuation, lead and
 continuation bytes of other scripts). Spark counts every n-gram of every
 document; each task adds up its texts before the shuffle. Lower orders count
 continuations. The alphabet bounds the table by ALPHABET ** ORDER n-grams
-whatever the corpus (a word n-gram table has no such bound, so it could not be
+whatever the input (a word n-gram table has no such bound, so it could not be
 broadcast), so the model is collected, its discounts and interpolated
 probabilities are computed, and it is stored as sorted hash arrays: an order's
 n-gram hashes in order, with a log probability and a back-off weight each.
@@ -15,14 +15,16 @@ table bars and repeats lower it. For each language the median and the
 median absolute deviation of log perplexity, exact over all documents that pass
 the base rules, give the lower and the upper band.
 
-A second model counts pairs of words over the whole corpus (`kn_words`), so
+A second model counts pairs of word classes over all documents (`kn_words`), so
 words, their order and scripts that the alphabet folds together count as well. A
 document is kept within the bands of the first and below the upper band of the
 second: text that others repeat is foretold well, and copies are not the matter
 of these rules.
 
-Null and empty texts have no perplexity and fail the base rules. A null
-language is a language of its own. Repeated rows count as often as they stand.
+Null and empty texts have no perplexity and fail the base rules; a very long
+text is measured whole. A null language is a language of its own. Repeated rows
+count as often as they stand. An empty table gives an empty result. Extra
+columns are left out unless kept; one kept under a result's name is refused.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalog.llm import kn_words
-from stratalog.llm.common import durable, pieces
+from stratalog.llm.common import durable, give_back, pieces
 
 ORDER, ALPHABET = 4, 47
 SPACE = ALPHABET ** ORDER
@@ -49,6 +51,8 @@ MIN_WORDS = 20
 BAND_DEVIATIONS, LEAST_WIDTH = 4.0, 1.0
 #: Log perplexity is binned this finely for medians.
 BIN = 0.001
+#: Bytes of text scored at once; a longer text stands alone.
+SLICE_BYTES = 1 << 20
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -100,10 +104,12 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SPACE, np.int64)
-    for batch in pieces(batches, "__text"):
+    for batch in pieces(batches, "__text", 4 * SLICE_BYTES):
         code, _ = grams(batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist())
         total += np.bincount(code, minlength=SPACE)
+        del batch, code
     at = np.flatnonzero(total)
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
 
@@ -176,26 +182,29 @@ class Model:
 def train(docs: DataFrame, text: str = "text") -> Model:
     tables = []
     for table in count_orders(docs, text):
-        rows = table.toPandas()  # bounded by the alphabet
-        tables.append((rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)))
-    return Model(tables)
+        rows = table.toArrow()  # bounded by the alphabet
+        tables.append((rows["gram"].to_numpy(), rows["n"].to_numpy()))
+    model = Model(tables)
+    del tables, rows
+    give_back()
+    return model
 
 
 class _Scorer:
     """Looks each n-gram up once in a worker."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.value = model, np.zeros(SPACE, bool), np.zeros(SPACE)
+        self.model, self.known, self.value = model, np.zeros(SPACE, bool), np.zeros(SPACE, np.float32)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """Log perplexity of each text, for a word; NaN of one without words."""
         code, _ = grams(texts)
         n = np.fromiter((len(t.split()) for t in texts), np.int64, len(texts))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        new = np.flatnonzero((np.bincount(code, minlength=SPACE) > 0) & ~self.known)
+        new = np.unique(code[~self.known[code]])
         self.value[new] = self.model.log_probability(new)
         self.known[new] = True
-        upto = np.concatenate([[0.0], np.cumsum(self.value[code])])
+        upto = np.concatenate([[0.0], np.cumsum(self.value[code], dtype=np.float64)])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(n > 0, -(upto[ends[1:]] - upto[ends[:-1]]) / n, np.nan)
@@ -222,9 +231,14 @@ def base_measures(text: bytes, numbers: dict[bytes, int]) -> tuple[int, int, int
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         if same.any():
+            window = np.lib.stride_tricks.sliding_window_view(ids, REPEAT)
             twice = np.zeros(n, bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
+            if (window[order[1:][same]] == window[order[:-1][same]]).all():
+                twice[order[1:][same]] = True
+                twice[order[:-1][same]] = True
+            else:  # two different windows have one hash
+                _, which, many = np.unique(window, axis=0, return_inverse=True, return_counts=True)
+                twice = many[which.reshape(-1)] > 1
             cover = np.zeros(len(ids) + 1, np.int64)
             at = np.flatnonzero(twice)
             np.add.at(cover, at, 1)
@@ -234,22 +248,16 @@ def base_measures(text: bytes, numbers: dict[bytes, int]) -> tuple[int, int, int
 
 
 #: Words a worker numbers before it starts over.
-_MOST_NUMBERS = 2_000_000
-
-
-def _with_words(batches: Iterator[pa.RecordBatch], model: kn_words.WordModel) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "__text", kn_words.PIECE):
-        texts = batch.column(batch.schema.get_field_index("__text")).cast(pa.binary()).fill_null(b"").to_pylist()
-        yield batch.append_column("__word_ppl", pa.array(model.log_perplexity(texts), from_pandas=True))
+_MOST_NUMBERS = 250_000
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, measured: bool) -> Iterator[pa.RecordBatch]:
-    scorer = _Scorer(model.value[0])
+    scorer, word_model = _Scorer(model.value[0]), model.value[1]
     numbers: dict[bytes, int] = {}
-    for batch in pieces(_with_words(batches, model.value[1]), "__text"):
+    for batch in pieces(batches, "__text", SLICE_BYTES):
         at = batch.schema.get_field_index("__text")
         texts = batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
-        out = batch.remove_column(at).append_column("__log_ppl", pa.array(scorer(texts), from_pandas=True))
+        out = batch.remove_column(at).append_column("__word_ppl", pa.array(word_model.log_perplexity(texts), from_pandas=True)).append_column("__log_ppl", pa.array(scorer(texts), from_pandas=True))
         if measured:
             rows = []
             for t in texts:
@@ -259,6 +267,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, measured: bool)
             for name, column in zip(MEASURES, np.array(rows, np.int64).reshape(-1, len(MEASURES)).T, strict=True):
                 out = out.append_column(name, pa.array(np.ascontiguousarray(column)))
         yield out
+        del batch, texts, out
+    del scorer, numbers
+    give_back()
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -294,14 +305,17 @@ MOST_LANGUAGES = 50_000
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(kept columns, MEASURES, base_failed, perplexity, low, high, word_perplexity, word_high, kept)."""
+    if clash := set(keep) & {*MEASURES, "base_failed", "perplexity", "low", "high", "word_perplexity", "word_high", "kept"}:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     model = docs.sparkSession.sparkContext.broadcast((train(docs, text), kn_words.train(docs, text)))
-    rows = narrow = durable(scored(docs, model, text=text, keep=tuple(dict.fromkeys((*keep, lang)))))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    given = docs.select(*keep, F.col(lang).alias("__of"), F.col(text).alias("__body"))
+    rows = narrow = durable(scored(given, model, text="__body", keep=(*keep, "__of")))
     for prefix, column in (("", "__log_ppl"), ("__word", "__word_ppl")):
-        found = durable(bands(narrow, lang, column)).toDF(*(f"{prefix}{x}" for x in ("__lang", "__low", "__high")))
+        found = durable(bands(narrow.where(~failed), "__of", column)).toDF(*(f"{prefix}{x}" for x in ("__lang", "__low", "__high")))
         if found.count() <= MOST_LANGUAGES:
             found = F.broadcast(found)
-        rows = rows.join(found, F.col(lang).eqNullSafe(F.col(f"{prefix}__lang")), "left")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+        rows = rows.join(found, F.col("__of").eqNullSafe(F.col(f"{prefix}__lang")), "left")
     within = F.coalesce(F.col("__log_ppl").between(F.col("__low"), F.col("__high")) & (F.col("__word_ppl") <= F.col("__word__high")), F.lit(False))
     return rows.select(
         *keep, *MEASURES, failed.alias("base_failed"), F.exp("__log_ppl").alias("perplexity"), F.exp("__low").alias("low"), F.exp("__high").alias("high"),

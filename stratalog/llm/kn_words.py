@@ -1,42 +1,37 @@
-"""A modified Kneser-Ney model of word pairs over the whole corpus, each document scored by all others.
+"""A modified Kneser-Ney model of pairs of words, each document scored by all others.
 
 A word is a run of ASCII letters and digits (without case) and of other bytes
 beyond ASCII; a punctuation mark is a word, and so is each character from
-U+3000 on. Words stand as 32-bit hashes, so of four million distinct words
-about one in a thousand shares its hash with another.
+U+3000 on. Words fall into CLASSES classes by a hash, so pairs of classes are
+bounded by CLASSES ** 2 whatever the corpus and however many words it has:
+frequent words rule their classes, and rare ones add noise.
 
-Tasks add up their pairs before the shuffle; whole counts are kept as sorted
-arrays by range of the context's hash, in the folder that all executors share.
-Nothing is capped, and nothing is collected but counts of counts. Scoring looks
-a piece of documents up range by range, so a worker holds one range at a time;
-every piece reads all ranges.
+Tasks add up their pairs of whole texts before the shuffle; counts go by range
+of the first class as compressed sorted arrays and are added up again, and the
+driver gets one sorted array of pair codes and counts, which is broadcast.
+Nothing is cut off.
 
-A document's own pairs are taken from the counts before it is scored: words in
-a senseless order would foretell themselves otherwise.
+A document's own pairs are taken from the counts of its pairs before it is
+scored: words in a senseless order would foretell themselves otherwise.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import pieces, shared_dir
+from stratalog.llm.common import give_back, packed, pieces, unpacked
 
-#: Bytes of text for each range of the tables, and pairs a task holds before it adds them up.
-RANGE_BYTES, HELD = 16 << 20, 2_000_000
-#: Bytes of text split into words at once, and looked up at once.
-CHUNK, PIECE = 1 << 20, 20 << 20
-_LOW = np.uint64(0xFFFFFFFF)
+#: Classes of words; one more stands for the start of a text.
+CLASSES = 2048
+SPACE = (CLASSES + 1) * CLASSES
+#: Ranges of first classes, and bytes of text split into words at once.
+RANGES, CHUNK = 16, 1 << 20
 _32 = np.uint64(32)
-_START = np.uint64(1)
 
 
 def _kinds() -> np.ndarray:
@@ -69,121 +64,82 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of all words, and the number of the text each stands in."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     kind = _KIND[data]
-    lead = np.maximum.accumulate(np.where(kind != 4, np.arange(len(data), dtype=np.int64), 0))
-    whole = kind[lead]
-    begins = kind >= 2
-    begins &= kind != 4
+    if (kind == 4).any():
+        lead = np.maximum.accumulate(np.where(kind != 4, np.arange(len(data), dtype=np.int32), np.int32(0)))
+        whole = kind[lead]
+    else:
+        whole = kind
+    begins = (kind == 2) | (kind == 3)
     begins[1:] |= (kind[1:] == 1) & (whole[:-1] != 1)
     begins[0] = kind[0] not in (0, 4)
     at = np.flatnonzero(begins)
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = np.cumsum(begins) - 1
-    value = _BYTE[data] * _PLACE[(np.arange(len(data)) - at[np.maximum(word, 0)]) & 1023]
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(at, np.diff(np.append(at, len(data)))).astype(np.int32) if at[0] == 0 else np.arange(len(data), dtype=np.int32) - np.concatenate(
+        [np.zeros(at[0], np.int32), np.repeat(at, np.diff(np.append(at, len(data)))).astype(np.int32)])
+    value = _BYTE[data] * _PLACE[place & 1023]
     value[whole == 0] = 0
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     return _mix(np.add.reduceat(value, at)) >> _32, np.searchsorted(ends, at, side="right")
 
 
 def pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """context << 32 | word for each word, and the number of its text."""
+    """Class before * CLASSES + class for each word, and the number of its text."""
     w, doc = words(texts)
-    context = np.empty_like(w)
-    context[1:] = w[:-1]
-    first = np.ones(len(w), bool)
-    first[1:] = doc[1:] != doc[:-1]
-    context[first] = _START
-    return context << _32 | w, doc
+    now = (w * np.uint64(CLASSES) >> _32).astype(np.int64)
+    before = np.full(len(now), CLASSES, np.int64)
+    same = doc[1:] == doc[:-1]
+    before[1:][same] = now[:-1][same]
+    return before * CLASSES + now, doc
 
 
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Parts of a list of about CHUNK bytes, with the place of their first text."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > CHUNK:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield first, texts[first:]
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Differences, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), 8).T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    planes = np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64)
-
-
-def _dealt(keys: np.ndarray, counts: np.ndarray, shift: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Sorted keys cut by range of their hash, a row for each range."""
-    r = (keys >> np.uint64(shift) & _LOW) * np.uint64(ranges) >> _32
-    cuts = np.searchsorted(r, np.arange(ranges + 1, dtype=np.uint64))
-    for k in np.flatnonzero(np.diff(cuts)):
-        part = slice(cuts[k], cuts[k + 1])
-        yield _row(int(k), keys[part], counts[part])
+ROW = "range int, keys binary, counts binary"
 
 
 def _row(r: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_packed(keys)], pa.binary()), pa.array([_packed(counts)], pa.binary())], names=["range", "keys", "counts"])
-
-
-ROW = "range int, keys binary, counts binary"
+    return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed(keys, deltas=True)], pa.binary()), pa.array([packed(counts)], pa.binary())], names=["range", "keys", "counts"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SPACE, np.int64)
     for batch in pieces(batches, "__text", CHUNK):
-        held.append(_added(*((p := pairs(batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist())[0]), np.ones(len(p), np.uint64))))
-        size += len(held[-1][0])
-        if size > HELD:
-            yield from _dealt(*_added(*map(np.concatenate, zip(*held, strict=True))), 32, ranges)
-            held, size = [], 0
-    if held:
-        yield from _dealt(*_added(*map(np.concatenate, zip(*held, strict=True))), 32, ranges)
+        total += np.bincount(pairs(batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist())[0], minlength=SPACE)
+        del batch
+    at = np.flatnonzero(total)
+    give_back()
+    cuts = np.searchsorted(at, np.arange(RANGES + 1) * SPACE // RANGES)
+    for r in range(RANGES):
+        if cuts[r] < cuts[r + 1]:
+            part = at[cuts[r]:cuts[r + 1]]
+            yield _row(r, part, total[part])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range: one row for each range, equal keys added up."""
-    now, held, size, least = None, [], 0, HELD
+    """Rows sorted by range: one row for each range, counts added up."""
+    now, total, size = None, np.zeros(0, np.int64), -(-SPACE // RANGES) + 1
     for batch in batches:
         for r, k, c in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
-            if r != now and held:
-                yield _row(now, *_added(*map(np.concatenate, zip(*held, strict=True))))
-                held, size, least = [], 0, HELD
-            now = r
-            held.append((_unpacked(k), _unpacked(c)))
-            size += len(held[-1][0])
-            if size > least:
-                held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
-                size = len(held[0][0])
-                least = max(HELD, 2 * size)
-    if held:
-        yield _row(now, *_added(*map(np.concatenate, zip(*held, strict=True))))
-
-
-def _continuations(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in batch.column(1).to_pylist():
-            keys, n = np.unique(_unpacked(k) & _LOW, return_counts=True)
-            yield from _dealt(keys, n.astype(np.uint64), 0, ranges)
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the counts 1 to 4, of keys, and the sum."""
-    for batch in batches:
-        for c in batch.column(2).to_pylist():
-            n = _unpacked(c)
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (*((n == k).sum() for k in range(1, 5)), len(n), n.sum())], names=["n1", "n2", "n3", "n4", "keys", "total"])
-
-
-def _stored(rows: DataFrame, ranges: int, folder: str) -> tuple[DataFrame, list[int]]:
-    """Writes a table's ranges; its rows as read again, and its sizes."""
-    rows.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_merge, ROW).withColumn("r", F.col("range")).write.partitionBy("r").option("compression", "none").parquet(folder)
-    table = rows.sparkSession.read.schema(ROW).parquet(folder).select("range", "keys", "counts")
-    names = ["n1", "n2", "n3", "n4", "keys", "total"]
-    sizes = table.mapInArrow(_sizes, ", ".join(f"{x} long" for x in names)).agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in names]).first()
-    return table, list(sizes)
+            if r != now:
+                if now is not None:
+                    at = np.flatnonzero(total)
+                    yield _row(now, at + now * SPACE // RANGES, total[at])
+                now, total = r, np.zeros(size, np.int64)
+            total[unpacked(k, np.int64, deltas=True) - r * SPACE // RANGES] += unpacked(c, np.int64)
+    if now is not None:
+        at = np.flatnonzero(total)
+        yield _row(now, at + now * SPACE // RANGES, total[at])
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -192,103 +148,71 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class WordModel:
-    """Where the tables lie, and what is known of all."""
-
-    def __init__(self, folder: str, ranges: int, of_pairs: list[int], of_words: list[int]):
-        self.folder, self.ranges = folder, ranges
-        self.pair_discounts, self.word_discounts = discounts(of_pairs), discounts(of_words)
-        self.vocabulary, self.total = of_words[4] + 1, of_words[5]  # with one place for unknown words
-        many = of_words[4] - of_words[0] - of_words[1]
-        self.left = float(self.word_discounts[1:] @ np.array([of_words[0], of_words[1], many]))
-
-    def _range(self, table: str, r: int) -> tuple[np.ndarray, np.ndarray]:
-        fs, base = pafs.FileSystem.from_uri(self.folder)
-        for info in fs.get_file_info(pafs.FileSelector(f"{base}/{table}/r={r}", allow_not_found=True)):
-            if info.path.endswith(".parquet"):
-                with fs.open_input_file(info.path) as f:
-                    t = pq.read_table(pa.BufferReader(f.read()), columns=["keys", "counts"])
-                return _unpacked(t["keys"][0].as_py()), _unpacked(t["counts"][0].as_py())
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def _within(self, keys: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
-        r = (keys >> np.uint64(shift) & _LOW) * np.uint64(self.ranges) >> _32
-        cuts = np.searchsorted(r, np.arange(self.ranges + 1, dtype=np.uint64))
-        for k in np.flatnonzero(np.diff(cuts)):
-            yield int(k), slice(cuts[k], cuts[k + 1])
-
-    def lookup(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of sorted distinct pairs of the corpus: count, (total, followers counted 1, 2, more) of the context, continuations of the word."""
-        count, context = np.zeros(len(asked), np.int64), np.zeros((len(asked), 4), np.int64)
-        for r, part in self._within(asked, 32):
-            keys, n = self._range("pairs", r)
-            count[part] = n[np.searchsorted(keys, asked[part])]
-            c = keys >> _32
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            which = np.searchsorted(c[first], asked[part] >> _32)
-            for column, value in enumerate((n, n == 1, n == 2, n > 2)):
-                context[part, column] = np.add.reduceat(value.astype(np.int64), first)[which]
-        word, back = np.unique(asked & _LOW, return_inverse=True)
-        heads = np.zeros(len(word), np.int64)
-        for r, part in self._within(word, 0):
-            keys, n = self._range("words", r)
-            heads[part] = n[np.searchsorted(keys, word[part])]
-        return count, context, heads[back]
+    """Sorted codes of pairs with their counts; of each first class its total and followers counted 1, 2 and more; of each class how many it follows."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.codes, self.counts = codes.astype(np.int32), np.minimum(counts, 2**31 - 1).astype(np.int32)
+        by_count = lambda n: [int((n == k).sum()) for k in range(1, 5)]
+        before, now = np.divmod(self.codes, np.int32(CLASSES))
+        self.context = np.stack([np.bincount(before, x, CLASSES + 1) for x in (self.counts, self.counts == 1, self.counts == 2, self.counts > 2)])
+        self.heads = np.bincount(now, minlength=CLASSES)
+        self.pair_discounts, self.word_discounts = discounts(by_count(self.counts)), discounts(by_count(self.heads))
+        self.left = float(self.word_discounts[np.minimum(self.heads, 3)].sum())
+        self.vocabulary = int((self.heads > 0).sum()) + 1  # with one place for unknown words
+        self._dense: np.ndarray | None = None
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
+
+    def __setstate__(self, state):
+        self.__dict__ = state | {"_dense": None}
+
+    def count(self, asked: np.ndarray) -> np.ndarray:
+        if self._dense is None:  # the sorted array spread out once in a worker
+            self._dense = np.zeros(SPACE, np.int32)
+            self._dense[self.codes] = self.counts
+        return self._dense[asked].astype(np.int64)
 
     def log_perplexity(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text of the corpus for a word, by the counts of all other texts; NaN of one without words."""
-        chunks: list[list[bytes]] = [[]]
-        size = 0
-        for t in texts:
-            if size and size + len(t) > CHUNK:
-                chunks.append([])
-                size = 0
-            chunks[-1].append(t)
-            size += len(t)
-        parts = [np.unique(pairs(c)[0]) for c in chunks]
-        asked = np.unique(np.concatenate(parts))
-        del parts
-        found = self.lookup(asked)
-        return np.concatenate([self._chunk(c, asked, found) for c in chunks])
-
-    def _chunk(self, texts: list[bytes], asked: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        g, doc = pairs(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        """Of each text of the table for a word, by the counts of all other texts; NaN of one without words."""
+        return np.concatenate([*(self._part(some) for _, some in _chunks(texts)), np.zeros(0)])
+
+    def _part(self, texts: list[bytes]) -> np.ndarray:
         out = np.full(len(texts), np.nan)
-        if not len(g):
+        code, doc = pairs(texts)
+        if not len(code):
             return out
-        order = np.lexsort((g, doc))
-        g, doc = g[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]))
-        own = np.diff(np.append(first, len(g))).astype(np.float64)
-        g, doc = g[first], doc[first]
-        back = np.searchsorted(asked, g)
-        count, context, heads = (x[back].astype(np.float64) for x in found)
-        rest = count - own
-        c = g >> _32
-        start = np.concatenate([[True], (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])])
+        key, own = np.unique(doc * SPACE + code, return_counts=True)
+        doc, code = np.divmod(key, SPACE)
+        before, now = np.divmod(code, CLASSES)
+        count = self.count(code)
+        rest = np.maximum(count - own, 0)
+        start = np.concatenate([[True], (before[1:] != before[:-1]) | (doc[1:] != doc[:-1])])
         at, group = np.flatnonzero(start), np.cumsum(start) - 1
-        total = context[:, 0] - np.add.reduceat(own, at)[group]
-        mass = np.zeros(len(g))
-        for k in (1, 2, 3):
-            is_k, stays = (np.minimum(x, 3) == k for x in (count, rest))
-            mass += self.pair_discounts[k] * (context[:, k] + np.add.reduceat(stays.astype(np.int64) - is_k, at)[group])
+        total = self.context[0][before] - np.add.reduceat(own, at)[group]
+        mass = np.zeros(len(code))
+        for k in (1, 2, 3):  # a text's own pairs leave or change their class of counts
+            was, stays = np.minimum(count, 3) == k, np.minimum(rest, 3) == k
+            mass += self.pair_discounts[k] * (self.context[k][before] + np.add.reduceat(stays.astype(np.int64) - was, at)[group])
         gone = (rest == 0).astype(np.float64)
-        _, of_word = np.unique(doc.astype(np.uint64) << _32 | g & _LOW, return_inverse=True)
-        heads = heads - np.bincount(of_word, gone)[of_word]
-        all_heads = np.maximum(self.total - np.bincount(doc, gone, len(texts))[doc], 0)
-        kept = np.maximum(heads - self.word_discounts[np.minimum(heads, 3).astype(np.int64)], 0)
+        _, of_word = np.unique(doc * CLASSES + now, return_inverse=True)
+        heads = self.heads[now] - np.bincount(of_word, gone)[of_word]
+        all_heads = np.maximum(len(self.codes) - np.bincount(doc, gone, len(texts))[doc], 0)
+        kept = np.maximum(heads - self.word_discounts[np.clip(heads, 0, 3).astype(np.int64)], 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            low = np.where(all_heads > 0, (kept + min(self.left, 1e300) / self.vocabulary) / np.maximum(all_heads, 1), 1 / self.vocabulary)
-            high = np.maximum(rest - self.pair_discounts[np.minimum(rest, 3).astype(np.int64)], 0)
+            low = np.where(all_heads > 0, (kept + self.left / self.vocabulary) / np.maximum(all_heads, 1), 1 / self.vocabulary)
+            high = np.maximum(rest - self.pair_discounts[np.minimum(rest, 3)], 0)
             p = np.where(total > 0, (high + mass * low) / np.maximum(total, 1), low)
-        logs, n = np.bincount(doc, own * np.log(p), len(texts)), np.bincount(doc, own, len(texts))
+        logs, n = np.bincount(doc, own * np.log(np.maximum(p, 1e-300)), len(texts)), np.bincount(doc, own, len(texts))
         out[n > 0] = -logs[n > 0] / n[n > 0]
         return out
 
 
 def train(docs: DataFrame, text: str = "text") -> WordModel:
-    given = docs.select(F.col(text).alias("__text"))
-    ranges = max(4, -(-(given.agg(F.sum(F.octet_length("__text"))).first()[0] or 0) // RANGE_BYTES))
-    folder = f"{shared_dir(docs.sparkSession)}/words-{uuid.uuid4().hex}"
-    table, of_pairs = _stored(given.mapInArrow(partial(_count, ranges=ranges), ROW), ranges, f"{folder}/pairs")
-    _, of_words = _stored(table.mapInArrow(partial(_continuations, ranges=ranges), ROW), ranges, f"{folder}/words")
-    return WordModel(folder, ranges, of_pairs, of_words)
+    added = docs.select(F.col(text).alias("__text")).mapInArrow(_count, ROW)
+    rows = added.repartition(RANGES, "range").sortWithinPartitions("range").mapInArrow(_merge, ROW).toArrow().sort_by("range")  # bounded by the classes
+    both = [[np.minimum(unpacked(b, np.int64, deltas=name == "keys"), 2**31 - 1).astype(np.int32) for b in rows[name].to_pylist()] for name in ("keys", "counts")]
+    model = WordModel(*(np.concatenate([*x, np.zeros(0, np.int32)]) for x in both))
+    del rows, both
+    give_back()
+    return model
