@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import components, durable, pieces
+from stratalog.llm.common import components, durable, give_back, pieces
 
 SHINGLE = 4
 SEED = 42
@@ -67,7 +67,7 @@ def _hashes(text: bytes) -> list[int]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "__text"):
+    for batch in pieces(batches, "__text", 2 << 20):
         at = batch.schema.get_field_index("__text")
         each = [_hashes(t) for t in batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist()]
         n = np.array(list(map(len, each)), np.int64)
@@ -83,6 +83,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ones[:, 8 * byte:8 * byte + 8] = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
             out[full] = np.packbits(2 * ones > n[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         yield batch.remove_column(at).append_column("fp", pa.array(out.view(np.int64)))
+        del batch, each, out
+    give_back()
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
