@@ -1,7 +1,9 @@
-"""A corpus pipeline: toxicity, quality rules, near-dedup, mixing, byte-level BPE.
+"""A pipeline over documents: toxicity, quality rules, near-dedup, mixing, byte-level BPE.
 
 Every stage's rows are written as Parquet to the folder that all executors
 share and read again by the next one, so a lost executor costs a stage at most.
+The folder of the last stage's rows stays, as the result reads it; the caller
+may delete it (`run(...).inputFiles()` tells where it lies).
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm.common import shared_dir
+from stratalog.llm.common import BATCH_ROWS, shared_dir
 from stratalog.llm.stages import STAGES
 
 #: A trained network, a language model and a flow can't be told in SQL; the tests compare with plain versions.
@@ -26,12 +28,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
-    for number, (_, stage) in enumerate(STAGES):
-        at = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
-        if last:
-            _delete(spark, last)
-        last = at
+    folder, last, rows = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None, spark.conf.get(BATCH_ROWS)
+    try:
+        for number, (_, stage) in enumerate(STAGES):
+            at = f"{folder}/{number}"
+            stage(spark, docs, sf_dir).write.parquet(at)
+            docs = spark.read.parquet(at)
+            if last:
+                _delete(spark, last)
+            last = at
+    finally:  # stages bound Arrow batches for themselves only
+        spark.conf.set(BATCH_ROWS, rows)
     return docs
