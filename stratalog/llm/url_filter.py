@@ -6,15 +6,18 @@ suffixes joined to its path's prefixes of the lengths that rules have. The keys
 of all urls are the complete universe, so a cascade can be exact over it: level
 1 encodes the listed keys, level 2 the universe's keys that level 1 wrongly
 takes, level 3 the listed keys that level 2 wrongly takes, and so on until no
-key is wrong. A lookup walks the levels; there is no join.
+key is wrong. A lookup walks the levels; there is no join, in the build neither:
+one aggregate over urls' keys and listed keys marks the listed ones.
 
 Level 1 is sized from the universe's size so that it lets through about as many
 keys as are listed; the cascade holds some log2(universe / listed) + 4 bits a
-listed key. Levels are literals of a plan, so their total size is checked.
+listed key. A list of more than MOST_KEYS is split by a hash of its keys into
+several cascades. Nothing but a level's words reaches the driver.
 
 Null urls, urls without "://" and empty ones have an empty host and path and
-meet no rule. Repeated rows give repeated results; an empty table or an empty
-list gives a cascade without levels. Extra columns are left out.
+meet no rule; very long urls are judged whole. Repeated rows give repeated
+results; an empty table or an empty list gives a cascade without levels. Extra
+columns are left out unless kept; one kept under a result's name is refused.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import durable
+
 ALLOW, BLOCK = "allow", "block"
-#: Most listed keys of one cascade: its levels then take a few MB.
+#: Most listed keys of one cascade: its levels then take a few MB; more keys make more cascades.
 MOST_KEYS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,34 +99,26 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: list[str], universe: DataFrame, n_universe: int, most_levels: int = 64) -> Cascade:
-        """universe (key): all keys that will ever be looked up, repeats allowed; n_universe: how many, at most."""
-        listed = sorted(set(listed))
-        if len(listed) > MOST_KEYS:
-            raise ValueError(f"{len(listed)} listed keys; a cascade takes {MOST_KEYS}")
-        levels: list[Level] = []
+    def build(cls, listed: list[str], universe: DataFrame, n_universe: int | None = None) -> Cascade:
+        """universe (key): all keys that will ever be looked up, repeats allowed; n_universe: how many, if known."""
         if not listed:
-            return cls(levels)
-        spark = universe.sparkSession
-        inside = spark.createDataFrame([(k,) for k in listed], "key string").coalesce(1)
-        # in turn: what this level must take, what it must not, from which it is built next
-        taken, n_taken, others = inside, len(listed), universe
-        for level in range(most_levels):
-            share = min(0.5, max(1e-12, n_taken / max(1, n_universe))) if level == 0 else 0.5
-            levels.append(Level.build(taken, n_taken, share, level))
-            wrong = others.where(levels[-1].holds(F.col("key")))
-            if level == 0:  # the universe holds the listed keys too; few keys reach this anti-join
-                wrong = wrong.join(inside, "key", "left_anti")
-            wrong = wrong.distinct()
-            n_wrong = wrong.count()
-            if not n_wrong:
-                return cls(levels)
-            if n_wrong > 50 * (len(listed) + 1000):
-                raise RuntimeError("a level lets through far more keys than its size allows")
-            # two levels' false keys are as few as the listed ones
-            wrong = spark.createDataFrame(wrong.collect(), "key string").coalesce(1)
-            taken, n_taken, others = wrong, n_wrong, taken
-        raise RuntimeError("the cascade did not end")
+            return cls([])
+        return cls.of(marked([(k, BLOCK) for k in sorted(set(listed))], universe), F.col("verdict").isNotNull(), n_universe)
+
+    @classmethod
+    def of(cls, known: DataFrame, listed: Column, n_universe: int | None = None, most_levels: int = 64) -> Cascade:
+        """known (key, verdict), durable and distinct; listed: which of its keys are."""
+        taken, others = known.where(F.coalesce(listed, F.lit(False))).select("key"), known.where(~F.coalesce(listed, F.lit(False))).select("key")
+        n_taken, n_universe = taken.count(), n_universe or known.count()
+        levels: list[Level] = []
+        while n_taken:
+            if len(levels) == most_levels:
+                raise RuntimeError("the cascade did not end")
+            share = 0.5 if levels else min(0.5, max(1e-12, n_taken / max(1, n_universe)))
+            levels.append(Level.build(taken, n_taken, share, len(levels)))
+            wrong = durable(others.where(levels[-1].holds(F.col("key"))))
+            taken, others, n_taken = wrong, taken, wrong.count()
+        return cls(levels)
 
     def holds(self, key: Column) -> Column:
         """Odd depth of the first level that refuses a key means it isn't listed: found by walking from the last level."""
@@ -131,17 +128,43 @@ class Cascade:
         return out
 
 
+class Cascades:
+    """A list of any length: a cascade for each part of its keys by hash."""
+
+    def __init__(self, known: DataFrame, listed: Column):
+        n = known.where(listed).count()
+        self.parts = max(1, -(-n // MOST_KEYS))
+        part = self._part(F.col("key"))
+        self.cascades = [Cascade.of(known if self.parts == 1 else durable(known.where(part == i)), listed) for i in range(self.parts)]
+
+    def _part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.parts))
+
+    def holds(self, key: Column) -> Column:
+        out = self.cascades[0].holds(key)
+        for i in range(1, self.parts):
+            out = F.when(self._part(key) == i, self.cascades[i].holds(key)).otherwise(out)
+        return out
+
+
+def marked(listed: list[tuple[str, str]], universe: DataFrame) -> DataFrame:
+    """(key, verdict), durable: each distinct key of the universe and of the list, with its verdict if listed."""
+    inside = universe.sparkSession.createDataFrame(listed, "key string, verdict string")
+    return durable(universe.select("key", F.lit(None).cast("string").alias("verdict")).unionByName(inside).groupBy("key").agg(F.max("verdict").alias("verdict")))
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """(kept columns, host, path, rule, verdict): the longest rule that fits a url decides; without one it is allowed."""
     by_key: dict[str, str] = {}
     for h, p, verdict in rules:
         if by_key.setdefault(h + p, verdict) != verdict:
             raise ValueError(f"two verdicts for {h + p}")
+    if clash := set(keep) & {"host", "path", "rule", "verdict"}:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     hosts = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     keyed = hosts.withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), rules))
-    universe = keyed.select(F.explode("__keys").alias("key"))
-    n = keyed.agg(F.sum(F.size("__keys").cast("long"))).first()[0] or 0
-    found = {v: Cascade.build([k for k, w in by_key.items() if w == v], universe, n) for v in (ALLOW, BLOCK)}
+    known = marked(sorted(by_key.items()), keyed.select(F.explode("__keys").alias("key")))
+    found = {v: Cascades(known, F.coalesce(F.col("verdict") == v, F.lit(False))) for v in (ALLOW, BLOCK)}
     fits = F.filter("__keys", lambda k: found[ALLOW].holds(k) | found[BLOCK].holds(k))
     ruled = keyed.select(*keep, "host", "path", F.get(fits, 0).alias("rule"))
     verdict = F.when(F.col("rule").isNull(), ALLOW).when(found[BLOCK].holds(F.col("rule")), BLOCK).otherwise(ALLOW)
