@@ -8,15 +8,17 @@ from dataclasses import dataclass
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)
-    |<(?P<raw>script|style|noscript|template|title|svg|math|iframe|object|select|textarea|canvas)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*[^>]*>|\Z)
+    |<(?P<raw>script|style|title|textarea)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*[^>]*>|\Z)
+    |<(?P<pair>noscript|template|svg|iframe|select|canvas)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<!/)>.*?</(?P=pair)\s*>
     |<[!?][^>]*(?:>|\Z)
     |<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(?P<close2>/?)(?P<tag2>[a-z][a-z0-9:-]*)(?P<rest2>[^>]*)(?:>|\Z)
     |(?P<text>[^<]+|<)""",
     re.S | re.I | re.X,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAMED = frozenset(("class", "id", "role", "itemprop"))
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]{2,}")
 
@@ -37,15 +39,28 @@ class Block:
     linked: int  # characters within links
 
 
-def _names(rest: str) -> str:
-    if "=" not in rest:
-        return ""
-    found = {n for m in _ATTRIBUTE.finditer(rest) for n in _NAME.findall((m[2] or m[3] or m[4] or "").lower())}
-    return "".join("." + n for n in sorted(found))
+def _attributes(rest: str) -> tuple[str, bool]:
+    """The class and id names of a tag's attributes, joined by dots, and whether they hide it."""
+    found, hidden = set(), False
+    for m in _ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in _NAMED:
+            found.update(_NAME.findall(value.lower()))
+        elif name == "hidden":
+            hidden = hidden or value.lower() != "until-found"
+        elif name == "style":
+            hidden = hidden or bool(_UNSEEN.search(value))
+        elif name == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+    return "".join("." + n for n in sorted(found)), hidden
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; scripts, styles, comments and elements marked hidden have none."""
+    """Leaf blocks in page order; scripts, styles, comments and elements marked hidden have none.
+
+    Graphics, frames and choice lists are passed over up to their end tag; self-closed or without one, they are a tag like
+    any other, and so are formulas, whose text stays.
+    """
     out: list[Block] = []
     tags: list[str] = []
     path: list[str] = []
@@ -107,8 +122,9 @@ def blocks(page: str) -> list[Block]:
                 continue
             rest = m["rest"] or m["rest2"] or ""
             tags.append(tag)
-            path.append(tag + _names(rest))
-            if hidden_from is None and rest and _HIDDEN.search(rest):
+            names, hides = _attributes(rest) if rest else ("", False)
+            path.append(tag + names)
+            if hidden_from is None and hides:
                 hidden_from = len(tags) - 1
     end_run()
     return out

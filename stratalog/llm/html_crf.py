@@ -8,8 +8,10 @@ joins the blocks labelled main, in page order, by one space.
 
 Training is a few seconds on the driver; its weights (as many as the features
 of the training pages) are broadcast, pages are decoded over Arrow batches
-and nothing is shuffled. Null and empty pages give an empty text. Repeated rows
-give repeated results; other columns are left out unless asked for.
+and nothing is shuffled. Null and empty pages give an empty text, a very long
+page is read whole, an empty table gives an empty result. Repeated rows give
+repeated results; other columns are left out unless asked for, and one asked for
+under the name of a result is refused.
 """
 
 from __future__ import annotations
@@ -172,6 +174,8 @@ def _extract(batches: Iterator[pa.RecordBatch], field: Broadcast) -> Iterator[pa
 
 def extract(pages: DataFrame, field: Field | None = None, *, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """(kept columns, text, n_chars)."""
+    if clash := set(keep) & {"text", "n_chars"}:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     sent = pages.sparkSession.sparkContext.broadcast(field or default_field())
     given = pages.select(*keep, F.col(html).alias("__html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__html")
