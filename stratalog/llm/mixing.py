@@ -13,9 +13,12 @@ Selection is exact without putting a source into one task: sizes are summed by
 bucket are ranked among themselves; a bucket has some thousands of documents
 whatever the input.
 
-Null texts have size 0; documents of size 0 are never taken; a null source is
-a source of its own, the last. Repeated rows count as often as they stand. An
-empty table gives an empty result.
+Null and empty texts have size 0; documents of size 0 are never taken; a very
+long text counts whole. A null source is a source of its own, the last, and so
+are a null and an empty array of sources. Repeated rows count as often as they
+stand and are told apart in no way, so any of them may be the one at the
+boundary. An empty table gives an empty result. Other columns stay as they are,
+whatever their names; those of the results are refused.
 """
 
 from __future__ import annotations
@@ -111,6 +114,9 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict[str, int]) -> dict[tup
     return flow
 
 
+_OWN = frozenset(("__size", "__source_size", "__target", "__taken", "__members", "__key", "__draw", "__bucket", "__before", "__tokens", "__held"))
+
+
 def mix(docs: DataFrame, size: Column, members: Column, *, weights: dict | None = None, seed: int = 7) -> DataFrame:
     """All columns of docs and __size, __source_size, __target, __taken.
 
@@ -118,7 +124,10 @@ def mix(docs: DataFrame, size: Column, members: Column, *, weights: dict | None
     is the source whose size and target it reports. weights: by source; without
     them 1, 2, 3, repeating, by code point, null last.
     """
-    given = docs.withColumns({"__size": size, "__members": members})
+    if clash := {c for c in docs.columns if c in _OWN}:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
+    whole = F.when(F.size(F.coalesce(members, F.array().cast("array<string>"))) > 0, members).otherwise(F.array(F.lit(None).cast("string")))
+    given = docs.withColumns({"__size": size, "__members": whole})
     by_pattern = given.groupBy("__members").agg(F.sum("__size").alias("n"), F.count("*").alias("rows")).collect()
     rows = sum(r["rows"] for r in by_pattern)
     capacity = {tuple(r[0]): int(r["n"]) for r in by_pattern}
@@ -135,7 +144,7 @@ def mix(docs: DataFrame, size: Column, members: Column, *, weights: dict | None
     spark = docs.sparkSession
     plan = [(list(p), sizes[p[0]], float(goal[p[0]]), sum(flow[p].values()), capacity[p]) for p in capacity]
     # one row for each pattern, as many as the catalogue has
-    table = spark.createDataFrame(plan, "m array<string>, __source_size long, __target double, tokens long, held long")
+    table = spark.createDataFrame(plan, "m array<string>, __source_size long, __target double, __tokens long, __held long")
     key = F.to_json(F.col("__members"), {"ignoreNullFields": "false"})
     table = table.withColumn("__key", F.to_json(F.col("m"), {"ignoreNullFields": "false"})).drop("m")
     if len(plan) <= 100_000:
@@ -147,8 +156,8 @@ def mix(docs: DataFrame, size: Column, members: Column, *, weights: dict | None
     before = drawn.groupBy("__key", "__bucket").agg(F.sum("__size").alias("b")).withColumn(
         "__before", F.sum("b").over(W.partitionBy("__key").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))).select("__key", "__bucket", F.coalesce("__before", F.lit(0)).alias("__before"))
     upto = F.col("__before") + F.coalesce(F.sum("__size").over(W.partitionBy("__key", "__bucket").orderBy("__draw", *[c for c in docs.columns if c == "doc_id"]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    full = F.when(F.col("held") > 0, F.floor(F.col("tokens") / F.col("held"))).otherwise(0).cast("long")
-    rest = F.col("tokens") - full * F.col("held")
+    full = F.when(F.col("__held") > 0, F.floor(F.col("__tokens") / F.col("__held"))).otherwise(0).cast("long")
+    rest = F.col("__tokens") - full * F.col("__held")
     # the document at the boundary gives the words still wanting
     part = F.greatest(F.lit(0), F.least(F.col("__size"), rest - upto))
     taken = F.least(MOST_USES * F.col("__size"), full * F.col("__size") + part)

@@ -9,7 +9,9 @@ and the surviving symbols of a sequence are its tokens. There is no shuffle.
 Counts equal the tokenizers library's for a byte-level BPE file without begin,
 end or padding tokens; a listed special string inside a text is one token and
 splits it, as is that library's default. Null texts count as empty; repeated
-rows give repeated results; other columns are left out unless asked for.
+rows give repeated results; a very long text is counted whole; an empty table
+gives an empty result; other columns are left out unless asked for, and one
+asked for under the name of a result is refused.
 """
 
 from __future__ import annotations
@@ -58,6 +60,11 @@ class Merges:
         model, vocab = whole["model"], whole["model"]["vocab"]
         if model["type"] != "BPE" or whole.get("normalizer") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
             raise ValueError("a byte-level BPE file is needed")
+        cut = whole.get("pre_tokenizer") or {}
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or cut.get("use_regex") is False or model.get("dropout") or model.get("ignore_merges"):
+            raise ValueError("another way of cutting or merging than byte level's own")
+        if any(t.get(k) for t in whole.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in their neighbourhood are not supported")
         self.special = [t["content"] for t in whole.get("added_tokens", [])]
         self.byte_ids = np.array([vocab[c] for _, c in sorted(byte_letters().items())], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -169,6 +176,8 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def count_tokens(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None, limit: int = 512) -> DataFrame:
     """(kept columns, n_bytes, n_tokens, over_limit)."""
     path, pattern = path or default_path(), F.lit("(?U)" + (pattern or default_pattern()))
+    if clash := set(keep) & {"n_bytes", "n_tokens", "over_limit"}:
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     whole = F.coalesce(F.col(text), F.lit(""))
     words, extra = F.regexp_extract_all(whole, pattern, F.lit(0)), F.lit(0)
     specials = sorted(merges(path).special, key=len, reverse=True)

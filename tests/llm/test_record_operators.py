@@ -199,6 +199,15 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(docs.limit(0), F.col("size"), F.array("source")).count() == 0
 
 
+def test_mixing_takes_clashing_names_and_odd_sources(spark):
+    rows = [(1, ["a"], 5, 7, 7), (2, [], 5, 7, 7), (3, None, 5, 7, 7), (4, ["a", None], 5, 7, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, members array<string>, n long, tokens long, held long")
+    got = mixing.mix(docs, F.col("n"), F.col("members")).collect()
+    assert len(got) == 4 and all(r.tokens == r.held == 7 and 0 <= r["__taken"] <= 15 for r in got)
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("__taken", F.lit(1)), F.col("n"), F.col("members"))
+
+
 def test_mixing_shared_documents(spark):
     docs = spark.createDataFrame([(i, ["a"] if i % 3 else ["a", "b"], 10) for i in range(300)], "doc_id long, members array<string>, n long")
     got = mixing.mix(docs, F.col("n"), F.col("members"), weights={"a": 1, "b": 1}).toPandas()

@@ -82,7 +82,7 @@ def test_base_measures_equal_plain_ones(spark):
 
 
 class _PlainKneserNey:
-    """The same model by dictionaries, for one corpus."""
+    """The same model by dictionaries."""
 
     def __init__(self, texts):
         k, self.a = kn_quality.ORDER, kn_quality.ALPHABET
@@ -288,3 +288,109 @@ def test_licences(spark):
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + text.upper()), (2, text.replace("sublicense", "sublicence").replace(" ", "  ").replace(",", ";")), (3, text + " more"), (4, None), (5, ""), (6, "!!!"), (2, text)]
     got = Counter((r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.known_licenses(spark)).collect())
     assert got == Counter([(1, "MIT"), (2, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (6, None)])
+
+
+def test_longer_lists_make_more_cascades(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_KEYS", 50)
+    rules = [(f"h{i}.org", "/", url_filter.BLOCK if i % 3 else url_filter.ALLOW) for i in range(0, 400, 2)]
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/x") for i in range(400)], "page_id long, url string")
+    want = {(i, rules[i // 2][2] if i % 2 == 0 else url_filter.ALLOW) for i in range(400)}
+    assert {(r.page_id, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()} == want
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(pages.withColumn("rule", F.lit(1)), rules, keep=("page_id", "rule"))
+
+
+def test_licence_forms(spark):
+    texts = [
+        "(c) you may sell it", "(c) you must never sell it", "x\rcopyright 2020 me\ry", "x\ny", "licence licence", "license license", "Copyright Jane Doe\nbody", "body",
+        "copyright notice and terms", "terms", "(c) 2020 Jane\nbody", "per cent per cent", "percent percent"] + [t for _, t in license_scan.texts()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", license_scan.canonical(F.col("text")).alias("c")).collect()
+    c = [r.c for r in sorted(rows)]
+    assert c[0] != c[1] and c[2] == c[3] == "x y" and c[4] == c[5] and c[6] == c[7] == c[10] == "body" and c[8] == "copyright notice and terms" and c[11] == c[12]
+    spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string").toPandas().to_parquet("/tmp/stratalog-licences.parquet")
+    d = duckdb.connect()
+    d.sql("create view documents as select * from read_parquet('/tmp/stratalog-licences.parquet')")
+    got = license_scan.scan(spark.read.parquet("/tmp/stratalog-licences.parquet"), license_scan.known_licenses(spark)).collect()
+    assert Counter(map(tuple, got)) == Counter(d.sql(license_scan.ORACLE).fetchall())
+    assert sorted(r.license for r in got if r.license) == sorted(n for n, _ in license_scan.texts())
+    assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string"), license_scan.known_licenses(spark)).count() == 0
+    long = spark.createDataFrame([(1, "many words " * 100_000, "x")], "doc_id long, text string, license string")
+    assert license_scan.scan(long, license_scan.known_licenses(spark)).collect()[0].license is None
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<svg class="i"/><article><p>Body text.</p></article>', ["Body text."]),
+    ('<p>Let <math><mi>x</mi></math> be.</p>', ["Let x be."]),
+    ('<div title="A hidden gem"><p>Seen.</p></div><div hidden><p>No.</p></div><div style="display: none">No.</div><div class="post hidden wide"><p>Wide.</p></div>', ["Seen.", "Wide."]),
+    ("<select><option>a<p>After it all.</p>", ["a", "After it all."]),
+    ("<svg><text>pic</text></svg><p>One.</p><script>var x='</p>'</script><p>Two.", ["One.", "Two."]),
+    ("<canvas><p>Left open.</p>", ["Left open."]),
+])
+def test_blocks_of_odd_markup(page, want):
+    assert [b.text for b in html_blocks.blocks(page)] == want
+
+
+def test_pages_without_rows_repeats_and_long_ones(spark):
+    page = "<article>" + "<p>One two three four. Five six seven.</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id long, url string, html string")
+    got = html_crf.extract(df).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].n_chars > 600_000
+    assert html_crf.extract(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        html_crf.extract(df.withColumn("text", F.lit("x")), keep=("page_id", "text"))
+
+
+def test_one_very_long_word(spark):
+    import tiktoken
+
+    plain = tiktoken.Encoding("plain", pat_str=byte_bpe.default_pattern(), mergeable_ranks=byte_bpe.load_ranks(byte_bpe.default_ranks_path()), special_tokens={})
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGH", k=n)) for n in (399, 400, 401, 3000)] + ["日本語" * 700, "a" * 5000]
+    assert [byte_bpe.merged_long(w.encode(), byte_bpe.default_ranks_path()) for w in words] == [plain.encode_ordinary(w) for w in words]
+    long = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate([*words, long])], "doc_id long, text string")
+    got = {x.doc_id: x.ids for x in byte_bpe.encode(docs).collect()}
+    assert [got[i] for i in range(len(words))] == [plain.encode_ordinary(w) for w in words]
+    assert got[len(words)] == plain.encode_ordinary(long)
+
+
+def test_clashing_names_are_refused(spark, odd):
+    for call in (
+        lambda: byte_bpe.encode(odd.withColumn("ids", F.lit(1)), keep=("doc_id", "ids")), lambda: token_count.count_tokens(odd.withColumn("n_tokens", F.lit(1)), keep=("doc_id", "n_tokens")),
+        lambda: kn_quality.judge(odd, keep=("doc_id", "kept")), lambda: toxicity.score(odd.withColumn("score", F.lit(1)), None, keep=("doc_id", "score"))):
+        with pytest.raises(ValueError):
+            call()
+
+
+def _plain_logit(net, text):
+    """The network word by word, without arrays of windows."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    words = [w.encode() for w in text.lower().split()]
+    best = []
+    for first in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        some, h = words[first:first + toxicity.WINDOW], []
+        x = []
+        for w in some:
+            row, grams, n = toxicity.word_features(np.frombuffer(w, np.uint8), np.array([len(w)]))
+            x.append(net.words[row[0]] + net.grams[grams].sum(axis=0) / np.sqrt(n[0]))
+        for way in (0, 1):
+            state, states = np.zeros(toxicity.HIDDEN), []
+            for v in x[::-1] if way else x:
+                gate, u = v @ net.p["W"][way] + net.p["b"][way, 0], state @ net.p["U"][way]
+                z, r = (sig(gate[k * toxicity.HIDDEN:(k + 1) * toxicity.HIDDEN] + u[k * toxicity.HIDDEN:(k + 1) * toxicity.HIDDEN]) for k in (0, 1))
+                m = np.tanh(gate[2 * toxicity.HIDDEN:] + r * u[2 * toxicity.HIDDEN:])
+                state = (1 - z) * m + z * state
+                states.append(state)
+            h.append(states[::-1] if way else states)
+        both = np.array([np.concatenate(s) for s in zip(*h, strict=True)])
+        a = np.exp(np.tanh(both @ net.p["A"]) @ net.p["v"])
+        best.append((a / a.sum()) @ both @ net.p["w"] + net.p["c"][0])
+    return max(best)
+
+
+def test_network_equals_a_plain_pass(spark):
+    net, r = toxicity.Network(seed=9), random.Random(9)
+    net.words, net.grams = net.words * 30, net.grams * 30
+    texts = [" ".join(r.choices("some words Stand here und da für él 日本 xyz".split(), k=k)) for k in (1, 5, 32, 33, 70, 200)]
+    got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [1 / (1 + np.exp(-_plain_logit(net, t))) for t in texts], atol=1e-4)
