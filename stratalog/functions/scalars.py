@@ -25,8 +25,9 @@ TECHNIQUES = [
 #: Bytes that packers leave, and what they tell.
 PACKER_MARKERS = [("UPX0", "upx_section"), ("UPX1", "upx_section"), ("UPX!", "upx_magic"), (".nsp0", "nspack"), ("PEC2", "pecompact")]
 SLUG = "^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$"
-SCAN_CONFIG = "corpus-scan-config:v1:timeout_ms=10000:max_match_evidence=64"
-BUNDLE_HEADER = "corpus-rule-bundle-v1"
+#: What a scan's settings and a bundle's digest begin with; a store with other headers passes its own.
+SCAN_CONFIG = "scan-config:v1:timeout_ms=10000:max_match_evidence=64"
+BUNDLE_HEADER = "rule-bundle-v1"
 
 
 def classify_bytes(content: Column) -> Column:
@@ -93,8 +94,8 @@ def model_digest() -> Column:
     return F.substring(F.sha2(F.lit(";".join(f"{k}={v}" for k, v in MODEL.items())), 256), 1, 32)
 
 
-def scan_config_digest() -> Column:
-    return F.sha2(F.lit(SCAN_CONFIG), 256)
+def scan_config_digest(config: str = SCAN_CONFIG) -> Column:
+    return F.sha2(F.lit(config), 256)
 
 
 def receipt_id(*fields: Column) -> Column:

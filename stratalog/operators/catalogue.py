@@ -43,10 +43,17 @@ def join_hash(names: Column) -> Column:
     return F.sha2(F.array_join(F.transform(low, lambda n: F.concat(n, F.lit("\0"))), ""), 256)
 
 
-def section_entropy(section: DataFrame, key: list[str]) -> DataFrame:
-    """Size-weighted mean and largest entropy of executable sections: section (key, size, entropy, executable)."""
+def section_entropy(section: DataFrame, key: list[str], whole: DataFrame | None = None) -> DataFrame:
+    """Size-weighted mean and largest entropy of executable sections: section (key, size, entropy, executable).
+
+    whole (key, entropy): of entire files, which stands in for those without executable sections.
+    """
     code = section.where("executable AND size > 0")
-    return code.groupBy(*key).agg((F.sum(F.col("entropy") * F.col("size")) / F.sum("size")).alias("mean_entropy"), F.max("entropy").alias("max_entropy"))
+    found = code.groupBy(*key).agg((F.sum(F.col("entropy") * F.col("size")) / F.sum("size")).alias("mean_entropy"), F.max("entropy").alias("max_entropy"))
+    if whole is None:
+        return found
+    rest = whole.join(found, key, "left_anti").select(*key, F.col("entropy").alias("mean_entropy"), F.col("entropy").alias("max_entropy"))
+    return found.unionByName(rest)
 
 
 def next_due(queue: DataFrame, now: int, by: list[str]) -> DataFrame:

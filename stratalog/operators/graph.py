@@ -19,7 +19,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
+        if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.gettempdir() + "/stratalog-graph")
     return df.checkpoint()
@@ -56,6 +56,8 @@ def variant_groups(edge: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"groups did not settle in {rounds} rounds")
     return label.select("tenant_id", F.col("node").alias("artifact_id"), F.col("label").alias("group_id"))
 
 

@@ -14,6 +14,8 @@ CACHE_KEY = ["tenant_id", "artifact_sha256", "rule_bundle_digest", "engine_versi
 #: Rules of a bundle that are carried as a literal of the plan; more are joined.
 MOST_LITERAL_RULES = 5_000
 MOST_EVIDENCE = 64
+#: Active bundles that a forward scan takes at once.
+MOST_ACTIVE = 10_000
 
 
 class RuleError(ValueError):
@@ -218,11 +220,11 @@ def scan(artifact: DataFrame, sources: list[str], *, content: str = "content") -
     return artifact.withColumn("rules", rules), failed
 
 
-def bundle_digest(rules: DataFrame, *, rule_id: str = "stable_id", source: str = "source", config: str = "") -> DataFrame:
+def bundle_digest(rules: DataFrame, *, rule_id: str = "stable_id", source: str = "source", config: str = "", header: str = BUNDLE_HEADER) -> DataFrame:
     """One digest over a bundle's rules in the order of their ids. A bundle is a few thousand rules at most."""
     each = F.array_sort(F.collect_list(F.struct(F.col(rule_id).alias("i"), F.col(source).alias("s"))))
     body = F.array_join(F.transform(each, lambda r: F.concat(r["i"], F.lit("\0"), r["s"], F.lit("\0"))), "")
-    return rules.agg(F.sha2(F.concat(F.lit(BUNDLE_HEADER + "\0"), body, F.lit(config)), 256).alias("digest"))
+    return rules.agg(F.sha2(F.concat(F.lit(header + "\0"), body, F.lit(config)), 256).alias("digest"))
 
 
 def literal_matches(content: DataFrame, rules: DataFrame, *, text: str = "text") -> DataFrame:
@@ -266,6 +268,14 @@ def counters(outcome: DataFrame) -> DataFrame:
 
 
 def forward(new: DataFrame, bundles: DataFrame, cache: DataFrame) -> DataFrame:
-    """(new artifact, active bundle) pairs still to scan: a pair with a cache entry is skipped altogether."""
-    pairs = new.crossJoin(F.broadcast(bundles.where("active"))) if bundles.limit(10_001).count() <= 10_000 else new.join(bundles.where("active"))
+    """(new artifact, active bundle) pairs still to scan: a pair with a cache entry is skipped altogether.
+
+    Every artifact meets every active bundle by intent; a bundle is a line of an array beside the artifact, so its rows
+    never shuffle. A tenant has some hundred active bundles; beyond MOST_ACTIVE the caller splits them.
+    """
+    active = bundles.where("active").limit(MOST_ACTIVE + 1).collect()  # bundles, not data
+    if len(active) > MOST_ACTIVE:
+        raise ValueError(f"more than {MOST_ACTIVE} active bundles")
+    digests = F.array(*[F.lit(r["rule_bundle_digest"]) for r in active]) if active else F.array().cast("array<string>")
+    pairs = new.withColumn("rule_bundle_digest", F.explode(digests))
     return pairs.join(cache.select("tenant_id", "artifact_sha256", "rule_bundle_digest").distinct(), ["tenant_id", "artifact_sha256", "rule_bundle_digest"], "left_anti")

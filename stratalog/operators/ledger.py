@@ -57,10 +57,10 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path", state:
     return a.join(b, key, "full").select(key, change.alias("change")).where("change IS NOT NULL")
 
 
-def cleanup_counts(families: dict[str, DataFrame], artifact_ids: DataFrame, column: str = "artifact_id") -> DataFrame:
-    """Dry run of a clean-up: how many rows of each family hang on the artifacts."""
+def cleanup_counts(families: dict[str, DataFrame], artifacts: DataFrame) -> DataFrame:
+    """Dry run of a clean-up: how many rows of each family hang on the artifacts (tenant_id, artifact_id)."""
     out = None
     for family, df in sorted(families.items()):
-        n = df.join(artifact_ids, df[column] == artifact_ids["artifact_id"], "left_semi").agg(F.count("*").alias("n")).select(F.lit(family).alias("family"), "n")
+        n = df.join(artifacts, ["tenant_id", "artifact_id"], "left_semi").agg(F.count("*").alias("n")).select(F.lit(family).alias("family"), "n")
         out = n if out is None else out.unionByName(n)
     return out

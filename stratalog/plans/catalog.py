@@ -1,8 +1,6 @@
 """The registered queries and their DuckDB twins.
 
-Queries over orders as edges, and import_set_hash, hold a bounded range of keys in
-their SQL, as recursive SQL is slow; those over indicators hold every fourth document
-and stix_hash_tokens two of five. Each has a twin NAME_whole over the whole table.
+Every query and every twin runs over its whole tables.
 """
 
 from __future__ import annotations
@@ -34,10 +32,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from stratalog.plans import lifecycle  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from stratalog.plans import lifecycle  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -201,7 +203,7 @@ def hunt_matches(spark, sf_dir):
     return _matches(spark, sf_dir)
 
 
-@query("""SELECT sha256('corpus-rule-bundle-v1' || chr(0) || string_agg('item_' || item_id || chr(0) || substr(text, 1, 60) || chr(0), '' ORDER BY 'item_' || item_id) || 'v1') AS digest FROM benchmark""")
+@query("""SELECT sha256('rule-bundle-v1' || chr(0) || string_agg('item_' || item_id || chr(0) || text || chr(0), '' ORDER BY 'item_' || item_id) || 'v1') AS digest FROM benchmark""")
 def bundle_digest(spark, sf_dir):
     return hunts.bundle_digest(B.literal_rules(spark, sf_dir), rule_id="rule_id", source="literal", config="v1")
 
@@ -230,9 +232,9 @@ def hunt_counters(spark, sf_dir):
     return hunts.counters(_outcome(spark, sf_dir))
 
 
-@query(f"""WITH {B.ARTIFACT} SELECT tenant_id, artifact_id, 'b' || b AS rule_bundle_digest FROM artifact CROSS JOIN (VALUES (1), (2)) v(b) WHERE seq >= 100 AND NOT (b = 1 AND seq % 4 = 0)""")
+@query(f"""WITH {B.ARTIFACT} SELECT tenant_id, artifact_id, 'b' || b AS rule_bundle_digest FROM artifact CROSS JOIN (VALUES (1), (2)) v(b) WHERE NOT (b = 1 AND seq % 4 = 0)""")
 def forward_matches(spark, sf_dir):
-    a = B.artifacts(spark, sf_dir).where("seq >= 100").select("tenant_id", "artifact_id", "seq", F.col("sha256").alias("artifact_sha256"))
+    a = B.artifacts(spark, sf_dir).select("tenant_id", "artifact_id", "seq", F.col("sha256").alias("artifact_sha256"))
     bundles = spark.createDataFrame([("b1", True), ("b2", True), ("b3", False)], "rule_bundle_digest string, active boolean")
     cache = a.where("seq % 4 = 0").select("tenant_id", "artifact_sha256", F.lit("b1").alias("rule_bundle_digest"))
     return hunts.forward(a, bundles, cache).select("tenant_id", "artifact_id", "rule_bundle_digest")
@@ -288,28 +290,10 @@ def recommended_actions(spark, sf_dir):
 
 # --- intel, triggers, telemetry ---------------------------------------------------
 
-_SEEN = "seen AS (SELECT source AS tenant_id, 'feed' || (doc_id % 3) AS source, 'sha256' AS ioc_type, sha256(text) AS value, lang AS raw, doc_id AS seen_at FROM documents WHERE doc_id % 4 = 0)"
+_SEEN = "seen AS (SELECT source AS tenant_id, 'feed' || (doc_id % 3) AS source, CASE WHEN lang = 'en' THEN 'sha256' ELSE 'md5' END AS ioc_type, CASE WHEN lang = 'en' THEN sha256(text) ELSE md5(text) END AS value, lang AS raw, doc_id AS seen_at FROM documents)"
 
 
 def _seen(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(
-        F.col("source").alias("tenant_id"), F.concat(F.lit("feed"), (F.col("doc_id") % 3).cast("string")).alias("source"), F.lit("sha256").alias("ioc_type"), F.upper(F.sha2("text", 256)).alias("value"), F.col("lang").alias("raw"), F.col("doc_id").alias("seen_at"))
-
-
-@query(f"WITH {_SEEN} SELECT tenant_id, source, ioc_type, value, min(seen_at) AS first_seen, max(seen_at) AS last_seen, arg_max(raw, seen_at) AS raw FROM seen GROUP BY 1, 2, 3, 4")
-def indicator_upsert(spark, sf_dir):
-    return events.upsert_indicators(_seen(spark, sf_dir))
-
-
-@query(f"WITH {B.ARTIFACT}, {_SEEN} SELECT tenant_id, sha256, artifact_id FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen)")
-def hash_hunt(spark, sf_dir):
-    return events.hash_hunt(events.upsert_indicators(_seen(spark, sf_dir)), B.artifacts(spark, sf_dir)).select("tenant_id", "sha256", "artifact_id")
-
-
-_ALL_SEEN = "seen AS (SELECT source AS tenant_id, 'feed' || (doc_id % 3) AS source, CASE WHEN lang = 'en' THEN 'sha256' ELSE 'md5' END AS ioc_type, CASE WHEN lang = 'en' THEN sha256(text) ELSE md5(text) END AS value, lang AS raw, doc_id AS seen_at FROM documents)"
-
-
-def _all_seen(spark, sf_dir):
     """Every document, known by SHA-256 or, in other languages than English, by MD5 only."""
     sha = F.coalesce(F.col("lang") == "en", F.lit(False))
     return B.table(spark, sf_dir, "documents").select(
@@ -317,24 +301,19 @@ def _all_seen(spark, sf_dir):
         F.upper(F.when(sha, F.sha2("text", 256)).otherwise(F.md5("text"))).alias("value"), F.col("lang").alias("raw"), F.col("doc_id").alias("seen_at"))
 
 
-@query(f"WITH {_ALL_SEEN} SELECT tenant_id, source, ioc_type, value, min(seen_at) AS first_seen, max(seen_at) AS last_seen, arg_max(raw, seen_at) AS raw FROM seen GROUP BY 1, 2, 3, 4")
-def indicator_upsert_whole(spark, sf_dir):
-    return events.upsert_indicators(_all_seen(spark, sf_dir))
+@query(f"WITH {_SEEN} SELECT tenant_id, source, ioc_type, value, min(seen_at) AS first_seen, max(seen_at) AS last_seen, arg_max(raw, seen_at) AS raw FROM seen GROUP BY 1, 2, 3, 4")
+def indicator_upsert(spark, sf_dir):
+    return events.upsert_indicators(_seen(spark, sf_dir))
 
 
-@query(f"WITH {B.ARTIFACT}, {_ALL_SEEN} SELECT tenant_id, sha256, artifact_id FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen WHERE ioc_type = 'sha256')")
-def hash_hunt_whole(spark, sf_dir):
-    return events.hash_hunt(events.upsert_indicators(_all_seen(spark, sf_dir)), B.artifacts(spark, sf_dir)).select("tenant_id", "sha256", "artifact_id")
+@query(f"WITH {B.ARTIFACT}, {_SEEN} SELECT tenant_id, sha256, artifact_id FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen WHERE ioc_type = 'sha256')")
+def hash_hunt(spark, sf_dir):
+    return events.hash_hunt(events.upsert_indicators(_seen(spark, sf_dir)), B.artifacts(spark, sf_dir)).select("tenant_id", "sha256", "artifact_id")
 
 
 @query("""SELECT 'indicator--' || doc_id AS stix_id, unnest(['sha256', 'md5']) AS ioc_type, unnest([sha256(text), md5(text)]) AS value FROM documents WHERE lang = 'en'""")
-def stix_hash_tokens_whole(spark, sf_dir):
-    return _stix(B.table(spark, sf_dir, "documents"), F.when(F.col("lang") == "en", "indicator").otherwise("malware"))
-
-
-@query("""SELECT 'indicator--' || doc_id AS stix_id, unnest(['sha256', 'md5']) AS ioc_type, unnest([sha256(text), md5(text)]) AS value FROM documents WHERE doc_id % 5 = 0""")
 def stix_hash_tokens(spark, sf_dir):
-    return _stix(B.table(spark, sf_dir, "documents").where("doc_id % 5 IN (0, 1)"), F.when(F.col("doc_id") % 5 == 0, "indicator").otherwise("malware"))
+    return _stix(B.table(spark, sf_dir, "documents"), F.when(F.col("lang") == "en", "indicator").otherwise("malware"))
 
 
 def _stix(docs, kind):
@@ -440,22 +419,22 @@ def provenance_edges(spark, sf_dir):
 
 
 _EDGES = """edge AS (SELECT 't' || (o_custkey % 3) AS tenant_id, least(o_custkey, (o_orderkey * 7) % 1000) AS src, greatest(o_custkey, (o_orderkey * 7) % 1000) AS dst,
-CASE WHEN o_orderkey % 12 = 0 THEN 'normalized_equivalent' WHEN o_orderkey % 12 = 1 THEN 'semantic_variant_strong' WHEN o_orderkey % 3 = 1 THEN 'byte_similar' ELSE 'shared_provenance' END AS edge_type, o_orderkey % 100 + 1.0 AS score FROM orders WHERE o_orderkey < 4000),
+CASE WHEN o_orderkey % 12 = 0 THEN 'normalized_equivalent' WHEN o_orderkey % 12 = 1 THEN 'semantic_variant_strong' WHEN o_orderkey % 3 = 1 THEN 'byte_similar' ELSE 'shared_provenance' END AS edge_type, o_orderkey % 100 + 1.0 AS score FROM orders),
 one AS (SELECT DISTINCT tenant_id, src, dst, edge_type FROM edge WHERE src <> dst)"""
 
 
-def _edges(spark, sf_dir, whole=False):
+def _edges(spark, sf_dir):
     k, other = F.col("o_orderkey"), (F.col("o_orderkey") * 7) % 1000
     kind = F.when(k % 12 == 0, "normalized_equivalent").when(k % 12 == 1, "semantic_variant_strong").when(k % 3 == 1, "byte_similar").otherwise("shared_provenance")
     orders = B.table(spark, sf_dir, "orders")
-    e = (orders if whole else orders.where("o_orderkey < 4000")).select(
+    e = orders.select(
         F.concat(F.lit("t"), (F.col("o_custkey") % 3).cast("string")).alias("tenant_id"), F.col("o_custkey").alias("src"), other.alias("dst"), kind.alias("edge_type"), (k % 100 + 1).cast("double").alias("score"))
     return graph.canonical(e)
 
 
 @query(f"WITH {_EDGES} SELECT tenant_id, src, dst, edge_type FROM one")
-def canonical_edges(spark, sf_dir, whole=False):
-    return _edges(spark, sf_dir, whole).drop("score")
+def canonical_edges(spark, sf_dir):
+    return _edges(spark, sf_dir).drop("score")
 
 
 _STRONG = """, strong AS (SELECT tenant_id, src AS a, dst AS b FROM one WHERE edge_type IN ('normalized_equivalent', 'semantic_variant_strong') UNION SELECT tenant_id, dst, src FROM one WHERE edge_type IN ('normalized_equivalent', 'semantic_variant_strong')),
@@ -464,13 +443,13 @@ grp AS (SELECT tenant_id, a AS artifact_id, min(b) AS group_id FROM reach GROUP
 
 
 @query(f"WITH RECURSIVE {_EDGES}{_STRONG} SELECT * FROM grp")
-def variant_groups(spark, sf_dir, whole=False):
-    return graph.variant_groups(_edges(spark, sf_dir, whole))
+def variant_groups(spark, sf_dir):
+    return graph.variant_groups(_edges(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {_EDGES}{_STRONG} SELECT g.tenant_id, g.group_id, count(*) AS members, min(artifact_id) AS least, max(artifact_id) AS greatest FROM grp g GROUP BY 1, 2")
-def group_members(spark, sf_dir, whole=False):
-    g = graph.variant_groups(_edges(spark, sf_dir, whole))
+def group_members(spark, sf_dir):
+    g = graph.variant_groups(_edges(spark, sf_dir))
     return graph.group_members(g, g.select("tenant_id", "artifact_id")).groupBy("tenant_id", "group_id").agg(F.count("*").alias("members"), F.min("artifact_id").alias("least"), F.max("artifact_id").alias("greatest"))
 
 
@@ -480,76 +459,37 @@ _WAYS = ", ways AS (SELECT tenant_id, src AS node, dst AS other FROM one UNION S
 @query(f"""WITH {_EDGES}{_WAYS}, d0 AS (SELECT DISTINCT tenant_id, node FROM ways WHERE node = 7), d1 AS (SELECT DISTINCT w.tenant_id, w.other AS node FROM ways w JOIN d0 USING (tenant_id, node) EXCEPT SELECT tenant_id, node FROM d0),
 d2 AS (SELECT DISTINCT w.tenant_id, w.other AS node FROM ways w JOIN d1 USING (tenant_id, node) EXCEPT (SELECT tenant_id, node FROM d0 UNION SELECT tenant_id, node FROM d1))
 SELECT tenant_id, node, 0 AS depth FROM d0 UNION ALL SELECT tenant_id, node, 1 FROM d1 UNION ALL SELECT tenant_id, node, 2 FROM d2""")
-def neighborhood_bfs(spark, sf_dir, whole=False):
-    e = _edges(spark, sf_dir, whole)
+def neighborhood_bfs(spark, sf_dir):
+    e = _edges(spark, sf_dir)
     seeds = graph.both_ways(e).where("node = 7").select("tenant_id", F.col("node").alias("artifact_id")).distinct()
     return graph.neighborhood(e, seeds, depth=2, most_nodes=1_000_000)
 
 
 @query(f"WITH RECURSIVE {_EDGES}{_STRONG} SELECT tenant_id, src, dst, edge_type FROM one JOIN grp a ON a.tenant_id = one.tenant_id AND a.artifact_id = src JOIN grp b ON b.tenant_id = one.tenant_id AND b.artifact_id = dst".replace("SELECT tenant_id, src, dst, edge_type FROM one JOIN", "SELECT one.tenant_id, src, dst, edge_type FROM one JOIN"))
-def intra_group_edges(spark, sf_dir, whole=False):
-    e = _edges(spark, sf_dir, whole)
+def intra_group_edges(spark, sf_dir):
+    e = _edges(spark, sf_dir)
     return graph.inside(e, graph.variant_groups(e)).select("tenant_id", "src", "dst", "edge_type")
 
 
 @query(f"""WITH RECURSIVE {_EDGES}{_STRONG}, weak AS (SELECT tenant_id, src AS node, dst AS other FROM one WHERE edge_type IN ('byte_similar', 'shared_provenance') UNION SELECT tenant_id, dst, src FROM one WHERE edge_type IN ('byte_similar', 'shared_provenance'))
 SELECT DISTINCT g.tenant_id, g.group_id, w.other FROM weak w JOIN grp g ON g.tenant_id = w.tenant_id AND g.artifact_id = w.node WHERE NOT EXISTS (SELECT 1 FROM grp h WHERE h.tenant_id = g.tenant_id AND h.group_id = g.group_id AND h.artifact_id = w.other)""")
-def weak_leads(spark, sf_dir, whole=False):
-    e = _edges(spark, sf_dir, whole)
+def weak_leads(spark, sf_dir):
+    e = _edges(spark, sf_dir)
     return graph.weak_leads(e, graph.variant_groups(e))
 
 
 @query(f"WITH {_EDGES} SELECT edge_type, count(*) AS edges, count(*) FILTER (src % 2 = 0 AND src % 5 <> 0) AS superseded FROM one GROUP BY 1")
-def supersede_dry_run(spark, sf_dir, whole=False):
-    e = _edges(spark, sf_dir, whole).withColumns({"model_version": F.when(F.col("src") % 2 == 0, "v1").otherwise("v2"), "evidence": F.when(F.col("src") % 5 == 0, '{"superseded":"true"}').otherwise('{"score":"1"}')})
+def supersede_dry_run(spark, sf_dir):
+    e = _edges(spark, sf_dir).withColumns({"model_version": F.when(F.col("src") % 2 == 0, "v1").otherwise("v2"), "evidence": F.when(F.col("src") % 5 == 0, '{"superseded":"true"}').otherwise('{"score":"1"}')})
     return graph.supersede(e, before="v1", note="v2").groupBy("edge_type").agg(F.count("*").alias("edges"), F.count_if("was_superseded").alias("superseded"))
 
 
-# All orders as edges; recursive SQL over them is too slow, so tests hold the groups against a union-find.
-
-_ALL_EDGES = _EDGES.replace(" WHERE o_orderkey < 4000", "")
-
-
-@query(f"WITH {_ALL_EDGES} SELECT tenant_id, src, dst, edge_type FROM one")
-def canonical_edges_whole(spark, sf_dir):
-    return canonical_edges(spark, sf_dir, whole=True)
-
-
-@query()
-def variant_groups_whole(spark, sf_dir):
-    return variant_groups(spark, sf_dir, whole=True)
-
-
-@query()
-def group_members_whole(spark, sf_dir):
-    return group_members(spark, sf_dir, whole=True)
-
-
-@query()
-def neighborhood_bfs_whole(spark, sf_dir):
-    return neighborhood_bfs(spark, sf_dir, whole=True)
-
-
-@query()
-def intra_group_edges_whole(spark, sf_dir):
-    return intra_group_edges(spark, sf_dir, whole=True)
-
-
-@query()
-def weak_leads_whole(spark, sf_dir):
-    return weak_leads(spark, sf_dir, whole=True)
-
-
-@query(f"WITH {_ALL_EDGES} SELECT edge_type, count(*) AS edges, count(*) FILTER (src % 2 = 0 AND src % 5 <> 0) AS superseded FROM one GROUP BY 1")
-def supersede_dry_run_whole(spark, sf_dir):
-    return supersede_dry_run(spark, sf_dir, whole=True)
-
-
-@query(f"""WITH {B.OCCURRENCE}, {B.OPINION}, gone AS (SELECT DISTINCT artifact_id FROM artifact WHERE artifact_id % 10 = 0) SELECT 'artifact' AS family, (SELECT count(*) FROM artifact SEMI JOIN gone USING (artifact_id)) AS n
-UNION ALL SELECT 'occurrence', (SELECT count(*) FROM occurrence SEMI JOIN gone USING (artifact_id)) UNION ALL SELECT 'opinion', (SELECT count(*) FROM opinion SEMI JOIN gone USING (artifact_id))""")
+@query(f"""WITH {B.OCCURRENCE}, {B.OPINION}, gone AS (SELECT tenant_id, artifact_id FROM artifact WHERE artifact_class = 'de') SELECT 'artifact' AS family, (SELECT count(*) FROM artifact SEMI JOIN gone USING (tenant_id, artifact_id)) AS n
+UNION ALL SELECT 'occurrence', (SELECT count(*) FROM occurrence SEMI JOIN gone USING (tenant_id, artifact_id)) UNION ALL SELECT 'opinion', (SELECT count(*) FROM opinion SEMI JOIN gone USING (tenant_id, artifact_id))""")
 def cleanup_counts(spark, sf_dir):
-    gone = B.artifacts(spark, sf_dir).where("artifact_id % 10 = 0").select("artifact_id").distinct()
-    return ledger.cleanup_counts({"artifact": B.artifacts(spark, sf_dir), "occurrence": B.occurrences(spark, sf_dir), "opinion": B.opinions(spark, sf_dir)}, gone)
+    a = B.artifacts(spark, sf_dir)
+    gone = a.where("artifact_class = 'de'").select("tenant_id", "artifact_id")
+    return ledger.cleanup_counts({"artifact": a, "occurrence": B.occurrences(spark, sf_dir), "opinion": B.opinions(spark, sf_dir)}, gone)
 
 
 @query(f"WITH {B.ARTIFACT} SELECT tenant_id, artifact_id, seq FROM artifact WHERE seq % 3 <> 0 OR seq % 2 = 0")
@@ -637,7 +577,7 @@ def receipt_id(spark, sf_dir):
 
 
 @query("""SELECT substr(sha256('byte_similar_min_score=40;size_ratio_max=4;entropy_delta_max=2;semantic_match_tau=0.35;semantic_weak_coverage=0.35;semantic_strong_coverage=0.6;semantic_strong_min_pairs=3;packed_entropy_limit=7.2;significance_min_insns=5'), 1, 32) AS model,
-sha256('corpus-scan-config:v1:timeout_ms=10000:max_match_evidence=64') AS scan""")
+sha256('scan-config:v1:timeout_ms=10000:max_match_evidence=64') AS scan""")
 def config_digests(spark, sf_dir):
     return spark.range(1).select(S.model_digest().alias("model"), S.scan_config_digest().alias("scan"))
 
@@ -665,10 +605,10 @@ def classify(spark, sf_dir):
     return B.table(spark, sf_dir, "documents").select("doc_id", S.classify_bytes(F.concat(head, F.encode("text", "utf-8"))).alias("artifact_class"), F.hex(F.encode(F.substring("text", 1, 1), "utf-8")).alias("first_byte"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size_bytes, CASE WHEN strlen(text) > 16 THEN substr(hex(encode(text)), 33, 16) ELSE '' END AS range_hex FROM documents WHERE strlen(text) >= 24")
+@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size_bytes, CASE WHEN strlen(text) > 16 THEN substr(hex(encode(text)), 33, 16) ELSE '' END AS range_hex FROM documents")
 def content_range(spark, sf_dir):
     b = F.encode("text", "utf-8")
-    return B.table(spark, sf_dir, "documents").where(F.octet_length("text") >= 24).select("doc_id", F.sha2(b, 256).alias("sha256"), F.octet_length(b).cast("long").alias("size_bytes"), F.hex(F.substring(b, 17, 8)).alias("range_hex"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.sha2(b, 256).alias("sha256"), F.octet_length(b).cast("long").alias("size_bytes"), F.hex(F.substring(b, 17, 8)).alias("range_hex"))
 
 
 # --- dimensions and views ---------------------------------------------------------------------------
@@ -707,17 +647,10 @@ def evidence_strip(spark, sf_dir):
     return B.table(spark, sf_dir, "events").select("event_id", catalogue.evidence_strip(whole).alias("evidence"))
 
 
-@query("""SELECT o_orderkey, sha256(string_agg(lower(n) || chr(0), '' ORDER BY lower(n))) AS import_hash FROM (SELECT DISTINCT o_orderkey, unnest([o_orderpriority, o_orderstatus, 'LoadLibrary', 'loadlibrary']) AS n FROM orders WHERE o_orderkey < 5000) t
-WHERE n <> 'loadlibrary' GROUP BY 1""")
-def import_set_hash(spark, sf_dir, whole=False):
-    orders = B.table(spark, sf_dir, "orders")
-    names = F.array("o_orderpriority", "o_orderstatus", F.lit("LoadLibrary"), F.lit("loadlibrary"))
-    return (orders if whole else orders.where("o_orderkey < 5000")).select("o_orderkey", catalogue.join_hash(names).alias("import_hash"))
-
-
 @query("""SELECT o_orderkey, sha256(string_agg(lower(n) || chr(0), '' ORDER BY lower(n))) AS import_hash FROM (SELECT o_orderkey, unnest([o_orderpriority, o_orderstatus, 'LoadLibrary']) AS n FROM orders) t GROUP BY 1""")
-def import_set_hash_whole(spark, sf_dir):
-    return import_set_hash(spark, sf_dir, whole=True)
+def import_set_hash(spark, sf_dir):
+    names = F.array("o_orderpriority", "o_orderstatus", F.lit("LoadLibrary"), F.lit("loadlibrary"))
+    return B.table(spark, sf_dir, "orders").select("o_orderkey", catalogue.join_hash(names).alias("import_hash"))
 
 
 @query("""SELECT l_orderkey, round(sum(l_discount * 80 * l_linenumber) / sum(l_linenumber), 6) AS mean_entropy, round(max(l_discount * 80), 6) AS max_entropy FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1""")
@@ -806,18 +739,13 @@ def investigation(spark, sf_dir):
     return reports.investigate(a, _matches(spark, sf_dir), B.occurrences(spark, sf_dir), B.opinions(spark, sf_dir), detection)
 
 
-@query(f"""WITH {B.ARTIFACT}, {_SEEN} SELECT tenant_id, artifact_id, 'high' AS severity, 'intel' AS source FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen)""")
-def continuous_intel(spark, sf_dir, seen=_seen):
+@query(f"""WITH {B.ARTIFACT}, {_SEEN} SELECT tenant_id, artifact_id, 'high' AS severity, 'intel' AS source FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen WHERE ioc_type = 'sha256')""")
+def continuous_intel(spark, sf_dir):
     triggers = spark.createDataFrame([], "tenant_id string, condition string, trigger_id string, url string, enabled boolean")
-    found, _ = reports.continuous_intel(events.upsert_indicators(seen(spark, sf_dir)), B.artifacts(spark, sf_dir), triggers)
+    found, _ = reports.continuous_intel(events.upsert_indicators(_seen(spark, sf_dir)), B.artifacts(spark, sf_dir), triggers)
     return found.select("tenant_id", "artifact_id", "severity", "source")
 
 
-@query(f"""WITH {B.ARTIFACT}, {_ALL_SEEN} SELECT tenant_id, artifact_id, 'high' AS severity, 'intel' AS source FROM artifact WHERE (tenant_id, sha256) IN (SELECT tenant_id, value FROM seen WHERE ioc_type = 'sha256')""")
-def continuous_intel_whole(spark, sf_dir):
-    return continuous_intel(spark, sf_dir, _all_seen)
-
-
 @query()
 def function_coverage(spark, sf_dir):
     """Items of the benchmark as artifacts, their sentences as functions; not told in SQL, as the matching is greedy."""

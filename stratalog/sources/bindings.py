@@ -68,11 +68,11 @@ OPINION = """opinion AS (SELECT a.tenant_id, a.artifact_id, l.doc_id AS opinion_
 
 
 def literal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One literal rule for each benchmark item: its first 60 characters."""
-    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("rule_id"), F.substring("text", 1, 60).alias("literal"))
+    """One literal rule for each benchmark item: its whole text."""
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("rule_id"), F.col("text").alias("literal"))
 
 
-RULE = "rule AS (SELECT 'item_' || item_id AS rule_id, substr(text, 1, 60) AS literal FROM benchmark)"
+RULE = "rule AS (SELECT 'item_' || item_id AS rule_id, text AS literal FROM benchmark)"
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:

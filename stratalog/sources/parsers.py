@@ -165,12 +165,12 @@ def elf_features(data: bytes) -> dict | None:
 
 
 #: Ways that compiled x86-64 functions begin.
-PROLOGUES = [b"\x55\x48\x89\xe5", b"\xf3\x0f\x1e\xfa", b"\x48\x83\xec", b"\x48\x81\xec", b"\x40\x53"]
+PROLOGUES = [b"\x55\x48\x89\xe5", b"\xf3\x0f\x1e\xfa", b"\x48\x83\xec", b"\x48\x89\x5c", b"\x40\x53"]
 
 
 def prologues(code: bytes, gap: int = 8, cap: int = 512) -> list[int]:
     """Offsets where functions seem to begin, at least `gap` apart, `cap` at most."""
-    hits = sorted({at for p in PROLOGUES for at in _all(code, p)})
+    hits = sorted({at for p in PROLOGUES for at in _all(code, p) if at + 4 <= len(code)})
     out: list[int] = []
     for at in hits:
         if len(out) < cap and (not out or at - out[-1] >= gap):

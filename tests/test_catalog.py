@@ -54,26 +54,26 @@ def test_whole_graph_equals_union_find(spark, tmp_path):
             root[y] = x
     group = {x: find(x)[1] for x in root}
     run = lambda name: {tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
-    assert run("canonical_edges_whole") == edges
-    assert run("variant_groups_whole") == {(t, n, g) for (t, n), g in group.items()}
+    assert run("canonical_edges") == edges
+    assert run("variant_groups") == {(t, n, g) for (t, n), g in group.items()}
     members = {}
     for (t, n), g in group.items():
         members.setdefault((t, g), set()).add(n)
-    assert run("group_members_whole") == {(t, g, len(m), min(m), max(m)) for (t, g), m in members.items()}
-    assert run("intra_group_edges_whole") == {e for e in edges if e[:2] in group and (e[0], e[2]) in group}
+    assert run("group_members") == {(t, g, len(m), min(m), max(m)) for (t, g), m in members.items()}
+    assert run("intra_group_edges") == {e for e in edges if e[:2] in group and (e[0], e[2]) in group}
     ways = {(t, *w, kind) for t, a, b, kind in edges for w in ((a, b), (b, a))}
-    assert run("weak_leads_whole") == {(t, group[t, a], b) for t, a, b, kind in ways if kind not in strong and (t, a) in group and b not in members[t, group[t, a]]}
+    assert run("weak_leads") == {(t, group[t, a], b) for t, a, b, kind in ways if kind not in strong and (t, a) in group and b not in members[t, group[t, a]]}
     depth = {(t, 7): 0 for t, a, _, _ in ways if a == 7}
     for d in (1, 2):
         for t, b in {(t, b) for t, a, b, _ in ways if depth.get((t, a)) == d - 1} - set(depth):
             depth[t, b] = d
-    got = {(r.tenant_id, r.node, r.depth) for r in catalog.queries()["neighborhood_bfs_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.tenant_id, r.node, r.depth) for r in catalog.queries()["neighborhood_bfs"](spark, str(tmp_path)).collect()}
     assert got == {(t, n, d) for (t, n), d in depth.items()}
-    assert len(run("import_set_hash_whole")) == 6000
+    assert len(run("import_set_hash")) == 6000
 
 
 def test_every_document_reaches_the_indicators(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    found = catalog.queries()["indicator_upsert_whole"](spark, SF)
+    found = catalog.queries()["indicator_upsert"](spark, SF)
     assert found.select("value").distinct().count() == docs.select("text").distinct().count()
-    assert catalog.queries()["stix_hash_tokens_whole"](spark, SF).count() == 2 * docs.where("lang = 'en'").count() > 0
+    assert catalog.queries()["stix_hash_tokens"](spark, SF).count() == 2 * docs.where("lang = 'en'").count() > 0
