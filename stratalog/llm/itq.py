@@ -9,16 +9,20 @@ measured, as it depends on the data: QUERY_ROWS vectors are compared with all
 others of their label, and tables are added until the share RECALL of the links
 found meets in one; where these are few, pairs made at the threshold must meet
 as well. Of the subset sizes, up to the logarithm of the number of vectors, the
-one of least work is taken; a size of zero compares all. Whatever meets in a
-table is reranked with the original vectors in double precision, so no pair
-below the threshold links.
+one of least work is taken; a size of zero compares all. Only ids and codes go to
+the tables; there pairs are filtered by the Hamming distance of whole codes, and
+vectors follow those that have a partner near enough, into the first table where
+they meet it, to be reranked in double precision, so no pair below the threshold
+links.
 
 A pair counts in the first table where it meets. Hot keys are cut into
 sub-blocks whose pairs are dealt out; a task emits sums of links for each vector
 and a spanning forest, never the pairs. A shorter vector is padded with zeros.
 
 Null labels, and vectors that are null, zero or hold null or non-finite
-components, link with nothing. Repeated rows count as vectors of their own.
+components, link with nothing. Repeated rows count as vectors of their own; of
+equal vectors the least id names the class. An empty table gives an empty
+result. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import components, durable
+from stratalog.llm.common import components, durable, give_back
 
 COSINE = 0.98
 #: Most vectors the rotation is learned on, by a hash of their ids.
@@ -44,6 +48,8 @@ BITS, ROUNDS, RECALL = 64, 40, 0.999
 QUERY_ROWS, ENOUGH, MOST_LINKS = 1_000, 2_000, 100_000
 #: Tables beyond which a subset size is given up, and comparisons that cost as much as a row of a table.
 MOST_TABLES, ROW_COST = 256, 200
+#: Bits beyond the most that differ in a measured link, within which vectors are reranked.
+MARGIN = 2
 SUB_BLOCK = 1024
 SMALL = 48
 
@@ -165,21 +171,73 @@ def _key_ids(table: pa.Table) -> np.ndarray:
     return np.cumsum(changed)
 
 
-def _rerank(batches: Iterator[pa.RecordBatch], masks: list[int], width: int) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (label, t, k, i, j, s, id, n, code, vec) to rows (u, v, links): links of u, or a forest edge u-v."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in pieces of whole groups, with each row's group number."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows < 20_000:
+        if held.num_rows < most:
             continue
         key = _key_ids(held)
         cut = int(np.searchsorted(key, key[-1]))
         if cut:
-            yield _meet(held.slice(0, cut), key[:cut], masks, width)
+            yield held.slice(0, cut), key[:cut]
             held = held.slice(cut)
     if held is not None and held.num_rows:
-        yield _meet(held, _key_ids(held), masks, width)
+        yield held, _key_ids(held)
+    del held
+    give_back()
+
+
+def _first_here(code: np.ndarray, t: np.ndarray, masks: list[int], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs that meet in no earlier table."""
+    differ, ok = code[i] ^ code[j], np.ones(len(i), bool)
+    for at, mask in enumerate(masks):
+        ok &= (t[i] <= at) | (differ & mask != 0)
+    return ok
+
+
+def _near(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (label, t, k, i, j, s, id, code): those with a partner within `radius` bits that they meet here first."""
+    for table, key in _groups(batches, 100_000):
+        code, t = table["code"].to_numpy(), table["t"].to_numpy()
+        cross, side = table["i"].to_numpy() != table["j"].to_numpy(), table["s"].to_numpy()
+        size, keep = np.bincount(key, minlength=int(key[-1]) + 1), np.zeros(len(key), bool)
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            close = np.bitwise_count((code[i] ^ code[j]).view(np.uint64)) <= radius
+            i, j = i[close], j[close]
+            ok = _first_here(code, t, masks, i, j)
+            keep[i[ok]] = True
+            keep[j[ok]] = True
+
+        small = np.flatnonzero(size[key] <= SMALL)
+        for step in range(1, SMALL):
+            i, j = small[:-step], small[step:]
+            same = key[i] == key[j]
+            if not same.any():
+                break
+            same &= ~(cross[i] & (side[i] == side[j]))
+            take(i[same], j[same])
+        for g in np.flatnonzero(size > SMALL):
+            lo, hi = np.searchsorted(key, [g, g + 1])
+            for start in range(lo, hi, 256):
+                stop = min(hi, start + 256)
+                near = np.bitwise_count((code[start:stop, None] ^ code[None, lo:hi]).view(np.uint64)) <= radius
+                near &= np.arange(lo, hi)[None, :] > np.arange(start, stop)[:, None]
+                if cross[lo]:
+                    near &= side[start:stop, None] != side[None, lo:hi]
+                i, j = np.nonzero(near)
+                take(i + start, j + lo)
+        if keep.any():
+            yield table.drop_columns(["code"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+
+
+def _rerank(batches: Iterator[pa.RecordBatch], masks: list[int], width: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (label, t, k, i, j, s, id, n, code, vec) to rows (u, v, links): links of u, or a forest edge u-v."""
+    for table, key in _groups(batches, 20_000):
+        yield _meet(table, key, masks, width)
 
 
 def _meet(table: pa.Table, key: np.ndarray, masks: list[int], width: int) -> pa.RecordBatch:
@@ -191,13 +249,6 @@ def _meet(table: pa.Table, key: np.ndarray, masks: list[int], width: int) -> pa.
     links = np.zeros(len(ids), np.int64)
     left, right = [], []
 
-    def first_here(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Pairs that meet in no earlier table."""
-        differ, ok = code[i] ^ code[j], np.ones(len(i), bool)
-        for at, mask in enumerate(masks):
-            ok &= (t[i] <= at) | (differ & mask != 0)
-        return ok
-
     small = np.flatnonzero(size[key] <= SMALL)
     for step in range(1, SMALL):
         i, j = small[:-step], small[step:]
@@ -208,7 +259,7 @@ def _meet(table: pa.Table, key: np.ndarray, masks: list[int], width: int) -> pa.
         i, j = i[same], j[same]
         near = (x[i] * x[j]).sum(axis=1) >= COSINE
         i, j = i[near], j[near]
-        ok = first_here(i, j)
+        ok = _first_here(code, t, masks, i, j)
         i, j = i[ok], j[ok]
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
@@ -225,7 +276,7 @@ def _meet(table: pa.Table, key: np.ndarray, masks: list[int], width: int) -> pa.
                 near &= side[start:stop, None] != side[None, lo:hi]
             i, j = np.nonzero(near)
             i, j = i + start, j + lo
-            ok = first_here(i, j)
+            ok = _first_here(code, t, masks, i, j)
             i, j = i[ok], j[ok]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -259,15 +310,20 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         plain = named.where(F.col("rep").isNotNull()).select(F.xxhash64("label").alias("label"), F.col("rep").alias("id"), "n", "vec")
         coded = plain.mapInArrow(partial(_code, quantiser=sent, width=width), "label long, id long, n long, vec array<double>, code long")
         coded = durable(coded)
-        masks = table_masks(n, quantiser.rotation.shape[1], measured_pairs(coded, quantiser, width))
+        pairs = measured_pairs(coded, quantiser, width)
+        masks = table_masks(n, quantiser.rotation.shape[1], pairs)
+        radius = max((int(np.bitwise_count(x.view(np.uint64)).max()) for x, _ in pairs if len(x)), default=64) + MARGIN
         tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("code").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])
-        keyed = coded.select("label", "id", F.explode(tables).alias("e")).select("label", "id", "e.t", "e.k")
+        keyed = coded.select("label", "id", "code", F.explode(tables).alias("e")).select("label", "id", "code", "e.t", "e.k")
         shared = keyed.groupBy("label", "t", "k").agg(F.count("*").alias("m")).where("m > 1")
         met = keyed.join(shared, ["label", "t", "k"]).withColumn("parts", F.ceil(F.col("m") / SUB_BLOCK).cast("int"))
         met = met.withColumn("s", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), "parts")).otherwise(0).cast("int"))
         met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = met.select("label", "t", "k", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "id").join(coded.select("id", "n", "code", "vec"), "id")
-        placed = dealt.select("label", "t", "k", "i", "j", "s", "id", "n", "code", "vec").repartition("label", "t", "k", "i", "j").sortWithinPartitions("label", "t", "k", "i", "j")
+        group = ("label", "t", "k", "i", "j")
+        dealt = met.select("label", "t", "k", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "id", "code")
+        # codes alone go to the tables; vectors follow those that have a partner near enough
+        near = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(partial(_near, masks=masks, radius=radius), "label long, t short, k long, i int, j int, s int, id long")
+        placed = near.join(coded.select("id", "n", "code", "vec"), "id").select(*group, "s", "id", "n", "code", "vec").repartition(*group).sortWithinPartitions(*group)
         found = durable(placed.mapInArrow(partial(_rerank, masks=masks, width=width), "u long, v long, links long"))
         links = found.where("u = v").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
         parts = components(found.where("u <> v").select("u", "v")).withColumnRenamed("node", "rep")
