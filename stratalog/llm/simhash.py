@@ -6,7 +6,7 @@ copies never meet as pairs. Two fingerprints within 4 bits agree in at least
 B - 4 of B blocks of bits, so every choice of B - 4 blocks is a table whose
 keys bring together all that could link; B grows with the number of distinct
 fingerprints, so a key rarely holds strangers. Within a key the pivot table
-decides: the Hamming distances of each fingerprint to many fixed reference
+decides (by itself the table is a filter, no index: see the README): the Hamming distances of each fingerprint to many fixed reference
 fingerprints are computed once; by the triangle inequality a pair whose largest
 coordinate difference exceeds 4 is discarded, and survivors are verified.
 
@@ -16,7 +16,8 @@ spanning forest of its links, so rows never grow with its square, and the
 components stay exact.
 
 Texts without words (null and empty too) have fingerprint zero and link like
-any other. Repeated rows keep their rows. A null doc_id gets its component but
+any other; a very long text is read whole; an empty table gives an empty result;
+extra columns are left out, whatever their names. Repeated rows keep their rows. A null doc_id gets its component but
 never names one unless the component has no other id.
 """
 
