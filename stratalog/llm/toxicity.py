@@ -40,7 +40,8 @@ WINDOW, STRIDE = 32, 16
 THRESHOLD = 0.7
 WIDTH, HIDDEN = 10, 8
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
-EPOCHS, BATCH = 6, 128
+#: Rounds over the sample; a small sample has more of them, up to so many steps in all.
+EPOCHS, BATCH, LEAST_STEPS = 6, 128, 200
 #: Distinct words a worker keeps before it starts over.
 MEMORY_WORDS = 150_000
 #: Bytes of text scored at a time; a longer text stands alone.
@@ -235,7 +236,8 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network | None:
     speed = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     seen_w, seen_g, count = np.full(WORD_ROWS, 1e-4, np.float32), np.full(GRAM_ROWS, 1e-4, np.float32), 0
     every = np.arange(WINDOW)
-    for epoch in range(EPOCHS):
+    rounds = max(EPOCHS, -(-LEAST_STEPS // -(-int(len(y) + (y == 0).sum()) // BATCH)))
+    for _ in range(rounds):
         gates = net.all_gates(words, grams, n_grams)
         _, logits, (own, start, size) = net.scores(gates, numbers, counts)
         lo = np.searchsorted(own, np.arange(len(counts)))
