@@ -336,3 +336,14 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The contract by brute force: all pairs of a label, then reachability.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(x, y) AS (SELECT x, x FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+root AS (SELECT x, min(y) AS c FROM reach GROUP BY 1), many AS (SELECT x, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept FROM v LEFT JOIN root ON root.x = vec_id LEFT JOIN many ON many.x = vec_id
+"""

@@ -254,3 +254,13 @@ def test_blocks_leave_room(n):
         for b in r.sample(range(64), 4):
             y ^= 1 << b
         assert any((x ^ y) & (m % (1 << 64)) == 0 for m in masks)
+
+
+def test_itq_equals_its_twin(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("create view embeddings as select * from read_parquet('/root/testdata/sf0.01/embeddings.parquet')")
+    got = itq.query(spark, "/root/testdata/sf0.01")
+    want = c.sql(itq.ORACLE).select(", ".join(got.columns)).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
