@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.functions.scalars import BUNDLE_HEADER
 
 CACHE_KEY = ["tenant_id", "artifact_sha256", "rule_bundle_digest", "engine_version", "scan_config_digest"]
-#: Rules of a bundle that are carried as a literal of the plan; more are joined.
-MOST_LITERAL_RULES = 5_000
+#: Rules of one automaton; more make several passes.
+MOST_LITERAL_RULES = 100_000
 MOST_EVIDENCE = 64
 #: Active bundles that a forward scan takes at once.
 MOST_ACTIVE = 10_000
@@ -227,19 +231,47 @@ def bundle_digest(rules: DataFrame, *, rule_id: str = "stable_id", source: str =
     return rules.agg(F.sha2(F.concat(F.lit(header + "\0"), body, F.lit(config)), 256).alias("digest"))
 
 
+def _scan(batches: Iterator[pa.RecordBatch], rules: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Rows (tenant_id, artifact_id, text) to (tenant_id, artifact_id, rule_id), by one automaton of all literals."""
+    import ahocorasick
+
+    automaton, named, always = ahocorasick.Automaton(), {}, []
+    for rule_id, literal in rules.value:
+        if literal:
+            named.setdefault(literal, []).append(rule_id)
+        elif literal is not None:
+            always.append(rule_id)
+    for literal, ids in named.items():
+        automaton.add_word(literal, ids)
+    automaton.make_automaton()
+    for batch in batches:
+        rows, ids = [], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            if text is None:
+                continue
+            found = dict.fromkeys(always)
+            if named:
+                for _, hit in automaton.iter(text):
+                    found.update(dict.fromkeys(hit))
+            rows += [i] * len(found)
+            ids += found
+        keys = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array(ids, pa.string())], names=["tenant_id", "artifact_id", "rule_id"])
+
+
 def literal_matches(content: DataFrame, rules: DataFrame, *, text: str = "text") -> DataFrame:
     """(tenant_id, artifact_id, rule_id): artifacts that contain a rule's literal, in one pass over the contents.
 
-    A bundle up to MOST_LITERAL_RULES is a literal of the plan; a larger one is
-    cut into such bundles, each a pass of its own.
+    All literals of a bundle make one automaton, so a text is read once however many rules there are. A bundle of more
+    than MOST_LITERAL_RULES is cut into several, each a pass of its own. A null literal matches nothing, an empty one all.
     """
-    rows = sorted((r["rule_id"], r["literal"]) for r in rules.select("rule_id", "literal").collect())  # rules, not data
+    rows = sorted(((r["rule_id"], r["literal"]) for r in rules.select("rule_id", "literal").collect()), key=str)  # rules, not data
+    given = content.select("tenant_id", "artifact_id", F.col(text).cast("string").alias("__text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "__text") + ", rule_id string"
     out = None
     for at in range(0, max(1, len(rows)), MOST_LITERAL_RULES):
-        part = rows[at:at + MOST_LITERAL_RULES]
-        bundle = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x")) for i, x in part]) if part else F.array().cast("array<struct<i:string,x:string>>")
-        hits = F.filter(bundle, lambda r: F.contains(F.col(text), r["x"]))
-        one = content.select("tenant_id", "artifact_id", F.explode(F.transform(hits, lambda r: r["i"])).alias("rule_id"))
+        sent = content.sparkSession.sparkContext.broadcast(rows[at:at + MOST_LITERAL_RULES])
+        one = given.mapInArrow(partial(_scan, rules=sent), schema)
         out = one if out is None else out.unionByName(one)
     return out
 

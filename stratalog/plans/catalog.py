@@ -366,12 +366,12 @@ def telemetry_dedup(spark, sf_dir):
 
 # --- similarity and graph --------------------------------------------------------------
 
-_BYTES = "bytes AS (SELECT page_id, from_hex(substr(hex(encode(url)), 2 * i - 1, 2)) AS b FROM pages, range(1, strlen(url) + 1) r(i))"
+_BYTES = "bytes AS (SELECT page_id, substr(hex(encode(html)), 2 * i - 1, 2) AS b FROM pages, range(1, strlen(html) + 1) r(i))"
 
 
 @query(f"WITH {_BYTES}, c AS (SELECT page_id, b, count(*) AS n FROM bytes GROUP BY 1, 2) SELECT page_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY 1")
 def entropy(spark, sf_dir):
-    found = similarity.entropy(B.table(spark, sf_dir, "pages"), ["page_id"], F.encode("url", "utf-8"))
+    found = similarity.entropy(B.table(spark, sf_dir, "pages"), ["page_id"], F.encode("html", "utf-8"))
     return found.select("page_id", F.round("entropy", 6).alias("entropy"))
 
 
@@ -396,7 +396,8 @@ def lsh_bands(spark, sf_dir):
     return _bands(spark, sf_dir)
 
 
-@query(f"WITH {_BANDS} SELECT DISTINCT a.tenant_id, a.doc_id AS src, b.doc_id AS dst FROM band a JOIN band b ON a.tenant_id = b.tenant_id AND a.band_idx = b.band_idx AND a.band_key = b.band_key AND a.doc_id < b.doc_id")
+@query(f"""WITH {_BANDS}, pair AS (SELECT DISTINCT a.tenant_id, a.doc_id AS src, b.doc_id AS dst FROM band a JOIN band b ON a.tenant_id = b.tenant_id AND a.band_idx = b.band_idx AND a.band_key = b.band_key AND a.doc_id < b.doc_id)
+SELECT * FROM pair QUALIFY row_number() OVER (PARTITION BY tenant_id, src ORDER BY dst) <= 512""")
 def lsh_candidates(spark, sf_dir):
     return similarity.candidates(_bands(spark, sf_dir))
 
@@ -408,14 +409,15 @@ def _feature(spark, sf_dir):
     return B.artifacts(spark, sf_dir).select("tenant_id", "artifact_id", "artifact_class", "size_bytes", (F.floor(F.col("seq") / 20) % 13).alias("norm"), (F.floor(F.col("seq") / 20) % 7).alias("hint"))
 
 
-@query(f"WITH {B.ARTIFACT}, {_FEATURE} SELECT a.tenant_id, a.artifact_id AS src, b.artifact_id AS dst FROM feature a JOIN feature b USING (tenant_id, artifact_class, norm) WHERE a.artifact_id < b.artifact_id")
+@query(f"WITH {B.ARTIFACT}, {_FEATURE} SELECT tenant_id, src, artifact_id AS dst FROM (SELECT *, min(artifact_id) OVER (PARTITION BY tenant_id, artifact_class, norm) AS src FROM feature) WHERE artifact_id > src")
 def normalized_edges(spark, sf_dir):
-    return similarity.equal_pairs(_feature(spark, sf_dir), "norm", "normalized_equivalent").select("tenant_id", "src", "dst")
+    """Stars, not all pairs: a value shared by many would give the square of them."""
+    return similarity.equal_edges(_feature(spark, sf_dir), "norm", "normalized_equivalent").select("tenant_id", "src", "dst")
 
 
-@query(f"WITH {B.ARTIFACT}, {_FEATURE} SELECT a.tenant_id, a.artifact_id AS src, b.artifact_id AS dst FROM feature a JOIN feature b USING (tenant_id, hint) WHERE a.artifact_id < b.artifact_id")
+@query(f"WITH {B.ARTIFACT}, {_FEATURE} SELECT tenant_id, src, artifact_id AS dst FROM (SELECT *, min(artifact_id) OVER (PARTITION BY tenant_id, hint) AS src FROM feature) WHERE artifact_id > src")
 def provenance_edges(spark, sf_dir):
-    return similarity.equal_pairs(_feature(spark, sf_dir), "hint", "shared_provenance", within=None).select("tenant_id", "src", "dst")
+    return similarity.equal_edges(_feature(spark, sf_dir), "hint", "shared_provenance", within=None).select("tenant_id", "src", "dst")
 
 
 _EDGES = """edge AS (SELECT 't' || (o_custkey % 3) AS tenant_id, least(o_custkey, (o_orderkey * 7) % 1000) AS src, greatest(o_custkey, (o_orderkey * 7) % 1000) AS dst,

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions import fuzzy, scalars
-from stratalog.operators import analyst, events, graph, hunts, ledger, similarity
+from stratalog.operators import analyst, events, graph, hunts, ledger, lifecycle, similarity
 from stratalog.sources import parsers
 
 HOUR = 3_600_000_000
@@ -159,3 +159,41 @@ def test_times_and_names(spark):
     assert (now - scalars.parse_since("30d", now)).days == 30 and scalars.parse_since("2024-01-01T00:00:00Z", now).month == 1
     slugs = spark.createDataFrame([("a",), ("a-b",), ("-a",), ("A",), ("a" * 64,)], "s string").select(scalars.valid_slug(F.col("s"))).collect()
     assert [r[0] for r in slugs] == [True, True, False, False, False]
+
+
+def test_functions_without_tokens_are_alike(spark):
+    rows = [("t", 1, 0, []), ("t", 1, 9, [5, 6]), ("t", 2, 0, []), ("t", 2, 9, [7])]
+    functions = spark.createDataFrame(rows, "tenant_id string, artifact_id long, offset long, tokens array<long>")
+    got = similarity.coverage(functions, spark.createDataFrame([("t", 1, 2)], "tenant_id string, src long, dst long")).collect()[0]
+    assert (got.matched_pairs, got.a_to_b, got.unmatched_a) == (1, 0.5, 1)
+
+
+def test_one_automaton_finds_every_literal(spark):
+    rules = spark.createDataFrame([("a", "abc"), ("b", "bc"), ("c", ""), ("d", None), ("e", "abc"), ("f", "日本")], "rule_id string, literal string")
+    content = spark.createDataFrame([("t", 1, "xabcx"), ("t", 2, None), ("t", 3, ""), ("t", 4, "in 日本")], "tenant_id string, artifact_id long, text string")
+    got = {(r.artifact_id, r.rule_id) for r in hunts.literal_matches(content, rules).collect()}
+    assert got == {(1, "a"), (1, "b"), (1, "c"), (1, "e"), (3, "c"), (4, "c"), (4, "f")}
+    assert hunts.literal_matches(content, rules.limit(0)).count() == 0
+
+
+def test_groups_that_do_not_settle_raise(spark):
+    chain = spark.createDataFrame([("t", i, i + 1, "exact_copy") for i in range(40)], "tenant_id string, src long, dst long, edge_type string")
+    with pytest.raises(RuntimeError):
+        graph.variant_groups(chain, rounds=2)
+    assert graph.variant_groups(chain).select("group_id").distinct().count() == 1
+
+
+def test_prologues_near_the_end():
+    assert parsers.prologues(bytes(8) + b"\x48\x89\x5c" + bytes(30)) == [8]
+    assert parsers.prologues(bytes(8) + b"\x40\x53") == []
+
+
+def test_lookups_and_bounds(spark):
+    df = spark.range(5).withColumnRenamed("id", "rule_id")
+    assert lifecycle.lookup(df, "rule_id", 3).count() == 1 and lifecycle.populated(df) and not lifecycle.populated(df.limit(0))
+    with pytest.raises(lifecycle.NotFound):
+        lifecycle.lookup(df, "rule_id", 9)
+    e = spark.createDataFrame([("t", 0, i, "byte_similar", 1.0 * i) for i in range(1, 10)], "tenant_id string, src long, dst long, edge_type string, score double")
+    nodes, edges, flags = lifecycle.bounded_view(e, spark.createDataFrame([("t", 0)], "tenant_id string, artifact_id long"), most_nodes=4, most_edges=2)
+    assert {r.node for r in nodes.collect()} == {0, 1, 2, 3} and {r.dst for r in edges.collect()} == {2, 3} and flags.collect()[0].truncated
+    assert lifecycle.edge_filter(e, min_score=5, include_weak=False).count() == 0 and lifecycle.page(df, ["rule_id"], 10, 5).count() == 0
