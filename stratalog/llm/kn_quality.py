@@ -5,8 +5,7 @@ a fixed alphabet (letters without case, digits, groups of punctuation, lead and
 continuation bytes of other scripts). Spark counts every n-gram of every
 document; each task adds up its texts before the shuffle. Lower orders count
 continuations. The alphabet bounds the table by ALPHABET ** ORDER n-grams
-whatever the input (a word n-gram table has no such bound, so it could not be
-broadcast), so the model is collected, its discounts and interpolated
+whatever the input, so the model is collected, its discounts and interpolated
 probabilities are computed, and it is stored as sorted hash arrays: an order's
 n-gram hashes in order, with a log probability and a back-off weight each.
 
@@ -15,8 +14,10 @@ table bars and repeats lower it. For each language the median and the
 median absolute deviation of log perplexity, exact over all documents that pass
 the base rules, give the lower and the upper band.
 
-A second model counts pairs of word classes over all documents (`kn_words`), so
-words, their order and scripts that the alphabet folds together count as well. A
+A second, class-based model counts pairs of word classes (`kn_words`) and within
+them every word of the corpus (`kn_vocabulary`), so words, their order and
+scripts that the alphabet folds together count as well. What it gathers grows
+with the input and stays in sorted hash arrays dealt over the cluster. A
 document is kept within the bands of the first and below the upper band of the
 second: text that others repeat is foretold well, and copies are not the matter
 of these rules.
@@ -38,8 +39,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from stratalog.llm import kn_words
+from stratalog.llm import kn_vocabulary, kn_words
 from stratalog.llm.common import durable, give_back, pieces
 
 ORDER, ALPHABET = 4, 47
@@ -251,34 +253,48 @@ def base_measures(text: bytes, numbers: dict[bytes, int]) -> tuple[int, int, int
 _MOST_NUMBERS = 250_000
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, measured: bool) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, cuts: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row for each text, then those of its block."""
     scorer, word_model = _Scorer(model.value[0]), model.value[1]
     numbers: dict[bytes, int] = {}
+    block = kn_vocabulary.Block(cuts)
+    filled = lambda rows: pa.RecordBatch.from_arrays([rows.column(f.name).cast(f.type) if f.name in rows.schema.names else pa.nulls(rows.num_rows, f.type) for f in schema], schema=schema)
     for batch in pieces(batches, "__text", SLICE_BYTES):
         at = batch.schema.get_field_index("__text")
         texts = batch.column(at).cast(pa.binary()).fill_null(b"").to_pylist()
-        out = batch.remove_column(at).append_column("__word_ppl", pa.array(word_model.log_perplexity(texts), from_pandas=True)).append_column("__log_ppl", pa.array(scorer(texts), from_pandas=True))
-        if measured:
-            rows = []
-            for t in texts:
-                if len(numbers) > _MOST_NUMBERS:
-                    numbers = {}
-                rows.append(base_measures(t, numbers))
-            for name, column in zip(MEASURES, np.array(rows, np.int64).reshape(-1, len(MEASURES)).T, strict=True):
-                out = out.append_column(name, pa.array(np.ascontiguousarray(column)))
-        yield out
-        del batch, texts, out
-    del scorer, numbers
+        found, texts_here = kn_words.words(texts), len(texts)
+        out = batch.remove_column(at).append_column("__word_ppl", pa.array(word_model.of_words(*found, texts_here), from_pandas=True)).append_column("__log_ppl", pa.array(scorer(texts), from_pandas=True))
+        rows = []
+        for t in texts:
+            if len(numbers) > _MOST_NUMBERS:
+                numbers = {}
+            rows.append(base_measures(t, numbers))
+        for name, column in zip(MEASURES, np.array(rows, np.int64).reshape(-1, len(MEASURES)).T, strict=True):
+            out = out.append_column(name, pa.array(np.ascontiguousarray(column)))
+        places = np.arange(block.texts, block.texts + texts_here, dtype=np.int32)
+        yield filled(out.append_column("__block", pa.array([block.name] * texts_here, pa.int64())).append_column("__place", pa.array(places)))
+        block.add(*found, texts_here, sum(map(len, texts)))
+        del batch, texts, out, found, rows
+        if block.size >= kn_vocabulary.BLOCK_BYTES:
+            yield filled(block.rows())
+    if block.texts:
+        yield filled(block.rows())
+    del scorer, numbers, block
     give_back()
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def scored(docs: DataFrame, model: Broadcast, *, text: str = "text", keep: tuple[str, ...], measured: bool = True) -> DataFrame:
+def scored(docs: DataFrame, model: Broadcast, *, text: str = "text", keep: tuple[str, ...]) -> DataFrame:
     given = docs.select(*keep, F.col(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"] + ["__word_ppl double", "__log_ppl double"] + [f"{m} long" for m in MEASURES if measured]
-    return given.mapInArrow(partial(_score, model=model, measured=measured), ", ".join(fields))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "__text"] + ["__word_ppl double", "__log_ppl double"] + [f"{m} long" for m in MEASURES] + [kn_vocabulary.FIELDS]
+    schema = ", ".join(fields)
+    cuts, arrow = kn_vocabulary.ranges(docs, text), to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+    rows = durable(given.mapInArrow(partial(_score, model=model, cuts=cuts, schema=arrow), schema))
+    mine = rows.where("__range IS NULL").drop("__range", "__keys", "__counts", "__sizes")
+    nats = kn_vocabulary.scores(rows.select("__block", "__place", "__range", "__keys", "__counts", "__sizes"))
+    return mine.join(nats, ["__block", "__place"]).withColumn("__word_ppl", F.col("__word_ppl") + F.col("__word_nats")).drop("__block", "__place", "__word_nats")
 
 
 def bands(narrow: DataFrame, lang: str = "lang", column: str = "__log_ppl") -> DataFrame:

@@ -1,4 +1,4 @@
-"""A modified Kneser-Ney model of pairs of words, each document scored by all others.
+"""A class-based modified Kneser-Ney model of words: pairs of classes, then the word within its class (`kn_vocabulary`); each document scored by all others.
 
 A word is a run of ASCII letters and digits (without case) and of other bytes
 beyond ASCII; a punctuation mark is a word, and so is each character from
@@ -31,7 +31,9 @@ CLASSES = 2048
 SPACE = (CLASSES + 1) * CLASSES
 #: Ranges of first classes, and bytes of text split into words at once.
 RANGES, CHUNK = 16, 1 << 20
-_32 = np.uint64(32)
+#: Bits of a word's hash; the first of them give its class, so hashes in order have classes in order.
+BITS = 40
+IN_CLASS = np.uint64(BITS - (CLASSES - 1).bit_length())
 
 
 def _kinds() -> np.ndarray:
@@ -61,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all words, and the number of the text each stands in."""
+    """Hashes (BITS bits) of all words, and the number of the text each stands in."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     kind = _KIND[data]
     if (kind == 4).any():
@@ -80,17 +82,16 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     value = _BYTE[data] * _PLACE[place & 1023]
     value[whole == 0] = 0
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return _mix(np.add.reduceat(value, at)) >> _32, np.searchsorted(ends, at, side="right")
+    return _mix(np.add.reduceat(value, at)) >> np.uint64(64 - BITS), np.searchsorted(ends, at, side="right")
 
 
-def pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Class before * CLASSES + class for each word, and the number of its text."""
-    w, doc = words(texts)
-    now = (w * np.uint64(CLASSES) >> _32).astype(np.int64)
+def pairs(w: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Class before * CLASSES + class for each of the words of texts."""
+    now = (w >> IN_CLASS).astype(np.int64)
     before = np.full(len(now), CLASSES, np.int64)
     same = doc[1:] == doc[:-1]
     before[1:][same] = now[:-1][same]
-    return before * CLASSES + now, doc
+    return before * CLASSES + now
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -115,7 +116,7 @@ def _row(r: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SPACE, np.int64)
     for batch in pieces(batches, "__text", CHUNK):
-        total += np.bincount(pairs(batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist())[0], minlength=SPACE)
+        total += np.bincount(pairs(*words(batch.column(0).cast(pa.binary()).fill_null(b"").to_pylist())), minlength=SPACE)
         del batch
     at = np.flatnonzero(total)
     give_back()
@@ -175,13 +176,14 @@ class WordModel:
 
     def log_perplexity(self, texts: list[bytes]) -> np.ndarray:
         """Of each text of the table for a word, by the counts of all other texts; NaN of one without words."""
-        return np.concatenate([*(self._part(some) for _, some in _chunks(texts)), np.zeros(0)])
+        return np.concatenate([*(self.of_words(*words(some), len(some)) for _, some in _chunks(texts)), np.zeros(0)])
 
-    def _part(self, texts: list[bytes]) -> np.ndarray:
-        out = np.full(len(texts), np.nan)
-        code, doc = pairs(texts)
-        if not len(code):
+    def of_words(self, w: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+        """The same of so many texts, given their words."""
+        out = np.full(texts, np.nan)
+        if not len(w):
             return out
+        code = pairs(w, doc)
         key, own = np.unique(doc * SPACE + code, return_counts=True)
         doc, code = np.divmod(key, SPACE)
         before, now = np.divmod(code, CLASSES)
@@ -197,13 +199,13 @@ class WordModel:
         gone = (rest == 0).astype(np.float64)
         _, of_word = np.unique(doc * CLASSES + now, return_inverse=True)
         heads = self.heads[now] - np.bincount(of_word, gone)[of_word]
-        all_heads = np.maximum(len(self.codes) - np.bincount(doc, gone, len(texts))[doc], 0)
+        all_heads = np.maximum(len(self.codes) - np.bincount(doc, gone, texts)[doc], 0)
         kept = np.maximum(heads - self.word_discounts[np.clip(heads, 0, 3).astype(np.int64)], 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             low = np.where(all_heads > 0, (kept + self.left / self.vocabulary) / np.maximum(all_heads, 1), 1 / self.vocabulary)
             high = np.maximum(rest - self.pair_discounts[np.minimum(rest, 3)], 0)
             p = np.where(total > 0, (high + mass * low) / np.maximum(total, 1), low)
-        logs, n = np.bincount(doc, own * np.log(np.maximum(p, 1e-300)), len(texts)), np.bincount(doc, own, len(texts))
+        logs, n = np.bincount(doc, own * np.log(np.maximum(p, 1e-300)), texts), np.bincount(doc, own, texts)
         out[n > 0] = -logs[n > 0] / n[n > 0]
         return out
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm import byte_bpe, crf_pages, html_blocks, html_crf, kn_quality, kn_words, license_scan, token_count, toxicity, url_filter
+from stratalog.llm import byte_bpe, crf_pages, html_blocks, html_crf, kn_quality, kn_vocabulary, kn_words, license_scan, token_count, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "word " * 5000, "日本語 text 😀😀  \n\n x", "aaaaaaaaaaaaaaaaaaaaaaaaaa", "same", "same", "\x1c\x85\xa0 nbsp", "it's I'll we've DON'T", "x<|endoftext|>y  <|endoftext|>"]
@@ -150,6 +150,41 @@ def test_word_model_equals_a_plain_one(spark):
     assert np.isnan(got[-1]) and np.allclose(got[:-1], [_plain_word_perplexity(texts, i) for i in range(len(texts) - 1)])
 
 
+def _plain_nats(texts, which):
+    """Words within their classes by dictionaries, discounts of all texts, counts of the others."""
+    split = [re.findall(r"[a-z]+|[.,]", t.lower()) for t in texts]
+    whole = Counter(w for s in split for w in s)
+    kind = {w: int(kn_words.words([w.encode()])[0][0] >> kn_words.IN_CLASS) for w in whole}.get
+    rest = whole - Counter(split[which])
+    d = kn_words.discounts([sum(v == k for v in whole.values()) for k in range(1, 5)])
+    logs = 0
+    for w in split[which]:
+        places = 1 + sum(kind(x) == kind(w) for x in whole)
+        same = {x: n for x, n in rest.items() if kind(x) == kind(w)}
+        total = sum(same.values())
+        logs += np.log((max(0, rest[w] - d[min(3, rest[w])]) + sum(d[min(3, n)] for n in same.values()) / places) / total if total else 1 / places)
+    return -logs / len(split[which])
+
+
+@pytest.mark.parametrize("block", [1, 300, 1 << 20])
+def test_words_in_classes_equal_plain_ones(spark, block):
+    r = random.Random(9)
+    lexicon = ["".join(r.choices("abcdefgh", k=r.randint(1, 6))) for _ in range(3000)]
+    texts = [" ".join(r.choices(lexicon[:40] if i % 2 else lexicon, k=r.randint(1, 30))) + "." for i in range(24)] + ["", "only.", ""]
+    blocks, at, now = [], [], kn_vocabulary.Block(8)
+    for t in texts:
+        at.append((now.name, now.texts))
+        now.add(*kn_words.words([t.encode()]), 1, len(t))
+        if now.size >= block:
+            blocks.append(now.rows())
+    if now.texts:
+        blocks.append(now.rows())
+    rows = [tuple(x.values()) for b in blocks for x in b.to_pylist()]
+    got = {(x["__block"], x["__place"]): x["__word_nats"] for x in kn_vocabulary.scores(spark.createDataFrame(rows, kn_vocabulary.FIELDS).repartition(3)).collect()}
+    assert len(got) == len(texts) and all((got[a] is None) == (not t) for a, t in zip(at, texts, strict=True))
+    assert np.allclose([got[a] for a, t in zip(at, texts, strict=True) if t], [_plain_nats(texts, i) for i, t in enumerate(texts) if t])
+
+
 @pytest.mark.parametrize("letters", ["abcdefghijklmnop", "абвгдежзиклмнопр"])
 def test_word_salad_goes(spark, letters):
     r = random.Random(5)
