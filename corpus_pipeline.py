@@ -8,11 +8,12 @@ may delete it (`run(...).inputFiles()` tells where it lies).
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm.common import BATCH_ROWS, shared_dir
+from stratalog.llm.common import BATCH_ROWS, give_back, shared_dir
 from stratalog.llm.stages import STAGES
 
 #: A trained network, a language model and a flow can't be told in SQL; the tests compare with plain versions.
@@ -26,6 +27,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Lets go what a stage left on the driver: models, plans, and shuffles that nothing reads any more."""
+    gc.collect()
+    give_back()
+    spark._jvm.System.gc()
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder, last, rows = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None, spark.conf.get(BATCH_ROWS)
@@ -37,6 +45,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if last:
                 _delete(spark, last)
             last = at
+            _tidy(spark)
     finally:  # stages bound Arrow batches for themselves only
         spark.conf.set(BATCH_ROWS, rows)
     return docs
