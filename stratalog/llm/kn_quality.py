@@ -324,6 +324,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", keep: tupl
     if clash := set(keep) & {*MEASURES, "base_failed", "perplexity", "low", "high", "word_perplexity", "word_high", "kept"}:
         raise ValueError(f"columns of the result: {sorted(clash)}")
     model = docs.sparkSession.sparkContext.broadcast((train(docs, text), kn_words.train(docs, text)))
+    give_back()
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     given = docs.select(*keep, F.col(lang).alias("__of"), F.col(text).alias("__body"))
     rows = narrow = durable(scored(given, model, text="__body", keep=(*keep, "__of")))
