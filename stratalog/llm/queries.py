@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm import byte_bpe, html_crf, itq, kn_quality, license_scan, mixing, simhash, token_count, toxicity, url_filter
+from stratalog.llm import byte_bpe, click_windows, html_crf, itq, kn_quality, license_scan, mixing, simhash, token_count, toxicity, url_filter
 from stratalog.llm.common import limit_batches, read
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_count": token_count.query,
         "op9_itq": itq.query,
         "op10_simhash": simhash.query,
+        "op13_click_windows": click_windows.query,
     }
 
 
