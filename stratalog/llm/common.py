@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -42,19 +43,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def limit_batches(spark: SparkSession, rows: int = 1_000) -> str:
-    """Lets the session's Arrow batches hold so many rows at most; returns the former setting.
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the bytes of the session's Arrow batches, which are bounded by rows alone otherwise, whole texts and all.
 
-    Spark bounds these batches by rows alone, whole texts and all, in the JVM and in the worker. Only applications
-    (the pipeline's stages and the query of operator 5) call this, operators never; it changes no result.
+    Applications (the registered queries and the pipeline's stages) call this, as they run later than they are built;
+    operators never do. It changes no result, and a bound of the session's own that is lower stays.
     """
-    before = spark.conf.get(BATCH_ROWS)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(BATCH_ROWS, str(rows))
-    return before
+    now = spark.conf.get(BATCH_BYTES, None)
+    if now is None or not 0 < _bytes(now) <= most:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
+def _bytes(size: str) -> int:
+    """A size of Spark's settings, as 4194304, 4194304b, 4m or 4mb."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)b?\s*", size.lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm import byte_bpe, click_windows, html_crf, itq, kn_quality, license_scan, mixing, simhash, token_count, toxicity, url_filter
-from stratalog.llm.common import limit_batches, read
+from stratalog.llm import byte_bpe, click_windows, html_crf, itq, kn_quality, license_scan, mixing, simhash, token_count, top_k, toxicity, url_filter
+from stratalog.llm.common import bound_batches, read
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limit_batches(spark)
     return byte_bpe.encode(read(spark, sf_dir, "documents"), ids=False, digests=True)
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    return {name: _bounded(query) for name, query in {
         "op1_quality_rules": kn_quality.query,
         "op2_url_filter": url_filter.query,
         "op3_license_scan": license_scan.query,
@@ -27,9 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_count": token_count.query,
         "op9_itq": itq.query,
         "op10_simhash": simhash.query,
+        "op12_top_k": top_k.query,
         "op13_click_windows": click_windows.query,
-    }
+    }.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE, "op3_license_scan": license_scan.ORACLE, "op9_itq": itq.ORACLE}
+    return {"op2_url_filter": url_filter.ORACLE, "op3_license_scan": license_scan.ORACLE, "op9_itq": itq.ORACLE, "op12_top_k": top_k.ORACLE}

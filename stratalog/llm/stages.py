@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import byte_bpe, kn_quality, mixing, simhash, toxicity
-from stratalog.llm.common import limit_batches
+from stratalog.llm.common import bound_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Learns from the labelled rows of docs. A very long text is scored whole; extra columns go; an empty table stays empty.
     """
-    limit_batches(spark)
+    bound_batches(spark)
     docs = docs.select(*COLUMNS)
     network = toxicity.train(*toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.score(docs, network, keep=tuple(COLUMNS)).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
@@ -33,7 +33,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Verdicts are made on keys and joined back, so texts are shuffled once. Repeated rows have one verdict and all stay
     or all go; a null id or language is a value like any other; extra columns go; an empty table stays empty.
     """
-    limit_batches(spark)
+    bound_batches(spark)
     docs = _keyed(docs)
     kept = kn_quality.judge(docs, keep=("doc_id", "__h")).where("kept").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__k")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k")), "left_semi").select(*COLUMNS)
@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by all their columns, so different texts under one id are different documents; of equal rows one
     stays. Texts without words form one group. Extra columns go; an empty table stays empty.
     """
-    limit_batches(spark)
+    bound_batches(spark)
     docs = _keyed(docs)
     found = simhash.near_duplicates(docs, key="__h").select(F.col("__h").alias("__k"), F.col("component_id").alias("__c")).distinct()
     named = docs.select("doc_id", "__h").distinct().join(found, F.col("__h") == F.col("__k")).groupBy("__c").agg(F.min_by("__h", F.struct(F.col("doc_id").isNull(), "doc_id", "__h")).alias("__k"))
@@ -70,7 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows give repeated results; a very long text is encoded whole; an empty table stays empty.
     """
-    limit_batches(spark)
+    bound_batches(spark)
     return byte_bpe.encode(docs, keep=("doc_id", "lang", "source"), digests=True)
 
 
