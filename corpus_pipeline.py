@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm.common import BATCH_ROWS, give_back, shared_dir
+from stratalog.llm.common import give_back, shared_dir
 from stratalog.llm.stages import STAGES
 
 #: A trained network, a language model and a flow can't be told in SQL; the tests compare with plain versions.
@@ -36,16 +36,13 @@ def _tidy(spark: SparkSession) -> None:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder, last, rows = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None, spark.conf.get(BATCH_ROWS)
-    try:
-        for number, (_, stage) in enumerate(STAGES):
-            at = f"{folder}/{number}"
-            stage(spark, docs, sf_dir).write.parquet(at)
-            docs = spark.read.parquet(at)
-            if last:
-                _delete(spark, last)
-            last = at
-            _tidy(spark)
-    finally:  # stages bound Arrow batches for themselves only
-        spark.conf.set(BATCH_ROWS, rows)
+    folder, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
+    for number, (_, stage) in enumerate(STAGES):
+        at = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if last:
+            _delete(spark, last)
+        last = at
+        _tidy(spark)
     return docs
