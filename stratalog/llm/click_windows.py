@@ -47,6 +47,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    # else each start leaves its stores, with some 5 MB of files a partition, until they are missed
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
