@@ -3,7 +3,9 @@
 Copies of the clicks are cut into batches and fed in order to a query with `transformWithState`. State lies in hashed
 buckets of ids: one map from ids to their open windows, and a timing wheel beside it, a second map from a deadline's
 hour to the ids whose windows end then. One timer a bucket stands at the wheel's first deadline; when the watermark
-passes it, every slot that is due is drained. A call of the state takes about a millisecond in Python, so an entry of
+passes it, every slot that is due is drained. The watermark of a batch shows from the next one on: there, windows that
+its rows would meet and that are over are closed first, and the timer closes the others. The last batch carries a mark
+after all hours and gets a turn without rows. A call of the state takes about a millisecond in Python, so an entry of
 the first map is a page: the windows of a hashed part of a bucket's ids, as records.
 
 A bucket's own rows bound the next watermark from below, so a window which they show to be over is given out at once
@@ -43,10 +45,10 @@ OUT = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conf
 RECORD = np.dtype([("id", ">i8"), ("null", "u1"), ("hour", ">i4"), ("hash", ">u8", 4)])
 WINDOW = np.dtype([("id", "i8"), ("null", "u1"), ("start", "i4"), ("repeats", "i8"), ("conflicts", "i8"), ("crc", "i8"), ("hash", "u8", 4)])
 ID = np.dtype([("id", "i8"), ("null", "u1")])
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
     # else each start leaves its stores, with some 5 MB of files a partition, until they are missed
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
@@ -155,8 +157,9 @@ def fold(records: np.ndarray, standing: np.ndarray) -> tuple[np.ndarray, np.ndar
 class ClickWindows(StatefulProcessor):
     """Windows of a bucket of ids, as records of WINDOW in pages."""
 
-    def __init__(self, batch: int, pages: int = PAGES):
-        self.batch, self.pages = batch, pages
+    def __init__(self, batch: int, before: int, end: int, pages: int = PAGES):
+        """before: the last batch that had rows. end: the hour at which a watermark tells that there are no more batches."""
+        self.batch, self.before, self.end, self.pages = batch, before, end, pages
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -166,9 +169,10 @@ class ClickWindows(StatefulProcessor):
     def _page(self, x: np.ndarray) -> np.ndarray:
         return (((x["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(self.pages)).astype(np.int64)
 
-    def _rows(self, closed: np.ndarray) -> Iterator[Row]:
+    @staticmethod
+    def _rows(closed: np.ndarray, batch: int) -> Iterator[Row]:
         for i in range(0, len(closed), OUT_WINDOWS):
-            yield Row(closed_batch=self.batch, windows=closed[i : i + OUT_WINDOWS].tobytes())
+            yield Row(closed_batch=batch, windows=closed[i : i + OUT_WINDOWS].tobytes())
 
     def _load(self, pages: np.ndarray) -> np.ndarray:
         held = [self.windows.getValue((p,)) for p in pages.tolist()]
@@ -198,22 +202,26 @@ class ClickWindows(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         records = np.frombuffer(b"".join(r.copies for r in rows), RECORD)
+        now = timerValues.getCurrentWatermarkInMs()
         if self.batch:  # the watermark lies a second before the first hour that is in time
-            records = records[records["hour"].astype(np.int64) * HOUR_MS > timerValues.getCurrentWatermarkInMs()]
+            records = records[records["hour"].astype(np.int64) * HOUR_MS > now]
         if not len(records):
             return
         # with all fields in the machine's own byte order
         records = records.astype(np.dtype([(n, records.dtype[n].newbyteorder("=")) for n in RECORD.names]))
         pages = np.unique(self._page(records))
         standing = self._load(pages)
+        due = (standing["start"].astype(np.int64) + SPAN) * HOUR_MS <= now
+        yield from self._rows(standing[due], self.before)
+        shrunk, standing = bool(due.any()), standing[~due]
         closed, now_open, touched = fold(records, standing)
         # the next watermark lies no lower than this bucket's own
         over = now_open["start"].astype(np.int64) + SPAN < int(records["hour"].max()) - LATE
         rest = np.ones(len(standing), bool)
         rest[touched] = False
-        yield from self._rows(np.concatenate([closed, now_open[over]]))
+        yield from self._rows(np.concatenate([closed, now_open[over]]), self.batch)
         stay = now_open[~over]
-        if len(standing) or len(stay):
+        if shrunk or len(standing) or len(stay):
             self._save(pages, np.concatenate([standing[rest], stay]))
         before = _find(stay, standing)
         moved = stay[(before < 0) | (standing["start"][before] != stay["start"])] if len(standing) else stay
@@ -237,7 +245,7 @@ class ClickWindows(StatefulProcessor):
         at = _find(ids, standing)
         # an id that has moved on to a later window stays in that one's slot
         at = np.unique(at[(at >= 0) & (standing["start"][at] + SPAN == deadline)]) if len(standing) else at[:0]
-        yield from self._rows(standing[at])
+        yield from self._rows(standing[at], self.batch if now >= self.end * HOUR_MS else self.before)
         if len(at):
             self._save(pages, np.delete(standing, at))
         left = {d: ids for d, ids in slots.items() if d not in due}
@@ -263,19 +271,23 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["click_id", "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", "hash"])
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
+def _moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Whether there was something to move."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(source)) and not fs.rename(path(source), path(target)):
+    if not fs.exists(path(source)):
+        return False
+    if not fs.rename(path(source), path(target)):
         raise OSError(f"{source} can't be moved to {target}")
+    return True
 
 
-def _start(spark: SparkSession, folder: str, batch: int) -> None:
-    """Feeds what has been added to the folder, and ends once the watermark has had its effect."""
+def _start(spark: SparkSession, folder: str, batch: int, before: int, end: int) -> None:
+    """Feeds what has been added to the folder."""
     fed = spark.readStream.schema(FED).parquet(f"{folder}/in/*")
     # a second more, as what lies at the watermark itself is neither late nor over
     fed = fed.withColumn("at", F.timestamp_seconds(F.col("last").cast("long") * 3_600)).withWatermark("at", f"{LATE} hours 1 second")
-    windows = fed.select("bucket", "copies").groupBy("bucket").transformWithState(ClickWindows(batch), "closed_batch long, windows binary", "Append", "EventTime")
+    windows = fed.select("bucket", "copies").groupBy("bucket").transformWithState(ClickWindows(batch, before, end), "closed_batch long, windows binary", "Append", "EventTime")
     query = windows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
@@ -311,16 +323,22 @@ def deduplicate(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     buckets = max(LEAST_BUCKETS, -(-many // (batches * BUCKET_COPIES)))
     _cut(rows, low, high, batches, buckets).write.partitionBy("batch").parquet(f"{folder}/cut")
     # a row without copies, after all hours, moves the watermark past every deadline
-    spark.range(1).select(F.lit(0).alias("bucket"), F.lit(last + SPAN + LATE + 2).cast("int").alias("last"), F.lit(b"").alias("copies")).write.parquet(f"{folder}/cut/batch={batches}")
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    end = last + SPAN + 2
+    spark.range(1).select(F.lit(0).alias("bucket"), F.lit(end + LATE + 1).cast("int").alias("last"), F.lit(b"").alias("copies")).write.mode("append").parquet(f"{folder}/cut/batch={batches - 1}")
+    before = {k: spark.conf.get(k, None) for k in (*SETTINGS, NO_DATA)}
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/in")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-        for b in range(batches + 1):
-            _move(spark, f"{folder}/cut/batch={b}", f"{folder}/in/{b}")
-            _start(spark, folder, min(b, batches - 1))
+        last = 0
+        for b in range(batches):
+            if not _moved(spark, f"{folder}/cut/batch={b}", f"{folder}/in/{b}"):
+                continue
+            # a turn without rows is needed at the end alone
+            spark.conf.set(NO_DATA, str(b == batches - 1).lower())
+            _start(spark, folder, b, last, end)
+            last = b
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
