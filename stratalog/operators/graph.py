@@ -6,7 +6,8 @@ import json
 import tempfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Edge types that put their ends into one variant group.
@@ -14,14 +15,19 @@ MERGING = ("exact_copy", "normalized_equivalent", "semantic_variant_strong")
 MOST_DEPTH, MOST_NODES, MOST_EDGES, MOST_EXPORT_BYTES = 4, 256, 1024, 1 << 20
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; in local mode without the setting a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.gettempdir() + "/stratalog-graph"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder named by spark.checkpoint.dir; in local mode a temporary one will do."""
+    """Cuts the lineage in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.gettempdir() + "/stratalog-graph")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -67,24 +73,44 @@ def group_members(groups: DataFrame, seeds: DataFrame) -> DataFrame:
     return groups.join(wanted, ["tenant_id", "group_id"], "left_semi")
 
 
+def expand(edge: DataFrame, seeds: DataFrame, *, depth: int, most_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (tenant_id, node, depth) within so many steps, at most most_nodes a tenant, and the tenants that were cut.
+
+    Each frontier is cut to what the cap leaves as it is reached, the least ids first, so no more than most_nodes of a
+    tenant are ever expanded.
+    """
+    links = both_ways(edge).select("tenant_id", "node", "other").distinct()
+    room = W.partitionBy("tenant_id").orderBy("node")
+    first = durable(seeds.select("tenant_id", F.col("artifact_id").alias("node")).distinct().withColumn("__n", F.row_number().over(room)).withColumn("__over", F.col("__n") > most_nodes))
+    cut = first.where("__over").select("tenant_id")
+    seen = front = first.where("NOT __over").select("tenant_id", "node", F.lit(0).alias("depth"))
+    for step in range(1, min(depth, MOST_DEPTH) + 1):
+        reached = links.join(front.select("tenant_id", "node"), ["tenant_id", "node"]).select("tenant_id", F.col("other").alias("node")).distinct()
+        new = reached.join(seen, ["tenant_id", "node"], "left_anti")
+        held = seen.groupBy("tenant_id").agg(F.count("*").alias("__held"))
+        ranked = durable(new.withColumn("__n", F.row_number().over(room)).join(held, "tenant_id").withColumn("__over", F.col("__n") + F.col("__held") > most_nodes))
+        cut = cut.unionByName(ranked.where("__over").select("tenant_id"))
+        front = ranked.where("NOT __over").select("tenant_id", "node", F.lit(step).alias("depth"))
+        seen = seen.unionByName(front)
+    return seen, cut.distinct()
+
+
 def neighborhood(edge: DataFrame, seeds: DataFrame, *, depth: int = 1, min_score: float | None = None, types: tuple[str, ...] | None = None, most_nodes: int = MOST_NODES) -> DataFrame:
     """(tenant_id, node, depth): nodes within so many steps, the nearest first, at most most_nodes a tenant."""
-    from pyspark.sql import Window as W
-
     kept = edge
     if min_score is not None:
         kept = kept.where(F.col("score") >= min_score)
     if types:
         kept = kept.where(F.col("edge_type").isin(*types))
-    links = both_ways(kept).select("tenant_id", "node", "other").distinct()
-    seen = seeds.select("tenant_id", F.col("artifact_id").alias("node")).withColumn("depth", F.lit(0))
-    front = seen
-    for step in range(1, min(depth, MOST_DEPTH) + 1):
-        reached = front.join(links, ["tenant_id", "node"]).select("tenant_id", F.col("other").alias("node")).distinct()
-        front = durable(reached.join(seen, ["tenant_id", "node"], "left_anti").withColumn("depth", F.lit(step)))
-        seen = seen.unionByName(front)
-    order = W.partitionBy("tenant_id").orderBy("depth", "node")
-    return seen.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most_nodes).drop("__n")
+    return expand(kept, seeds, depth=depth, most_nodes=most_nodes)[0]
+
+
+def touching(edge: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with an end in a set (tenant_id, artifact_id), each once."""
+    a = nodes.select("tenant_id", F.col("artifact_id").alias("src"))
+    b = nodes.select("tenant_id", F.col("artifact_id").alias("dst"))
+    from_src = edge.join(a, ["tenant_id", "src"], "left_semi")
+    return from_src.select(*edge.columns).unionByName(edge.join(b, ["tenant_id", "dst"], "left_semi").join(a, ["tenant_id", "src"], "left_anti").select(*edge.columns))
 
 
 def inside(edge: DataFrame, nodes: DataFrame) -> DataFrame:

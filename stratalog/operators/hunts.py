@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,11 +17,9 @@ from pyspark.sql import functions as F
 from stratalog.functions.scalars import BUNDLE_HEADER
 
 CACHE_KEY = ["tenant_id", "artifact_sha256", "rule_bundle_digest", "engine_version", "scan_config_digest"]
-#: Rules of one automaton; more make several passes.
+#: Rules of one index; more make several passes.
 MOST_LITERAL_RULES = 100_000
 MOST_EVIDENCE = 64
-#: Active bundles that a forward scan takes at once.
-MOST_ACTIVE = 10_000
 
 
 class RuleError(ValueError):
@@ -102,8 +102,8 @@ def parse_rule(source: str) -> Rule:
     return Rule(name, tuple(patterns), condition[1].strip(), source)
 
 
-def _condition(rule: Rule, hit, count, size: Column | None) -> Column:
-    """The condition as a column: hit and count give a pattern's."""
+def parse_condition(rule: Rule) -> tuple:
+    """A condition as a tree: (and|or, a, b), (not, a), (true|false,), (hit, name), (of, need, names), (compare, what, op, number)."""
     tokens = re.findall(r"\(|\)|,|[#$]\w*\*?|\d+(?:KB|MB)?|[<>=!]=?|\w+", rule.condition)
     at = 0
     names = [p.name for p in rule.patterns]
@@ -126,7 +126,12 @@ def _condition(rule: Rule, hit, count, size: Column | None) -> Column:
             raise RuleError(f"a number expected, not {token}")
         return int(m[1]) * {"KB": 1024, "MB": 1 << 20}.get(m[2], 1)
 
-    def of(need) -> Column:
+    def known(name: str) -> str:
+        if name not in names:
+            raise RuleError(f"no string ${name}")
+        return name
+
+    def of(need: str | int) -> tuple:
         take("of")
         if peek() == "them":
             take()
@@ -137,23 +142,21 @@ def _condition(rule: Rule, hit, count, size: Column | None) -> Column:
             while peek() != ")":
                 token = take()
                 if token != ",":
-                    chosen += [n for n in names if n.startswith(token[1:-1])] if token.endswith("*") else [token[1:]]
+                    chosen += [n for n in names if n.startswith(token[1:-1])] if token.endswith("*") else [known(token[1:])]
             take(")")
-        total = F.lit(0)
-        for n in chosen:
-            total = total + hit(n).cast("int")
-        return total >= (len(chosen) if need == "all" else 1 if need == "any" else need)
+        return ("of", len(chosen) if need == "all" else 1 if need == "any" else need, tuple(chosen))
 
-    def compare(left: Column) -> Column:
+    def compare(what: str) -> tuple:
         op = take()
-        right = number()
-        return {"<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right, "==": left == right, "!=": left != right}[op]
+        if op not in COMPARISONS:
+            raise RuleError(f"a comparison expected, not {op}")
+        return ("compare", what, op, number())
 
-    def atom() -> Column:
+    def atom() -> tuple:
         token = peek()
         if token == "not":
             take()
-            return ~atom()
+            return ("not", atom())
         if token == "(":
             take()
             out = either()
@@ -162,33 +165,30 @@ def _condition(rule: Rule, hit, count, size: Column | None) -> Column:
         if token in ("any", "all"):
             return of(take())
         if token in ("true", "false"):
-            return F.lit(take() == "true")
+            return (take(),)
         if token == "filesize":
             take()
-            return compare(size)
+            return compare("")
         if token.startswith("#"):
-            return compare(count(take()[1:]))
+            return compare(f"#{known(take()[1:])}")
         if token.startswith("$"):
-            name = take()[1:]
-            if name not in names:
-                raise RuleError(f"no string ${name}")
-            return hit(name)
+            return ("hit", known(take()[1:]))
         if token.isdigit():
             return of(number())
         raise RuleError(f"unsupported condition near {token}")
 
-    def both() -> Column:
+    def both() -> tuple:
         out = atom()
         while peek() == "and":
             take()
-            out = out & atom()
+            out = ("and", out, atom())
         return out
 
-    def either() -> Column:
+    def either() -> tuple:
         out = both()
         while peek() == "or":
             take()
-            out = out | both()
+            out = ("or", out, both())
         return out
 
     out = either()
@@ -197,11 +197,50 @@ def _condition(rule: Rule, hit, count, size: Column | None) -> Column:
     return out
 
 
+COMPARISONS = {"<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "==": operator.eq, "!=": operator.ne}
+
+
+def holds(tree: tuple, counts: dict[str, int], size: int) -> bool:
+    """A condition over the counts of its patterns' matches and the content's size."""
+    match tree:
+        case ("and", a, b):
+            return holds(a, counts, size) and holds(b, counts, size)
+        case ("or", a, b):
+            return holds(a, counts, size) or holds(b, counts, size)
+        case ("not", a):
+            return not holds(a, counts, size)
+        case ("hit", name):
+            return counts.get(name, 0) > 0
+        case ("of", need, names):
+            return sum(counts.get(n, 0) > 0 for n in names) >= need
+        case ("compare", what, op, number):
+            return COMPARISONS[op](counts.get(what[1:], 0) if what else size, number)
+    return tree[0] == "true"
+
+
+def _column(tree: tuple, hit, count, size: Column) -> Column:
+    """A condition as a column: hit and count give a pattern's."""
+    match tree:
+        case ("and", a, b):
+            return _column(a, hit, count, size) & _column(b, hit, count, size)
+        case ("or", a, b):
+            return _column(a, hit, count, size) | _column(b, hit, count, size)
+        case ("not", a):
+            return ~_column(a, hit, count, size)
+        case ("hit", name):
+            return hit(name)
+        case ("of", need, names):
+            return sum((hit(n).cast("int") for n in names), F.lit(0)) >= need
+        case ("compare", what, op, number):
+            return COMPARISONS[op](count(what[1:]) if what else size, number)
+    return F.lit(tree[0] == "true")
+
+
 def compile_rule(rule: Rule, content: Column) -> Column:
     """Whether a binary column meets a rule. Bytes are read as Latin-1, so offsets and classes count bytes."""
     text = F.decode(content, "iso-8859-1")
     by = {p.name: ("(?s)" + ("(?i)" if p.ignore_case else "") + p.regex) for p in rule.patterns}
-    return _condition(rule, lambda n: text.rlike(by[n]), lambda n: F.regexp_count(text, F.lit(by[n])), F.octet_length(content))
+    return _column(parse_condition(rule), lambda n: text.rlike(by[n]), lambda n: F.regexp_count(text, F.lit(by[n])), F.octet_length(content))
 
 
 def evidence(rule: Rule, content: Column) -> Column:
@@ -231,30 +270,24 @@ def bundle_digest(rules: DataFrame, *, rule_id: str = "stable_id", source: str =
     return rules.agg(F.sha2(F.concat(F.lit(header + "\0"), body, F.lit(config)), 256).alias("digest"))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], rules: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Rows (tenant_id, artifact_id, text) to (tenant_id, artifact_id, rule_id), by one automaton of all literals."""
-    import ahocorasick
+def _literals(batches: Iterator[pa.RecordBatch], rules: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Rows (tenant_id, artifact_id, text) to (tenant_id, artifact_id, rule_id): the index of atoms names candidates, the literal decides."""
+    from stratalog.operators.scanner import Index, atom
 
-    automaton, named, always = ahocorasick.Automaton(), {}, []
+    named: dict[bytes, list[str]] = {}
     for rule_id, literal in rules.value:
-        if literal:
-            named.setdefault(literal, []).append(rule_id)
-        elif literal is not None:
-            always.append(rule_id)
-    for literal, ids in named.items():
-        automaton.add_word(literal, ids)
-    automaton.make_automaton()
+        if literal is not None:
+            named.setdefault(literal.encode(), []).append(rule_id)
+    literals = list(named)
+    index = Index([atom(Pattern("", "text", re.escape(x.decode("latin-1")))) if x else None for x in literals])
     for batch in batches:
         rows, ids = [], []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            if text is None:
-                continue
-            found = dict.fromkeys(always)
-            if named:
-                for _, hit in automaton.iter(text):
-                    found.update(dict.fromkeys(hit))
-            rows += [i] * len(found)
-            ids += found
+        for i, text in enumerate(batch.column(2)):
+            if text.is_valid:
+                content = text.as_buffer().to_pybytes()
+                found = [r for at in index.candidates(content) if literals[at] in content for r in named[literals[at]]]
+                rows += [i] * len(found)
+                ids += found
         keys = batch.take(pa.array(rows, pa.int64()))
         yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array(ids, pa.string())], names=["tenant_id", "artifact_id", "rule_id"])
 
@@ -262,17 +295,18 @@ def _scan(batches: Iterator[pa.RecordBatch], rules: Broadcast) -> Iterator[pa.Re
 def literal_matches(content: DataFrame, rules: DataFrame, *, text: str = "text") -> DataFrame:
     """(tenant_id, artifact_id, rule_id): artifacts that contain a rule's literal, in one pass over the contents.
 
-    All literals of a bundle make one automaton, so a text is read once however many rules there are. A bundle of more
+    All literals of a bundle make one index, so a text is read once however many rules there are. A bundle of more
     than MOST_LITERAL_RULES is cut into several, each a pass of its own. A null literal matches nothing, an empty one all.
     """
-    rows = sorted(((r["rule_id"], r["literal"]) for r in rules.select("rule_id", "literal").collect()), key=str)  # rules, not data
     given = content.select("tenant_id", "artifact_id", F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "__text") + ", rule_id string"
-    out = None
-    for at in range(0, max(1, len(rows)), MOST_LITERAL_RULES):
-        sent = content.sparkSession.sparkContext.broadcast(rows[at:at + MOST_LITERAL_RULES])
-        one = given.mapInArrow(partial(_scan, rules=sent), schema)
+    rows, out = rules.select("rule_id", "literal").orderBy("rule_id", "literal").toLocalIterator(), None
+    while (some := list(itertools.islice(rows, MOST_LITERAL_RULES))) or out is None:
+        sent = content.sparkSession.sparkContext.broadcast([(r["rule_id"], r["literal"]) for r in some])
+        one = given.mapInArrow(partial(_literals, rules=sent), schema)
         out = one if out is None else out.unionByName(one)
+        if not some:
+            break
     return out
 
 
@@ -300,14 +334,10 @@ def counters(outcome: DataFrame) -> DataFrame:
 
 
 def forward(new: DataFrame, bundles: DataFrame, cache: DataFrame) -> DataFrame:
-    """(new artifact, active bundle) pairs still to scan: a pair with a cache entry is skipped altogether.
+    """(new artifact, active bundle of its tenant) pairs still to scan: a pair with a cache entry is skipped altogether.
 
-    Every artifact meets every active bundle by intent; a bundle is a line of an array beside the artifact, so its rows
-    never shuffle. A tenant has some hundred active bundles; beyond MOST_ACTIVE the caller splits them.
+    Every artifact meets every active bundle of its tenant by intent, so pairs are as many as the scans they stand for.
     """
-    active = bundles.where("active").limit(MOST_ACTIVE + 1).collect()  # bundles, not data
-    if len(active) > MOST_ACTIVE:
-        raise ValueError(f"more than {MOST_ACTIVE} active bundles")
-    digests = F.array(*[F.lit(r["rule_bundle_digest"]) for r in active]) if active else F.array().cast("array<string>")
-    pairs = new.withColumn("rule_bundle_digest", F.explode(digests))
+    active = bundles.where("active").select("tenant_id", "rule_bundle_digest").distinct()
+    pairs = new.join(active, "tenant_id")
     return pairs.join(cache.select("tenant_id", "artifact_sha256", "rule_bundle_digest").distinct(), ["tenant_id", "artifact_sha256", "rule_bundle_digest"], "left_anti")

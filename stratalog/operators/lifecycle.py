@@ -10,7 +10,9 @@ from stratalog.operators import graph
 
 KEY = ["tenant_id", "artifact_id"]
 #: Conditions that a trigger may name, the least instructions of a function that tells something, and a page's bounds.
-CONDITIONS = ("malicious_verdict", "intel_match", "hunt_match")
+CONDITIONS = ("hunt_match", "malicious_verdict", "variant_join")
+OPEN_STATES = ("QUEUED", "RUNNING", "VALIDATING", "PLANNED", "DRAFT")
+MOST_RESPONSE_BYTES = 512 << 10
 LEAST_INSTRUCTIONS, MOST_PAGE = 5, 1000
 
 
@@ -33,15 +35,14 @@ def replace_index(index: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def append_gaps(gaps: DataFrame, batch: list[str], order: list[str]) -> DataFrame:
     """Gap events of a batch under the host of its first event."""
-    first = F.min_by("host_name", F.struct(*order)).over(W.partitionBy(*batch))
-    return gaps.withColumn("host_name", first)
+    first = gaps.groupBy(*batch).agg(F.min_by("host_name", F.struct(*order)).alias("host_name"))
+    return gaps.drop("host_name").join(first, batch)
 
 
 def checked_triggers(trigger: DataFrame) -> DataFrame:
-    """trigger (url, condition): adds `error`, null for one that may be created."""
-    url = F.lower("url")
-    web = F.coalesce(url.rlike(r"^https?://[^/?#\s]+"), F.lit(False))
-    return trigger.withColumn("error", F.when(~web, "url").when(~F.coalesce(F.col("condition").isin(*CONDITIONS), F.lit(False)), "condition"))
+    """trigger (url, condition): adds `error`, null for one that may be created. The condition is looked at first."""
+    web = F.coalesce(F.col("url").startswith("http://") | F.col("url").startswith("https://"), F.lit(False))
+    return trigger.withColumn("error", F.when(~F.coalesce(F.col("condition").isin(*CONDITIONS), F.lit(False)), "condition").when(~web, "url"))
 
 
 def backdated(snapshot: DataFrame, taken_at: Column, received_at: Column) -> DataFrame:
@@ -57,57 +58,68 @@ def still_to_walk(files: DataFrame, done: DataFrame, path: str = "path") -> Data
 # --- hunts ----------------------------------------------------------------------------
 
 
-def enqueue(hunt: DataFrame, artifact: DataFrame) -> DataFrame:
-    """hunt (tenant_id, hunt_id, watermark): pins a watermark once, plans what it covers, starts its counters anew.
+def enqueue(hunt: DataFrame, artifact: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """hunt (tenant_id, hunt_id, kind, state, watermark): pins a watermark once, plans what it covers, starts its counters anew.
 
-    A watermark that stands is kept, so a hunt that runs again covers what it covered; planned counts follow from it.
+    Only retro hunts that neither wait nor run are queued; others stay as they are, with `error` kind or state. One
+    whose bundle doesn't compile, broken (tenant_id, hunt_id), fails with `error` compile. The watermark is the last of
+    all committed artifacts, the plan counts committed endpoint artifacts up to it; a watermark that stands is kept, so
+    a hunt that runs again covers what it covered.
     """
-    reach = artifact.where((F.col("storage_state") == "committed") & (F.col("scope") == "endpoint"))
-    top = reach.groupBy("tenant_id").agg(F.max("seq").alias("__top"))
-    pinned = hunt.join(top, "tenant_id", "left").withColumn("watermark", F.coalesce("watermark", "__top", F.lit(0)).cast("long"))
-    # artifacts up to each sequence number, by tenant: hunts meet counts, not artifacts
-    marks = pinned.select("tenant_id", F.col("watermark").alias("seq"), F.lit(1).alias("mark")).distinct()
-    both = reach.select("tenant_id", "seq", F.lit(0).alias("mark")).unionByName(marks)
-    cuts = marks.groupBy("tenant_id").agg(F.array_sort(F.collect_list("seq")).alias("cuts"))  # hunts of a tenant, not data
-    interval = F.aggregate("cuts", F.lit(0), lambda n, c: n + (c < F.col("seq")).cast("int"))
-    counted = both.where("mark = 0").join(F.broadcast(cuts), "tenant_id").groupBy("tenant_id", interval.alias("i")).agg(F.count("*").alias("n"))
-    upto = cuts.select("tenant_id", F.posexplode("cuts").alias("i", "watermark")).join(counted, ["tenant_id", "i"], "left").withColumn(
-        "planned", F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("tenant_id").orderBy("i")).cast("long")).select("tenant_id", "watermark", "planned")
-    zero = {c: F.lit(0).cast("long") for c in ("scanned", "matched", "timed_out", "failed", "cache_hits")}
-    return pinned.drop("__top", *zero, "planned", "state").join(F.broadcast(upto), ["tenant_id", "watermark"], "left").withColumns(zero | {"planned": F.coalesce("planned", F.lit(0)).cast("long"), "state": F.lit("PENDING")})
+    bad = broken.select("tenant_id", "hunt_id").distinct().withColumn("__bad", F.lit(True)) if broken is not None else None
+    asked = hunt.join(bad, ["tenant_id", "hunt_id"], "left") if bad is not None else hunt.withColumn("__bad", F.lit(False))
+    error = F.when(F.col("kind") != "retro", "kind").when(F.col("state").isin("RUNNING", "QUEUED"), "state").when(F.coalesce("__bad", F.lit(False)), "compile")
+    asked = asked.drop("planned", "error").withColumn("error", error).drop("__bad")
+    committed = artifact.where(F.col("storage_state") == "committed")
+    top = committed.groupBy("tenant_id").agg(F.max("seq").alias("__top"))
+    pinned = asked.join(top, "tenant_id", "left").withColumn("watermark", F.when(F.col("error").isNull(), F.coalesce("watermark", "__top", F.lit(0))).otherwise(F.col("watermark")).cast("long"))
+    planned = _covered(committed.where(F.col("scope") == "endpoint").select("tenant_id", "seq"), pinned.where("error IS NULL").select("tenant_id", "watermark").distinct(), top)
+    fresh = F.col("error").isNull()
+    zero = {c: F.when(fresh, F.lit(0)).otherwise(F.col(c) if c in hunt.columns else F.lit(None)).cast("long") for c in ("scanned", "matched", "timed_out", "failed", "cache_hits")}
+    state = F.when(fresh, "QUEUED").when(F.col("error") == "compile", "FAILED").otherwise(F.col("state"))
+    return pinned.join(planned, ["tenant_id", "watermark"], "left").withColumns(zero | {"planned": F.when(fresh, F.coalesce("planned", F.lit(0)).cast("long")), "state": state}).drop("__top")
+
+
+def _covered(rows: DataFrame, marks: DataFrame, top: DataFrame, parts: int = 1024) -> DataFrame:
+    """(tenant_id, watermark, planned): rows (tenant_id, seq) up to each mark.
+
+    A tenant's numbers fall into ranges: whole ranges are counted and summed up in order, and a mark meets the rows of
+    its own range alone, so no task gets a tenant.
+    """
+    width = top.select("tenant_id", (F.floor(F.col("__top") / parts) + 1).alias("__w"))
+    placed = rows.join(width, "tenant_id").withColumn("__r", F.floor(F.col("seq") / F.col("__w")))
+    at = marks.join(width, "tenant_id").withColumn("__r", F.floor(F.col("watermark") / F.col("__w")))
+    counted = placed.groupBy("tenant_id", "__r").agg(F.count("*").alias("n"))
+    # ranges of a tenant, not rows: a mark's range counts as zero rows of its own
+    ranges = counted.unionByName(at.select("tenant_id", "__r", F.lit(0).cast("long").alias("n")).distinct()).groupBy("tenant_id", "__r").agg(F.sum("n").alias("n"))
+    before = ranges.withColumn("__before", F.coalesce(F.sum("n").over(W.partitionBy("tenant_id").orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = at.join(placed.select("tenant_id", "__r", "seq"), ["tenant_id", "__r"], "left").groupBy("tenant_id", "__r", "watermark").agg(F.count_if(F.col("seq") <= F.col("watermark")).alias("__own"))
+    return own.join(before, ["tenant_id", "__r"]).select("tenant_id", "watermark", (F.col("__before") + F.col("__own")).alias("planned"))
 
 
 def activate(bundle: DataFrame, hunt: DataFrame) -> DataFrame:
-    """bundle (tenant_id, rule_bundle_digest): the open hunt that activation uses again, or a null hunt_id for one to enqueue."""
-    opened = hunt.where(F.col("state").isin("PENDING", "RUNNING")).groupBy("tenant_id", "rule_bundle_digest").agg(F.min("hunt_id").alias("hunt_id"))
-    return bundle.join(opened, ["tenant_id", "rule_bundle_digest"], "left")
+    """bundle (tenant_id, rule_bundle_digest): the newest open retro hunt that activation uses again, or a null hunt_id for one to enqueue.
+
+    `status` is the log's: reused or enqueued; a reused draft is to be enqueued as well (`enqueue`).
+    """
+    opened = hunt.where(F.col("state").isin(*OPEN_STATES) & (F.col("kind") == "retro")).groupBy("tenant_id", "rule_bundle_digest").agg(
+        F.max_by(F.struct("hunt_id", "state"), F.struct("created_at", "hunt_id")).alias("h"))
+    found = bundle.join(opened, ["tenant_id", "rule_bundle_digest"], "left")
+    return found.withColumns({"hunt_id": F.col("h.hunt_id"), "status": F.when(F.col("h").isNotNull(), "reused").otherwise("enqueued"), "enqueue": F.col("h").isNull() | (F.col("h.state") == "DRAFT")}).drop("h")
 
 
 def forward_counters(hunt: DataFrame, outcome: DataFrame) -> DataFrame:
-    """Adds a batch of forward outcomes (hunt_id, status, n_rules) to the counters of their hunts."""
-    more = outcome.groupBy("hunt_id").agg(
-        F.count("*").alias("p"), F.count_if(F.col("status").isin("clean", "matched")).alias("s"), F.coalesce(F.sum("n_rules"), F.lit(0)).alias("m"), F.count_if(F.col("status") == "timeout").alias("t"), F.count_if(F.col("status") == "error").alias("f"))
-    add = {c: (F.col(c) + F.coalesce(x, F.lit(0))).cast("long") for c, x in (("planned", "p"), ("scanned", "s"), ("matched", "m"), ("timed_out", "t"), ("failed", "f"))}
-    return hunt.join(more, "hunt_id", "left").withColumns(add).drop("p", "s", "m", "t", "f")
+    """Adds a batch of forward outcomes (tenant_id, hunt_id, status, n_rules) to the counters of their hunts; plans stay as they are."""
+    more = outcome.groupBy("tenant_id", "hunt_id").agg(
+        F.count_if(F.col("status").isin("clean", "matched")).alias("s"), F.coalesce(F.sum(F.when(F.col("status").isin("clean", "matched"), F.col("n_rules"))), F.lit(0)).alias("m"),
+        F.count_if(F.col("status") == "timeout").alias("t"), F.count_if(F.col("status") == "error").alias("f"))
+    add = {c: (F.col(c) + F.coalesce(x, F.lit(0))).cast("long") for c, x in (("scanned", "s"), ("matched", "m"), ("timed_out", "t"), ("failed", "f"))}
+    return hunt.join(more, ["tenant_id", "hunt_id"], "left").withColumns(add).drop("s", "m", "t", "f")
 
 
 # --- edges and views ------------------------------------------------------------------
 
 
-def class_fallback(artifact: DataFrame, unlinked: DataFrame, cap: int) -> DataFrame:
-    """Candidates for artifacts without a band in common with any other: the first `cap` of their class, by id, that are not empty.
-
-    Of a class only its first cap + 1 artifacts are kept before they meet, so a
-    class's size never squares.
-    """
-    full = artifact.where("size_bytes > 0")
-    # the least of each class by partial sums: array_agg of a bounded head per task, then of heads
-    head = full.groupBy("tenant_id", "artifact_class", (F.xxhash64("artifact_id") % 64).alias("__s")).agg(F.slice(F.array_sort(F.collect_set("artifact_id")), 1, cap + 1).alias("h"))
-    first = head.groupBy("tenant_id", "artifact_class").agg(F.slice(F.array_sort(F.flatten(F.collect_list("h"))), 1, cap + 1).alias("h"))
-    alone = full.join(unlinked.select(*KEY).distinct(), KEY, "left_semi").select("tenant_id", "artifact_class", F.col("artifact_id").alias("src"))
-    return alone.join(first, ["tenant_id", "artifact_class"]).select("tenant_id", "src", F.explode(F.slice(F.filter("h", lambda x: x != F.col("src")), 1, cap)).alias("dst"))
-
-
 def variant_joins(before: DataFrame, after: DataFrame) -> DataFrame:
     """(tenant_id, artifact_id, group_id): artifacts new to a group some of whose other members had a group before."""
     old = before.select(*KEY, F.lit(True).alias("old"))
@@ -127,30 +139,23 @@ def edge_filter(edge: DataFrame, *, model_version: str | None = None, min_score:
 
 
 def bounded_view(edge: DataFrame, seeds: DataFrame, *, depth: int = 1, most_nodes: int = graph.MOST_NODES, most_edges: int = graph.MOST_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (tenant_id, node, depth), edges among them, and (tenant_id, truncated).
+    """Nodes (tenant_id, node, depth), edges of the nodes that were expanded, and (tenant_id, truncated, too_large).
 
-    Each frontier is cut to what the cap leaves as it is reached, the least ids
-    first, so no more than most_nodes of a tenant are ever expanded.
+    An edge is listed if one of its ends was expanded, be its other end left out by the cap or not; edges between two
+    outermost nodes aren't. Best scores first under the cap. A tenant whose answer passes MOST_RESPONSE_BYTES as JSON
+    has it refused: too_large.
     """
-    links = graph.both_ways(edge).select("tenant_id", "node", "other").distinct()
-    room = W.partitionBy("tenant_id").orderBy("node")
-    seen = graph.durable(seeds.select("tenant_id", F.col("artifact_id").alias("node")).distinct().withColumn("__n", F.row_number().over(room)).where(F.col("__n") <= most_nodes).drop("__n").withColumn("depth", F.lit(0)))
-    front, cut = seen, None
-    for step in range(1, min(depth, graph.MOST_DEPTH) + 1):
-        reached = links.join(F.broadcast(front.select("tenant_id", "node")), ["tenant_id", "node"]).select("tenant_id", F.col("other").alias("node")).distinct()
-        new = reached.join(F.broadcast(seen), ["tenant_id", "node"], "left_anti")
-        held = seen.groupBy("tenant_id").agg(F.count("*").alias("__held"))
-        ranked = graph.durable(new.withColumn("__n", F.row_number().over(room)).join(F.broadcast(held), "tenant_id").withColumn("__over", F.col("__n") + F.col("__held") > most_nodes))
-        cut = ranked.where("__over").select("tenant_id") if cut is None else cut.unionByName(ranked.where("__over").select("tenant_id"))
-        front = ranked.where("NOT __over").select("tenant_id", "node", F.lit(step).alias("depth"))
-        seen = seen.unionByName(front)
-    inner = graph.inside(edge, seen.select("tenant_id", F.col("node").alias("artifact_id")))
+    seen, cut = graph.expand(edge, seeds, depth=depth, most_nodes=most_nodes)
+    opened = seen.where(F.col("depth") < min(depth, graph.MOST_DEPTH)).select("tenant_id", F.col("node").alias("artifact_id"))
     order = W.partitionBy("tenant_id").orderBy(F.desc("score"), "edge_type", "src", "dst")
-    kept = inner.withColumn("__n", F.row_number().over(order))
+    kept = graph.touching(edge, opened).withColumn("__n", F.row_number().over(order))
     over = kept.where(F.col("__n") > most_edges).select("tenant_id")
-    full = (over if cut is None else over.unionByName(cut)).distinct().withColumn("truncated", F.lit(True))
-    flags = seen.select("tenant_id").distinct().join(full, "tenant_id", "left").select("tenant_id", F.coalesce("truncated", F.lit(False)).alias("truncated"))
-    return seen, kept.where(F.col("__n") <= most_edges).drop("__n"), flags
+    kept = kept.where(F.col("__n") <= most_edges).drop("__n")
+    full = over.unionByName(cut).distinct().withColumn("truncated", F.lit(True))
+    line = F.octet_length(F.to_json(F.struct(*kept.columns))) + 1
+    size = kept.groupBy("tenant_id").agg(F.sum(line).alias("b")).unionByName(seen.groupBy("tenant_id").agg(F.sum(F.octet_length(F.to_json(F.struct("node", "depth"))) + 1).alias("b"))).groupBy("tenant_id").agg(F.sum("b").alias("b"))
+    flags = size.join(full, "tenant_id", "left").select("tenant_id", F.coalesce("truncated", F.lit(False)).alias("truncated"), (F.col("b") > MOST_RESPONSE_BYTES).alias("too_large"))
+    return seen, kept, flags
 
 
 def resolve_seed(spec: DataFrame, artifact: DataFrame) -> DataFrame:
@@ -193,21 +198,33 @@ def lookup(table: DataFrame, key: str, value: object) -> DataFrame:
     return found
 
 
-def cleanup(families: dict[str, DataFrame], gone: DataFrame, held: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Deletes of artifacts (tenant_id, artifact_id): counts by family, what refused, and groups left with one member.
+def cleanup(gone: DataFrame, *, features: DataFrame, functions: DataFrame, edges: DataFrame, groups: DataFrame, held: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Reports of deleting what is derived from artifacts (tenant_id, artifact_id), and groups touched (tenant_id, group_id, outcome).
 
-    An artifact under legal hold refuses. A family is any table with the artifact's key.
+    A report counts features, functions, edges by either end and group memberships. An artifact under legal hold is
+    counted as in a dry run and keeps everything. The ledger, artifacts and opinions aren't touched. A group left with
+    one member or none is removed, else repaired.
     """
-    refused = gone.join(held.select(*KEY).distinct(), KEY, "left_semi")
-    free = gone.join(held.select(*KEY).distinct(), KEY, "left_anti").select(*KEY).distinct()
-    counts = None
-    for family, df in sorted(families.items()):
-        n = df.join(free, KEY, "left_semi").groupBy("tenant_id").agg(F.count("*").alias("n")).select("tenant_id", F.lit(family).alias("family"), "n")
-        counts = n if counts is None else counts.unionByName(n)
+    asked = gone.select(*KEY).distinct().join(held.select(*KEY).distinct().withColumn("legal_hold", F.lit(True)), KEY, "left").withColumn("legal_hold", F.coalesce("legal_hold", F.lit(False)))
+    ends = graph.both_ways(edges).select("tenant_id", F.col("node").alias("artifact_id"))  # an edge from an artifact to itself isn't one
+    report = asked.withColumn("dry_run", F.col("legal_hold") | F.lit(dry_run))
+    for name, rows in (("features", features), ("functions", functions), ("edges", ends), ("group_memberships", groups)):
+        n = rows.select(*KEY).join(asked, KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias(name))
+        report = report.join(n, KEY, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    free = report.where("NOT dry_run").select(*KEY)
     touched = groups.join(free, KEY, "left_semi").select("tenant_id", "group_id").distinct()
     left = groups.join(touched, ["tenant_id", "group_id"], "left_semi").join(free, KEY, "left_anti").groupBy("tenant_id", "group_id").agg(F.count("*").alias("members"))
-    dissolved = touched.join(left, ["tenant_id", "group_id"], "left").where("coalesce(members, 0) <= 1").select("tenant_id", "group_id")
-    return counts, refused, dissolved
+    return report, touched.join(left, ["tenant_id", "group_id"], "left").select("tenant_id", "group_id", F.when(F.coalesce("members", F.lit(0)) <= 1, "removed").otherwise("repaired").alias("outcome"))
+
+
+def without(rows: DataFrame, report: DataFrame) -> DataFrame:
+    """Rows of a family that stay after a clean-up; edges go by either end."""
+    free = report.where("NOT dry_run").select(*KEY)
+    if "src" in rows.columns:
+        for end in ("src", "dst"):
+            rows = rows.join(free.select("tenant_id", F.col("artifact_id").alias(end)), ["tenant_id", end], "left_anti")
+        return rows
+    return rows.join(free, KEY, "left_anti")
 
 
 # --- orders and pages -------------------------------------------------------------------

@@ -32,13 +32,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from stratalog.plans import lifecycle  # noqa: F401  registers its own
+    from stratalog.plans import lifecycle, similar  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from stratalog.plans import lifecycle  # noqa: F401
+    from stratalog.plans import lifecycle, similar  # noqa: F401
 
     return dict(_SQL)
 
@@ -235,7 +235,8 @@ def hunt_counters(spark, sf_dir):
 @query(f"""WITH {B.ARTIFACT} SELECT tenant_id, artifact_id, 'b' || b AS rule_bundle_digest FROM artifact CROSS JOIN (VALUES (1), (2)) v(b) WHERE NOT (b = 1 AND seq % 4 = 0)""")
 def forward_matches(spark, sf_dir):
     a = B.artifacts(spark, sf_dir).select("tenant_id", "artifact_id", "seq", F.col("sha256").alias("artifact_sha256"))
-    bundles = spark.createDataFrame([("b1", True), ("b2", True), ("b3", False)], "rule_bundle_digest string, active boolean")
+    names = F.explode(F.array(*[F.struct(F.lit(b).alias("rule_bundle_digest"), F.lit(b != "b3").alias("active")) for b in ("b1", "b2", "b3")]))
+    bundles = a.select("tenant_id").distinct().select("tenant_id", names.alias("b")).select("tenant_id", "b.*")
     cache = a.where("seq % 4 = 0").select("tenant_id", "artifact_sha256", F.lit("b1").alias("rule_bundle_digest"))
     return hunts.forward(a, bundles, cache).select("tenant_id", "artifact_id", "rule_bundle_digest")
 
@@ -369,7 +370,7 @@ def telemetry_dedup(spark, sf_dir):
 _BYTES = "bytes AS (SELECT page_id, substr(hex(encode(html)), 2 * i - 1, 2) AS b FROM pages, range(1, strlen(html) + 1) r(i))"
 
 
-@query(f"WITH {_BYTES}, c AS (SELECT page_id, b, count(*) AS n FROM bytes GROUP BY 1, 2) SELECT page_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY 1")
+@query(f"WITH {_BYTES}, c AS (SELECT page_id, b, count(*) AS n FROM bytes GROUP BY 1, 2), e AS (SELECT page_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM c GROUP BY 1) SELECT page_id, round(coalesce(e, 0), 6) AS entropy FROM pages LEFT JOIN e USING (page_id)")
 def entropy(spark, sf_dir):
     found = similarity.entropy(B.table(spark, sf_dir, "pages"), ["page_id"], F.encode("html", "utf-8"))
     return found.select("page_id", F.round("entropy", 6).alias("entropy"))

@@ -10,43 +10,48 @@ from stratalog.plans.catalog import _EDGES, _STRONG, _WAYS, DAY, _attempts, _edg
 from stratalog.sources import bindings as B
 
 
-@query(f"""WITH {B.ARTIFACT}, hunt AS (SELECT DISTINCT source AS tenant_id, source || k AS hunt_id, CASE k WHEN 0 THEN NULL ELSE 40 * k END AS w FROM documents CROSS JOIN (VALUES (0), (1), (2)) v(k)),
-pinned AS (SELECT tenant_id, hunt_id, CAST(coalesce(w, (SELECT max(seq) FROM artifact a WHERE a.tenant_id = hunt.tenant_id)) AS BIGINT) AS watermark FROM hunt)
-SELECT tenant_id, hunt_id, watermark, (SELECT count(*) FROM artifact a WHERE a.tenant_id = pinned.tenant_id AND a.seq <= watermark) AS planned, 'PENDING' AS state FROM pinned""")
+#: Some artifacts are quarantined and some come from feeds, so that plan and watermark differ.
+_STORED = """stored AS (SELECT tenant_id, artifact_id, seq, CASE WHEN artifact_id % 7 = 0 THEN 'uploading' ELSE 'committed' END AS storage_state, CASE WHEN artifact_id % 5 = 0 THEN 'intel' ELSE 'endpoint' END AS scope FROM artifact)"""
+_HUNT = """hunt AS (SELECT source AS tenant_id, doc_id AS hunt_id, CASE WHEN doc_id % 6 = 5 THEN 'forward' ELSE 'retro' END AS kind, ['DRAFT', 'COMPLETED', 'RUNNING', 'FAILED', 'QUEUED', 'PLANNED', 'VALIDATING'][doc_id % 7 + 1] AS state,
+CASE WHEN doc_id % 3 > 0 THEN doc_id // 2 END AS w, doc_id % 11 = 0 AS broken FROM documents)"""
+
+
+def _hunts(spark, sf_dir):
+    d = F.col("doc_id")
+    states = F.array(*map(F.lit, ("DRAFT", "COMPLETED", "RUNNING", "FAILED", "QUEUED", "PLANNED", "VALIDATING")))
+    return B.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("tenant_id"), d.alias("hunt_id"), F.when(d % 6 == 5, "forward").otherwise("retro").alias("kind"), F.get(states, (d % 7).cast("int")).alias("state"),
+        F.when(d % 3 > 0, F.floor(d / 2)).cast("long").alias("watermark"))
+
+
+@query(f"""WITH {B.ARTIFACT}, {_STORED}, {_HUNT}, checked AS (SELECT *, CASE WHEN kind <> 'retro' THEN 'kind' WHEN state IN ('RUNNING', 'QUEUED') THEN 'state' WHEN broken THEN 'compile' END AS error FROM hunt),
+pinned AS (SELECT tenant_id, hunt_id, state, error, CASE WHEN error IS NULL THEN coalesce(w, (SELECT max(seq) FROM stored s WHERE s.tenant_id = c.tenant_id AND storage_state = 'committed'), 0) ELSE w END AS watermark FROM checked c)
+SELECT tenant_id, hunt_id, watermark, CASE WHEN error IS NULL THEN (SELECT count(*) FROM stored s WHERE s.tenant_id = p.tenant_id AND storage_state = 'committed' AND scope = 'endpoint' AND seq <= watermark) END AS planned,
+CASE WHEN error IS NULL THEN 'QUEUED' WHEN error = 'compile' THEN 'FAILED' ELSE state END AS state, error FROM pinned p""")
 def hunt_enqueue(spark, sf_dir):
-    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    hunt = B.table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id")).distinct().select("tenant_id", k.alias("k")).select(
-        "tenant_id", F.concat("tenant_id", F.col("k").cast("string")).alias("hunt_id"), F.when(F.col("k") > 0, F.col("k") * 40).cast("long").alias("watermark"))
-    return L.enqueue(hunt, B.artifacts(spark, sf_dir)).select("tenant_id", "hunt_id", "watermark", "planned", "state")
+    """Hunts of every kind and state, one to a document; the bundles of some don't compile."""
+    k, hunt = F.col("artifact_id"), _hunts(spark, sf_dir)
+    stored = B.artifacts(spark, sf_dir).withColumns({"storage_state": F.when(k % 7 == 0, "uploading").otherwise("committed"), "scope": F.when(k % 5 == 0, "intel").otherwise("endpoint")})
+    return L.enqueue(hunt, stored, hunt.where("hunt_id % 11 = 0")).select("tenant_id", "hunt_id", "watermark", "planned", "state", "error")
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS hunt_id, 100 + count(*) AS planned, count(*) FILTER (event_id % 5 < 3) AS scanned, CAST(sum(event_id % 3) AS BIGINT) AS matched, count(*) FILTER (event_id % 5 = 3) AS timed_out,
-count(*) FILTER (event_id % 5 = 4) AS failed FROM events GROUP BY 1""")
+@query("""SELECT 't' || (user_id % 3) AS tenant_id, CAST(user_id AS VARCHAR) AS hunt_id, 100 AS planned, count(*) FILTER (event_id % 5 < 3) AS scanned, CAST(coalesce(sum(event_id % 3) FILTER (event_id % 5 < 3), 0) AS BIGINT) AS matched,
+count(*) FILTER (event_id % 5 = 3) AS timed_out, count(*) FILTER (event_id % 5 = 4) AS failed FROM events GROUP BY 1, 2""")
 def forward_counters(spark, sf_dir):
     e, k = B.table(spark, sf_dir, "events"), F.col("event_id") % 5
-    hunt = e.select(F.col("user_id").cast("string").alias("hunt_id")).distinct().withColumns({c: F.lit(100 if c == "planned" else 0) for c in ("planned", "scanned", "matched", "timed_out", "failed")})
-    outcome = e.select(F.col("user_id").cast("string").alias("hunt_id"), F.when(k == 0, "matched").when(k < 3, "clean").when(k == 3, "timeout").otherwise("error").alias("status"), (F.col("event_id") % 3).alias("n_rules"))
+    key = [F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"), F.col("user_id").cast("string").alias("hunt_id")]
+    hunt = e.select(*key).distinct().withColumns({c: F.lit(100 if c == "planned" else 0) for c in ("planned", "scanned", "matched", "timed_out", "failed")})
+    outcome = e.select(*key, F.when(k == 0, "matched").when(k < 3, "clean").when(k == 3, "timeout").otherwise("error").alias("status"), (F.col("event_id") % 3).alias("n_rules"))
     return L.forward_counters(hunt, outcome)
 
 
-@query("""WITH hunt AS (SELECT o_custkey AS hunt_id, 't' || (o_custkey % 3) AS tenant_id, 'b' || (o_custkey % 50) AS d, o_orderstatus AS s FROM orders), bundle AS (SELECT 't' || t AS tenant_id, 'b' || b AS d FROM range(3) a(t), range(60) c(b))
-SELECT tenant_id, d AS rule_bundle_digest, min(hunt_id) FILTER (s IN ('O', 'P')) AS hunt_id FROM bundle LEFT JOIN hunt USING (tenant_id, d) GROUP BY 1, 2""")
+@query(f"""WITH {_HUNT}, h AS (SELECT tenant_id, hunt_id, kind, state, 'b' || (hunt_id % 20) AS d, hunt_id * 7 % 1000 AS created_at FROM hunt), bundle AS (SELECT DISTINCT tenant_id, 'b' || b AS d FROM hunt, range(25) r(b)),
+open AS (SELECT tenant_id, d, arg_max((hunt_id, state), (created_at, hunt_id)) AS x FROM h WHERE kind = 'retro' AND state IN ('QUEUED', 'RUNNING', 'VALIDATING', 'PLANNED', 'DRAFT') GROUP BY 1, 2)
+SELECT tenant_id, d AS rule_bundle_digest, x[1] AS hunt_id, CASE WHEN x IS NULL THEN 'enqueued' ELSE 'reused' END AS status, x IS NULL OR x[2] = 'DRAFT' AS enqueue FROM bundle LEFT JOIN open USING (tenant_id, d)""")
 def activation(spark, sf_dir):
-    o = B.table(spark, sf_dir, "orders")
-    hunt = o.select(
-        F.col("o_custkey").alias("hunt_id"), F.concat(F.lit("t"), (F.col("o_custkey") % 3).cast("string")).alias("tenant_id"), F.concat(F.lit("b"), (F.col("o_custkey") % 50).cast("string")).alias("rule_bundle_digest"),
-        F.when(F.col("o_orderstatus") == "O", "PENDING").when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("COMPLETED").alias("state"))
-    n = F.col("id")
-    bundle = spark.range(180).select(F.concat(F.lit("t"), F.floor(n / 60).cast("string")).alias("tenant_id"), F.concat(F.lit("b"), (n % 60).cast("string")).alias("rule_bundle_digest"))
-    return L.activate(bundle, hunt)
-
-
-@query(f"""WITH {B.ARTIFACT}, ranked AS (SELECT tenant_id, artifact_class, artifact_id FROM artifact WHERE size_bytes > 0)
-SELECT a.tenant_id, a.artifact_id AS src, b.artifact_id AS dst FROM ranked a JOIN ranked b ON a.tenant_id = b.tenant_id AND a.artifact_class = b.artifact_class AND a.artifact_id <> b.artifact_id
-WHERE a.artifact_id % 10 = 3 QUALIFY row_number() OVER (PARTITION BY a.tenant_id, a.artifact_id ORDER BY b.artifact_id) <= 5""")
-def class_fallback(spark, sf_dir):
-    a = B.artifacts(spark, sf_dir)
-    return L.class_fallback(a, a.where("artifact_id % 10 = 3"), 5)
+    h = _hunts(spark, sf_dir).withColumns({"rule_bundle_digest": F.concat(F.lit("b"), (F.col("hunt_id") % 20).cast("string")), "created_at": F.col("hunt_id") * 7 % 1000})
+    bundle = h.select("tenant_id").distinct().select("tenant_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda b: F.concat(F.lit("b"), b.cast("string")))).alias("rule_bundle_digest"))
+    return L.activate(bundle, h)
 
 
 @query(f"""WITH RECURSIVE {_EDGES}{_STRONG}, one_before AS (SELECT * FROM one WHERE src % 10 <> 1 AND dst % 10 <> 1),
@@ -59,12 +64,12 @@ def variant_join_events(spark, sf_dir):
     return L.variant_joins(before, graph.variant_groups(e))
 
 
-@query(f"""WITH {_EDGES}{_WAYS}, d0 AS (SELECT DISTINCT tenant_id, node FROM ways WHERE node = 7), d1 AS (SELECT DISTINCT w.tenant_id, w.other AS node FROM ways w JOIN d0 USING (tenant_id, node)), n AS (SELECT * FROM d0 UNION SELECT * FROM d1)
-SELECT one.tenant_id, src, dst, edge_type FROM one JOIN n a ON a.tenant_id = one.tenant_id AND a.node = src JOIN n b ON b.tenant_id = one.tenant_id AND b.node = dst""")
+@query(f"""WITH {_EDGES}{_WAYS}, d0 AS (SELECT DISTINCT tenant_id, node FROM ways WHERE node = 7), d1 AS (SELECT DISTINCT w.tenant_id, w.other AS node FROM ways w JOIN d0 USING (tenant_id, node)), opened AS (SELECT * FROM d0 UNION SELECT * FROM d1)
+SELECT tenant_id, src, dst, edge_type FROM one WHERE (tenant_id, src) IN (SELECT * FROM opened) OR (tenant_id, dst) IN (SELECT * FROM opened)""")
 def neighborhood_edges(spark, sf_dir):
     e = _edges(spark, sf_dir)
     seeds = graph.both_ways(e).where("node = 7").select("tenant_id", F.col("node").alias("artifact_id")).distinct()
-    return L.bounded_view(e, seeds, depth=1, most_nodes=100_000, most_edges=1_000_000)[1].select("tenant_id", "src", "dst", "edge_type")
+    return L.bounded_view(e, seeds, depth=2, most_nodes=100_000, most_edges=1_000_000)[1].select("tenant_id", "src", "dst", "edge_type")
 
 
 @query(f"""WITH {_EDGES}{_WAYS}, d0 AS (SELECT DISTINCT tenant_id, node FROM ways WHERE node = 7), d1 AS (SELECT DISTINCT w.tenant_id, w.other AS node FROM ways w JOIN d0 USING (tenant_id, node) EXCEPT SELECT tenant_id, node FROM d0)
@@ -108,26 +113,28 @@ def variant_expansion(spark, sf_dir):
     return L.expansion(kin, a.where("artifact_class = 'de'").select("tenant_id", "artifact_id"), B.occurrences(spark, sf_dir))
 
 
-_GONE = "gone AS (SELECT tenant_id, artifact_id FROM artifact WHERE artifact_class = 'de'), held AS (SELECT tenant_id, artifact_id FROM opinion WHERE opinion = 'malicious'), free AS (SELECT * FROM gone EXCEPT SELECT * FROM held)"
+_GONE = "gone AS (SELECT DISTINCT tenant_id, node AS artifact_id FROM ways WHERE node % 4 = 1), held AS (SELECT tenant_id, artifact_id FROM gone WHERE artifact_id % 8 = 1), free AS (SELECT * FROM gone EXCEPT SELECT * FROM held)"
+_DERIVED = "feature AS (SELECT 't' || (l_partkey % 3) AS tenant_id, l_partkey AS artifact_id FROM lineitem), func AS (SELECT 't' || (l_partkey % 3) AS tenant_id, l_suppkey AS artifact_id FROM lineitem)"
 
 
 def _cleaned(spark, sf_dir):
-    a, kin = _kin(spark, sf_dir)
-    op = B.opinions(spark, sf_dir)
-    families = {"artifact": a, "occurrence": B.occurrences(spark, sf_dir), "opinion": op, "group": kin}
-    return L.cleanup(families, a.where("artifact_class = 'de'").select("tenant_id", "artifact_id"), op.where("opinion = 'malicious'"), kin)
+    e, l, t = _edges(spark, sf_dir), B.table(spark, sf_dir, "lineitem"), F.concat(F.lit("t"), (F.col("l_partkey") % 3).cast("string")).alias("tenant_id")
+    gone = graph.both_ways(e).where("node % 4 = 1").select("tenant_id", F.col("node").alias("artifact_id")).distinct()
+    return L.cleanup(gone, features=l.select(t, F.col("l_partkey").alias("artifact_id")), functions=l.select(t, F.col("l_suppkey").alias("artifact_id")), edges=e, groups=graph.variant_groups(e), held=gone.where("artifact_id % 8 = 1"))
 
 
-@query(f"""WITH {B.OCCURRENCE}, {B.OPINION}, {_KINSHIP}, {_GONE} SELECT tenant_id, family, count(*) AS n FROM (SELECT tenant_id, artifact_id, 'artifact' AS family FROM artifact UNION ALL SELECT tenant_id, artifact_id, 'occurrence' FROM occurrence
-UNION ALL SELECT tenant_id, artifact_id, 'opinion' FROM opinion UNION ALL SELECT tenant_id, artifact_id, 'group' FROM kin) SEMI JOIN free USING (tenant_id, artifact_id) GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {_EDGES}{_STRONG}{_WAYS}, {_GONE}, {_DERIVED}, ends AS (SELECT tenant_id, src AS artifact_id FROM one UNION ALL SELECT tenant_id, dst FROM one),
+n AS (SELECT tenant_id, artifact_id, 'a' AS k FROM feature UNION ALL SELECT tenant_id, artifact_id, 'b' FROM func UNION ALL SELECT tenant_id, artifact_id, 'c' FROM ends UNION ALL SELECT tenant_id, artifact_id, 'd' FROM grp)
+SELECT g.tenant_id, g.artifact_id, (g.tenant_id, g.artifact_id) IN (SELECT * FROM held) AS legal_hold, (g.tenant_id, g.artifact_id) IN (SELECT * FROM held) AS dry_run,
+count(*) FILTER (k = 'a') AS features, count(*) FILTER (k = 'b') AS functions, count(*) FILTER (k = 'c') AS edges, count(*) FILTER (k = 'd') AS group_memberships FROM gone g LEFT JOIN n USING (tenant_id, artifact_id) GROUP BY 1, 2""")
 def cleanup_families(spark, sf_dir):
     return _cleaned(spark, sf_dir)[0]
 
 
-@query(f"""WITH {B.ARTIFACT}, {B.OPINION}, {_KINSHIP}, {_GONE} SELECT tenant_id, group_id FROM kin WHERE (tenant_id, group_id) IN (SELECT tenant_id, group_id FROM kin SEMI JOIN free USING (tenant_id, artifact_id))
-GROUP BY 1, 2 HAVING count(*) FILTER ((tenant_id, artifact_id) NOT IN (SELECT * FROM free)) <= 1""")
+@query(f"""WITH RECURSIVE {_EDGES}{_STRONG}{_WAYS}, {_GONE} SELECT tenant_id, group_id, CASE WHEN count(*) FILTER ((tenant_id, artifact_id) NOT IN (SELECT * FROM free)) <= 1 THEN 'removed' ELSE 'repaired' END AS outcome
+FROM grp WHERE (tenant_id, group_id) IN (SELECT tenant_id, group_id FROM grp SEMI JOIN free USING (tenant_id, artifact_id)) GROUP BY 1, 2""")
 def cleanup_dissolved(spark, sf_dir):
-    return _cleaned(spark, sf_dir)[2]
+    return _cleaned(spark, sf_dir)[1]
 
 
 @query("SELECT sha256(html) AS sha256, min(page_id) AS page_id FROM pages WHERE page_id % 3 <> 0 AND sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0) GROUP BY 1")
@@ -150,10 +157,12 @@ def gap_append(spark, sf_dir):
     return L.append_gaps(e, ["batch"], ["ts", "event_id"]).drop("ts")
 
 
-@query("""SELECT page_id, CASE WHEN NOT regexp_matches(lower(u), '^https?://[^/?#\\s]+') THEN 'url' WHEN page_id % 5 = 4 THEN 'condition' END AS error FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ftp://x/' WHEN 1 THEN 'http:///x' ELSE url END AS u FROM pages)""")
+@query("""SELECT page_id, CASE WHEN c NOT IN ('hunt_match', 'malicious_verdict', 'variant_join') THEN 'condition' WHEN NOT (starts_with(u, 'http://') OR starts_with(u, 'https://')) THEN 'url' END AS error
+FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ftp://x/' WHEN 1 THEN 'http:///x' WHEN 2 THEN upper(url) ELSE url END AS u, ['hunt_match', 'malicious_verdict', 'variant_join', 'intel_match'][page_id % 4 + 1] AS c FROM pages)""")
 def trigger_checks(spark, sf_dir):
     k = F.col("page_id")
-    t = B.table(spark, sf_dir, "pages").select("page_id", F.when(k % 4 == 0, "ftp://x/").when(k % 4 == 1, "http:///x").otherwise(F.col("url")).alias("url"), F.when(k % 5 == 4, "whenever").when(k % 5 == 3, "hunt_match").otherwise("malicious_verdict").alias("condition"))
+    condition = F.get(F.array(*map(F.lit, ("hunt_match", "malicious_verdict", "variant_join", "intel_match"))), (k % 4).cast("int"))
+    t = B.table(spark, sf_dir, "pages").select("page_id", F.when(k % 5 == 0, "ftp://x/").when(k % 5 == 1, "http:///x").when(k % 5 == 2, F.upper("url")).otherwise(F.col("url")).alias("url"), condition.alias("condition"))
     return L.checked_triggers(t).select("page_id", "error")
 
 

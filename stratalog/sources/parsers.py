@@ -37,12 +37,18 @@ def zip_members(data: bytes, password: bytes | None = None, most: int = MOST_MEM
                 yield info.filename, info.file_size, None if info.file_size > most else z.read(info, pwd=password)
 
 
-def docker_layers(data: bytes) -> Iterator[tuple[str, int, bytes]]:
-    """(image reference, position, layer bytes) of a saved image, in the order of its manifest."""
-    files = {path: body for path, _, body in tar_members(data)}
-    for image in json.loads(files["manifest.json"]):
-        for at, layer in enumerate(image["Layers"]):
-            yield (image.get("RepoTags") or [""])[0], at, files[layer]
+def docker_layers(data: bytes, most: int = MOST_MEMBER_BYTES) -> Iterator[tuple[str, int, int, bytes | None]]:
+    """(image reference, position, size, layer bytes) of a saved image, in the order of its manifest and for each of its tags.
+
+    A layer of more than `most` bytes comes with its size and without its bytes, and is the caller's gap to record.
+    """
+    files = {path: (size, body) for path, size, body in tar_members(data, most)}
+    if files.get("manifest.json", (0, None))[1] is None:
+        return
+    for image in json.loads(files["manifest.json"][1]):
+        for tag in image.get("RepoTags") or [""]:
+            for at, layer in enumerate(image["Layers"]):
+                yield tag, at, *files.get(layer, (-1, None))
 
 
 def usn_records(data: bytes) -> Iterator[tuple[int, int, int, int, str]]:
@@ -170,7 +176,7 @@ PROLOGUES = [b"\x55\x48\x89\xe5", b"\xf3\x0f\x1e\xfa", b"\x48\x83\xec", b"\x48\x
 
 def prologues(code: bytes, gap: int = 8, cap: int = 512) -> list[int]:
     """Offsets where functions seem to begin, at least `gap` apart, `cap` at most."""
-    hits = sorted({at for p in PROLOGUES for at in _all(code, p) if at + 4 <= len(code)})
+    hits = sorted({at for p in PROLOGUES for at in _all(code, p) if at + 4 < len(code)})
     out: list[int] = []
     for at in hits:
         if len(out) < cap and (not out or at - out[-1] >= gap):
@@ -192,7 +198,7 @@ class TarMembers:
             yield from tar_members(bytes(data))
 
 
-@udtf(returnType="image string, position int, layer binary")
+@udtf(returnType="image string, position int, size bigint, layer binary")
 class DockerLayers:
     def eval(self, data: bytes):
         if data is not None:
@@ -222,20 +228,25 @@ def register(spark: SparkSession) -> None:
 def import_directory(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder tree as artifacts: path, size, digest, class and sequence number by path.
 
-    The number is a global order, so it comes from a range-sorted exchange and
-    per-partition offsets, not from one task.
+    The number is a global order without a task that holds it all: paths are written down once, sorted by range, so
+    that both the counts of the ranges and the numbers within them are read from the same rows; contents follow by path.
     """
+    import uuid
+
     from pyspark.sql import Window as W
     from pyspark.sql import functions as F
 
     from stratalog.functions.scalars import classify_bytes
+    from stratalog.operators.graph import shared_dir
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    at = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
+    files.select("path").repartitionByRange("path").sortWithinPartitions("path").withColumn("__p", F.spark_partition_id()).write.parquet(at)
+    placed = spark.read.schema("path string, __p int").parquet(at)
+    before = placed.groupBy("__p").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a range
+    numbered = placed.withColumn("__row", F.row_number().over(W.partitionBy("__p").orderBy("path"))).join(before, "__p")
     rows = files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), classify_bytes(F.col("content")).alias("artifact_class"), "content")
-    placed = rows.repartitionByRange("path").sortWithinPartitions("path").withColumn("__p", F.spark_partition_id())
-    before = placed.groupBy("__p").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    numbered = placed.withColumn("__row", F.row_number().over(W.partitionBy("__p").orderBy("path")))
-    return numbered.join(F.broadcast(before), "__p").select((F.col("__before") + F.col("__row")).cast("long").alias("seq"), *rows.columns)
+    return numbered.select("path", (F.col("__before") + F.col("__row")).cast("long").alias("seq")).join(rows, "path").select("seq", *rows.columns)
 
 
 def import_images(spark: SparkSession, layers: DataFrame, *, most: int = MOST_MEMBER_BYTES) -> tuple[DataFrame, DataFrame]:

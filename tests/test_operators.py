@@ -144,14 +144,47 @@ def test_archives_and_journals(spark):
     note = struct.pack("<III", 12 + len(name) + 2, 1, len(name)) + name + b"\0\0" + struct.pack("<III", 0, 3, len(name)) + name
     assert list(parsers.notify_records(note)) == [(1, "a.txt"), (3, "a.txt")]
     assert parsers.pe_features(b"MZ" + bytes(100)) is None and parsers.elf_features(b"\x7fELF") is None
-    assert parsers.prologues(bytes(16) + b"\x55\x48\x89\xe5" + bytes(44) + b"\xf3\x0f\x1e\xfa") == [16, 64]
+    assert parsers.prologues(bytes(16) + b"\x55\x48\x89\xe5" + bytes(44) + b"\xf3\x0f\x1e\xfa" + bytes(1)) == [16, 64]
 
 
 def test_directory_import(spark, tmp_path):
     for k in range(5):
         (tmp_path / f"f{k}").write_bytes(b"#!x" if k % 2 else b"plain%d" % k)
     got = parsers.import_directory(spark, str(tmp_path)).orderBy("seq").collect()
-    assert [r.seq for r in got] == [1, 2, 3, 4, 5] and [r.path[-2:] for r in got] == ["f0", "f1", "f2", "f3", "f4"]
+    assert [r.seq for r in got] == [1, 2, 3, 4, 5] and got[0].content == b"plain0" and [r.path[-2:] for r in got] == ["f0", "f1", "f2", "f3", "f4"]
+
+
+def test_import_loses_no_file(spark, tmp_path):
+    for k in range(1200):
+        (tmp_path / f"{k:04d}").write_bytes(b"%d" % k * 300)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = [(r.seq, r.path[-4:], r.content[:4]) for r in parsers.import_directory(spark, str(tmp_path)).select("seq", "path", "content").collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted(got) == [(k + 1, f"{k:04d}", (b"%d" % k * 300)[:4]) for k in range(1200)]
+
+
+def test_an_empty_artifact_passes_the_gates_or_not(spark):
+    rows = [("t", 1, "x", 0, 0.0, "3::"), ("t", 2, "x", 4, 0.0, "3:a:a"), ("t", 3, "x", 5, 0.0, "3:a:a")]
+    feature = spark.createDataFrame(rows, "tenant_id string, artifact_id long, artifact_class string, size_bytes long, entropy double, fuzzy string")
+    pairs = spark.createDataFrame([("t", 1, 2), ("t", 1, 3), ("t", 2, 3)], "tenant_id string, src long, dst long")
+    assert [(r.src, r.dst) for r in similarity.byte_edges(pairs, feature).collect()] == [(2, 3)]
+    none = spark.createDataFrame([(1, b""), (2, None), (3, b"ab")], "k long, c binary")
+    assert {r.k: r.entropy for r in similarity.entropy(none, ["k"], F.col("c")).collect()} == {1: 0.0, 2: 0.0, 3: 1.0}
+
+
+def test_saved_images_name_every_tag_and_leave_large_layers_to_a_gap():
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as tar:
+        for name, body in (("manifest.json", b'[{"RepoTags": ["a:1", "a:2"], "Layers": ["l0", "l1"]}]'), ("l0", b"x" * 100), ("l1", b"y" * 2000)):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+    got = [(t, at, size, body is None) for t, at, size, body in parsers.docker_layers(raw.getvalue(), most=1000)]
+    assert got == [(t, at, size, size > 1000) for t in ("a:1", "a:2") for at, size in ((0, 100), (1, 2000))]
 
 
 def test_times_and_names(spark):
@@ -168,7 +201,18 @@ def test_functions_without_tokens_are_alike(spark):
     assert (got.matched_pairs, got.a_to_b, got.unmatched_a) == (1, 0.5, 1)
 
 
-def test_one_automaton_finds_every_literal(spark):
+def test_neighbourhood_lists_the_edges_of_expanded_nodes(spark):
+    e = spark.createDataFrame([("t", 1, 2, "byte_similar", 1.0), ("t", 1, 3, "byte_similar", 1.0), ("t", 2, 3, "byte_similar", 1.0)], "tenant_id string, src long, dst long, edge_type string, score double")
+    seed = spark.createDataFrame([("t", 1)], "tenant_id string, artifact_id long")
+    for most in (10, 2):
+        nodes, edges, flags = lifecycle.bounded_view(e, seed, depth=1, most_nodes=most)
+        assert {(r.src, r.dst) for r in edges.collect()} == {(1, 2), (1, 3)} and flags.collect()[0].truncated == (most == 2)
+    assert {(r.src, r.dst) for r in lifecycle.bounded_view(e, seed, depth=2)[1].collect()} == {(1, 2), (1, 3), (2, 3)}
+    wide = spark.createDataFrame([("t", 1, i, "b" * 6000, 1.0) for i in range(2, 102)], "tenant_id string, src long, dst long, edge_type string, score double")
+    assert lifecycle.bounded_view(wide, seed)[2].collect()[0].too_large
+
+
+def test_one_index_finds_every_literal(spark):
     rules = spark.createDataFrame([("a", "abc"), ("b", "bc"), ("c", ""), ("d", None), ("e", "abc"), ("f", "日本")], "rule_id string, literal string")
     content = spark.createDataFrame([("t", 1, "xabcx"), ("t", 2, None), ("t", 3, ""), ("t", 4, "in 日本")], "tenant_id string, artifact_id long, text string")
     got = {(r.artifact_id, r.rule_id) for r in hunts.literal_matches(content, rules).collect()}
@@ -186,6 +230,8 @@ def test_groups_that_do_not_settle_raise(spark):
 def test_prologues_near_the_end():
     assert parsers.prologues(bytes(8) + b"\x48\x89\x5c" + bytes(30)) == [8]
     assert parsers.prologues(bytes(8) + b"\x40\x53") == []
+    # what begins four bytes before the end isn't looked at
+    assert parsers.prologues(bytes.fromhex("9090909040539090")) == [] and parsers.prologues(bytes.fromhex("554889e5")) == [] and parsers.prologues(bytes.fromhex("554889e590")) == [0]
 
 
 def test_lookups_and_bounds(spark):
@@ -195,5 +241,5 @@ def test_lookups_and_bounds(spark):
         lifecycle.lookup(df, "rule_id", 9)
     e = spark.createDataFrame([("t", 0, i, "byte_similar", 1.0 * i) for i in range(1, 10)], "tenant_id string, src long, dst long, edge_type string, score double")
     nodes, edges, flags = lifecycle.bounded_view(e, spark.createDataFrame([("t", 0)], "tenant_id string, artifact_id long"), most_nodes=4, most_edges=2)
-    assert {r.node for r in nodes.collect()} == {0, 1, 2, 3} and {r.dst for r in edges.collect()} == {2, 3} and flags.collect()[0].truncated
+    assert {r.node for r in nodes.collect()} == {0, 1, 2, 3} and {r.dst for r in edges.collect()} == {8, 9} and flags.collect()[0].truncated
     assert lifecycle.edge_filter(e, min_score=5, include_weak=False).count() == 0 and lifecycle.page(df, ["rule_id"], 10, 5).count() == 0
