@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import pieces
 from stratalog.llm.crf_pages import labelled_pages
-from stratalog.llm.html_blocks import Block, blocks
+from stratalog.llm.html_blocks import Block, Node, blocks
 
 TRAIN_PAGES, EPOCHS = 600, 120
 _WORD = re.compile(r"[^\W\d_]+")
@@ -39,15 +39,20 @@ CUES = frozenset(
     "share shop sign site sponsored submit subscribe tags terms thanks trending use".split())
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    out, depth = [], len(path)
-    for up, node in enumerate(reversed(path)):
-        tag, *names = node.split(".")
-        out.append(f"in {tag}")
-        out += [f"name {n}" for n in names]
-        if up < 2:
-            out.append(f"up{up} {tag}")
-    return [*dict.fromkeys(out), f"depth {min(depth, 8)}", "bias"]
+def own_features(node: Node | None) -> list[str]:
+    """Features of an element by itself and its parent; those of all ancestors are their marks."""
+    if node is None:
+        return ["depth 0", "bias"]
+    up = [f"up0 {node.tag}", *([f"up1 {node.parent.tag}"] if node.parent else [])]
+    return [*up, f"depth {min(node.depth, 8)}", "bias"]
+
+
+def path_features(node: Node | None) -> list[str]:
+    out, up = own_features(node), node
+    while up is not None:
+        out += up.marks
+        up = up.parent
+    return out
 
 
 def text_features(block: Block) -> list[str]:
@@ -72,35 +77,32 @@ class Field:
 
     def __init__(self, weights: dict[str, float], moves: list[list[float]], starts: list[float]):
         self.weights, self.moves, self.starts = weights, moves, starts
-        self._paths: dict[tuple[str, ...], float] = {}
-
-    def __getstate__(self):
-        return self.weights, self.moves, self.starts
-
-    def __setstate__(self, state):
-        self.weights, self.moves, self.starts = state
-        self._paths = {}
 
-    def score(self, block: Block) -> float:
-        get = self.weights.get
-        known = self._paths.get(block.path)
-        if known is None:
-            if len(self._paths) > 100_000:
-                self._paths.clear()
-            known = self._paths[block.path] = sum(get(f, 0.0) for f in path_features(block.path))
-        return known + sum(get(f, 0.0) for f in text_features(block))
+    def scores(self, page: list[Block]) -> list[float]:
+        """Of each block. An element's marks add to what its parent's sum up to, so each is looked at once."""
+        get, sums, out = self.weights.get, {None: 0.0}, []
+        for block in page:
+            ancestors, node = [], block.node
+            while node not in sums:
+                ancestors.append(node)
+                node = node.parent
+            for node in reversed(ancestors):
+                sums[node] = sums[node.parent] + sum(get(f, 0.0) for f in node.marks)
+            out.append(sums[block.node] + sum(get(f, 0.0) for f in own_features(block.node)) + sum(get(f, 0.0) for f in text_features(block)))
+        return out
 
     def decode(self, page: list[Block]) -> list[int]:
         """Viterbi: the likeliest labels of all blocks together."""
         if not page:
             return []
         (m00, m01), (m10, m11) = self.moves
-        a, b = self.starts[0], self.starts[1] + self.score(page[0])
+        scores = self.scores(page)
+        a, b = self.starts[0], self.starts[1] + scores[0]
         back = []
-        for block in page[1:]:
+        for score in scores[1:]:
             from_a, from_b = (0, a + m00) if a + m00 >= b + m10 else (1, b + m10), (0, a + m01) if a + m01 > b + m11 else (1, b + m11)
             back.append((from_a[0], from_b[0]))
-            a, b = from_a[1], from_b[1] + self.score(block)
+            a, b = from_a[1], from_b[1] + score
         label = int(b > a)
         out = [label]
         for step in reversed(back):
@@ -115,7 +117,7 @@ def train(pages: list[tuple[str, list[int]]], epochs: int = EPOCHS) -> Field:
     kept = [(b, labels) for b, labels in ((blocks(p), labels) for p, labels in pages) if b and len(b) == len(labels)]
     for i, (page, labels) in enumerate(kept):
         for t, block in enumerate(page):
-            rows.append([index.setdefault(f, len(index)) for f in path_features(block.path) + text_features(block)])
+            rows.append([index.setdefault(f, len(index)) for f in path_features(block.node) + text_features(block)])
             at_page.append(i)
             at_step.append(t)
             y.append(labels[t])
