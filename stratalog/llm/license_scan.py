@@ -28,12 +28,20 @@ SPELLINGS = [
     ("favour", "favor"), ("behaviour", "behavior"), ("programme", "program"), ("acknowledgement", "acknowledgment"),
     ("judgement", "judgment"), ("fulfilment", "fulfillment"), ("per cent", "percent"), ("non commercial", "noncommercial"), ("merchantibility", "merchantability"),
 ]
-#: Lines that speak of copyright without stating one, on lower-cased text: what follows is set apart so that it is no name.
-_SPEECH = r"(?m)^([^a-z0-9\n]*copyright)[ \t]+(notices?|holders?|owners?|laws?|and|or|licen[sc]es?|statements?|interests?|in|to|the|of|is|are|shall|may|that|this)\b"
-#: A line of its own that states a copyright or reserves rights.
+#: Words of sentences, on lower-cased text: a line that begins as a notice and has one speaks of copyright without stating one.
+_SENTENCE = (
+    "notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interests?|is|are|was|be|been|shall|will|must|may|can|cannot|should|has|have|requires?|required|lapses?|expires?|claims?|pay|pays|paid|payments?|fees?|grants?|granted"
+    "|permits?|permitted|permission|apply|applies|uses?|used|using|copying|modify|modified|distributed?|provided|subject|unless|if|when|until|after|before|except|only|not|without|you|your|they|this|that|these|which|who|to|in|or|pass|days?")
+#: What follows is set apart so that it is no name.
+_SPEECH = rf"(?m)^([^a-z0-9\n]*(?:copyright|\(c\)|©))([^\n]*\b(?:{_SENTENCE})\b)"
+_SIGN, _YEARS = r"(?:\(c\)|©)", r"[0-9]{4}(?:[ \t]*[-–,][ \t]*(?:[0-9]{2,4}|present|now))*"
+#: A holder: some words up to the line's end, without the end of a sentence.
+_HOLDER = r"(?:[ \t,]+[^ \t\n;?!$%]+){0,12}?(?:[^.\n;?!$%]|[ \t.,](?:inc|ltd|co|corp|al|jr|sr|llc|gmbh)\.|reserved\.)?"
+#: A line of its own that states a copyright with a sign or a year at once, or reserves rights.
 _NOTICE = (
-    r"(?m)^[^a-z0-9\n]*(copyright([ \t]*(\(c\)|©))?[ \t]+[^\n]*[0-9]{4}[^\n]*|copyright[ \t]*(\(c\)|©)[^\n]*|copyright([ \t]+[^ \t\n]+){1,5}[ \t]*"
-    r"|\(c\)[ \t]*[0-9]{4}[^\n]*|©[^\n]*|all rights reserved[^a-z0-9\n]*)$")
+    rf"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*{_SIGN}?[ \t,]*{_YEARS}{_HOLDER}|{_SIGN}[ \t]*(?:copyright[ \t]*)?{_YEARS}{_HOLDER}|copyright[ \t]*{_SIGN}{_HOLDER}|all rights reserved[^a-z0-9\n]*)[ \t]*$")
+#: One without sign and year, on the first line or under a heading.
+_YEARLESS = r"\A((?:[^\n]{0,80}\n+)?)[^a-z0-9\n]*copyright(?:[ \t]+[^ \t\n;?!$%]+){0,4}?[ \t]+[^ \t\n;?!$%]*[^ \t\n.;?!$%][ \t]*(\n|\z)"
 #: The licences that the registered query knows.
 LICENSES = {
     "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
@@ -79,7 +87,8 @@ HEADINGS = {
 def _cut(low: Column) -> Column:
     # d: a line ends at \n alone, as in the twin; every word has a space of its own on either side
     lines = F.regexp_replace(F.regexp_replace(low, r"\r\n?", "\n"), _SPEECH.replace("(?m)", "(?md)"), "$1:$2")
-    return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(lines, _NOTICE.replace("(?m)", "(?md)"), ""), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+    lines = F.regexp_replace(F.regexp_replace(lines, _NOTICE.replace("(?m)", "(?md)"), ""), _YEARLESS, "$1$2")
+    return F.concat(F.lit(" "), F.regexp_replace(lines, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
 
 
 def canonical(text: Column) -> Column:
@@ -114,7 +123,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(text: str) -> str:
     out = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
-    for pattern, new in ((r"\r\n?", "\n"), (_SPEECH, r"\1:\2"), (_NOTICE, ""), (r"[^\p{L}\p{N}]+", "  ")):
+    for pattern, new in ((r"\r\n?", "\n"), (_SPEECH, r"\1:\2"), (_NOTICE, ""), (_YEARLESS, r"\1\2"), (r"[^\p{L}\p{N}]+", "  ")):
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
     out = f"' ' || {out} || ' '"
     for old, new in SPELLINGS:
