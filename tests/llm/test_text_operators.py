@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -264,10 +265,10 @@ def test_viterbi_equals_all_paths():
     from itertools import product
 
     field = html_crf.Field({"in p": 0.4, "in li": -0.7}, [[0.3, -0.5], [-0.2, 0.6]], [0.1, -0.1])
-    page = [html_blocks.Block((t,), "some words", 0) for t in ("p", "li", "p", "li", "li", "p")]
+    page = [html_blocks.Block(html_blocks.Node(None, t, 1, [f"in {t}"]), "some words", 0) for t in ("p", "li", "p", "li", "li", "p")]
 
     def worth(path):
-        return field.starts[path[0]] + sum(field.score(b) for b, y in zip(page, path, strict=True) if y) + sum(field.moves[a][b] for a, b in zip(path, path[1:]))
+        return field.starts[path[0]] + sum(field.scores([b])[0] for b, y in zip(page, path, strict=True) if y) + sum(field.moves[a][b] for a, b in zip(path, path[1:]))
 
     assert field.decode(page) == list(max(product((0, 1), repeat=len(page)), key=worth))
 
@@ -335,17 +336,17 @@ def test_longer_lists_make_more_cascades(spark, monkeypatch):
         url_filter.filter_urls(pages.withColumn("rule", F.lit(1)), rules, keep=("page_id", "rule"))
 
 
-def test_licence_forms(spark):
+def test_licence_forms(spark, tmp_path):
     texts = [
         "(c) you may sell it", "(c) you must never sell it", "x\rcopyright 2020 me\ry", "x\ny", "licence licence", "license license", "Copyright Jane Doe\nbody", "body",
         "copyright notice and terms", "terms", "(c) 2020 Jane\nbody", "per cent per cent", "percent percent"] + [t for _, t in license_scan.texts()]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", license_scan.canonical(F.col("text")).alias("c")).collect()
     c = [r.c for r in sorted(rows)]
     assert c[0] != c[1] and c[2] == c[3] == "x y" and c[4] == c[5] and c[6] == c[7] == c[10] == "body" and c[8] == "copyright notice and terms" and c[11] == c[12]
-    spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string").toPandas().to_parquet("/tmp/stratalog-licences.parquet")
+    spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string").toPandas().to_parquet(f"{tmp_path}/licences.parquet")
     d = duckdb.connect()
-    d.sql("create view documents as select * from read_parquet('/tmp/stratalog-licences.parquet')")
-    got = license_scan.scan(spark.read.parquet("/tmp/stratalog-licences.parquet"), license_scan.known_licenses(spark)).collect()
+    d.sql(f"create view documents as select * from read_parquet('{tmp_path}/licences.parquet')")
+    got = license_scan.scan(spark.read.parquet(f"{tmp_path}/licences.parquet"), license_scan.known_licenses(spark)).collect()
     assert Counter(map(tuple, got)) == Counter(d.sql(license_scan.ORACLE).fetchall())
     assert sorted(r.license for r in got if r.license) == sorted(n for n, _ in license_scan.texts())
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string"), license_scan.known_licenses(spark)).count() == 0
@@ -429,3 +430,49 @@ def test_network_equals_a_plain_pass(spark):
     texts = [" ".join(r.choices("some words Stand here und da für él 日本 xyz".split(), k=k)) for k in (1, 5, 32, 33, 70, 200)]
     got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
     assert np.allclose([got[i] for i in range(len(texts))], [1 / (1 + np.exp(-_plain_logit(net, t))) for t in texts], atol=1e-4)
+
+
+def test_elements_whose_names_only_begin_like_raw_ones():
+    page = "<article><h1>T</h1><title-card><p>Body text one.</p></title-card><style-guide>x</style-guide><svg-icon>y</svg-icon><p>Two<script>no</script-not></script></p></article>"
+    assert [b.text for b in html_blocks.blocks(page)] == ["T", "Body text one.", "xy", "Two"]
+
+
+@pytest.mark.parametrize("unit", ["<div>word ", "<svg>word ", "<blockquote><li>word ", "<p></section>word ", '<div class="n%s">word '])
+def test_deep_pages_take_time_in_proportion(unit):
+    field = html_crf.default_field()
+
+    def seconds(n):
+        page = "".join(unit.replace("%s", "".join(chr(97 + int(d)) for d in str(i))) for i in range(n))
+        start = time.process_time()
+        assert html_crf.main_text(page, field).count("word") <= n
+        return time.process_time() - start
+
+    seconds(1_000)
+    assert seconds(40_000) < max(2.0, 40 * seconds(4_000))
+
+
+def test_a_field_sees_every_ancestor_once():
+    page = '<div class="box"><section class="box main"><div><p>Some words here.</p></div></section><p>More.</p></div>'
+    for block, want in zip(html_blocks.blocks(page), (["in div", "in section", "in p", "name box", "name main"], ["in div", "in p", "name box"]), strict=True):
+        found = html_crf.path_features(block.node)
+        assert sorted(f for f in found if f.startswith(("in ", "name "))) == sorted(want) and len(found) == len(set(found))
+
+
+def test_clauses_are_no_notices(spark):
+    mit = license_scan.LICENSES["MIT"]
+    good = ["Copyright (c) 2020 Jane Q. Public", "Copyright 2001-2003, 2007 Acme, Inc.", "(c) 2020 The Example Foundation. All rights reserved.", "© 2011 Jane Public <jane@example.com>", "Copyright (C) Jane Public", "Copyright Jane Public"]
+    bad = ["Copyright use requires payment.", "Copyright claims lapse in 2020 unless you pay me.", "(c) 2020 days must pass", "Copyright 2020 you pay a fee", "Copyright (c) 2020. Fees are due yearly"]
+    rows = [(f"{x}\n\n{mit}", "MIT") for x in good] + [(f"MIT License\n\n{good[0]}\n{good[-2]}\n\n{mit}", "MIT")] + [(f"{mit}\n\n{x}", None) for x in bad] + [(f"{x}\n\n{mit}", None) for x in bad] + [(f"{mit}\nCopyright Jane Public", None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan.scan(docs, license_scan.known_licenses(spark)).collect()}
+    assert [(rows[i][0][:50], got[i]) for i in range(len(rows))] == [(t[:50], want) for t, want in rows]
+
+
+def test_the_query_finds_planted_licences_as_its_twin_does(spark, tmp_path):
+    docs = [(i, f"Copyright (c) 20{i:02d} Someone\r\n\r\n" + body.upper().replace("\n", "\r\n")) for i, (_, body) in enumerate(license_scan.texts())] + [(900, None), (901, ""), (902, "MIT"), (903, "Copyright 2020 A. Man")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.digest, r.license) for r in license_scan.query(spark, str(tmp_path)).collect()}
+    assert [got[i][1] for i in range(len(license_scan.texts()))] == [name for name, _ in license_scan.texts()] and {got[i][1] for i in (900, 901, 902, 903)} == {None}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {i: (d, name) for i, d, name in con.execute(license_scan.ORACLE).fetchall()} == got
