@@ -227,6 +227,11 @@ def _buckets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             names=["width", "longest", "x", "ids", "rows"])
 
 
+def _bucket(batch: pa.RecordBatch, i: int) -> Bucket:
+    x, ids, rows = (np.frombuffer(batch[c][i].as_buffer(), t) for c, t in (("x", np.float64), ("ids", np.int64), ("rows", np.int64)))
+    return Bucket(x.reshape(len(rows), batch["width"][i].as_py()), ids, rows)
+
+
 def _searched(batches: Iterator[pa.RecordBatch], block: Broadcast, k: int) -> Iterator[pa.RecordBatch]:
     """Buckets to each query's best of the task, as (query, id, score, candidate's id and row)."""
     queries: Queries = block.value
@@ -234,10 +239,8 @@ def _searched(batches: Iterator[pa.RecordBatch], block: Broadcast, k: int) -> It
     best.floor[:] = queries.floor
     for batch in batches:
         for i in range(batch.num_rows):
-            width = batch["width"][i].as_py()
-            if width == queries.x.shape[1]:
-                x, ids, rows = (np.frombuffer(batch[c][i].as_buffer(), t) for c, t in (("x", np.float64), ("ids", np.int64), ("rows", np.int64)))
-                search(queries, Bucket(x.reshape(len(rows), width), ids, rows), best)
+            if batch["width"][i].as_py() == queries.x.shape[1]:
+                search(queries, _bucket(batch, i), best)
     q, at = np.nonzero(best.row >= 0)
     yield pa.RecordBatch.from_arrays(
         [pa.array(queries.rows[q]), pa.array(queries.ids[q]), pa.array(best.score[q, at]), pa.array(best.id[q, at], mask=best.id[q, at] == NO_ID), pa.array(best.row[q, at])],
@@ -276,11 +279,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
     named = blocks.select("width", "longest", F.xxhash64("rows").alias("name")).orderBy("width", F.desc("longest"), "name").collect()  # a row a block
     heads = {w: buckets.where(F.col("width") == w).orderBy(F.desc("longest")).limit(1) for w in {b.width for b in named}}
     for b in named:
-        r = blocks.where((F.col("width") == b.width) & (F.xxhash64("rows") == b.name)).toArrow().to_batches()[0]
-        x, ids, own = (np.frombuffer(r[c][0].as_buffer(), t) for c, t in (("x", np.float64), ("ids", np.int64), ("rows", np.int64)))
-        queries = Queries(x.reshape(len(own), b.width), ids, own)
-        head = heads[b.width].toArrow().to_batches()[0]
-        seeds = Bucket(*(np.frombuffer(head[c][0].as_buffer(), t).reshape(s) for c, t, s in (("x", np.float64, (-1, b.width) if b.width else (-1, 0)), ("ids", np.int64, -1), ("rows", np.int64, -1))))
+        own = _bucket(blocks.where((F.col("width") == b.width) & (F.xxhash64("rows") == b.name)).toArrow().to_batches()[0], 0)
+        queries = Queries(own.x, own.ids, own.rows)
+        seeds = _bucket(heads[b.width].toArrow().to_batches()[0], 0)
         sent = spark.sparkContext.broadcast(seeded(queries, seeds, k))
         found.append(buckets.mapInArrow(partial(_searched, block=sent, k=k), FOUND))
     if not found:
