@@ -74,8 +74,9 @@ def _copy(df: DataFrame, j: int) -> tuple[Column, Column, Column]:
 
 
 def _prepared(clicks: DataFrame) -> DataFrame:
+    number = F.nanvl(100 * F.col("value").cast("double") + 0.5, F.lit(float("inf")))
     texts = (
-        F.col("client_id").cast("string"), F.col("kind"), F.expr("CAST(try_cast(floor(100 * value + 0.5) AS BIGINT) AS STRING)"),
+        F.col("client_id").cast("string"), F.col("kind"), F.when(F.abs(number) < 2.0**63, F.floor(number)).cast("string"),
         _micros(clicks, "ts").cast("string"), F.col("props"))
     return clicks.where(F.col("arrived_at").isNotNull()).select(
         F.col("click_id").cast("long"), F.floor(_micros(clicks, "arrived_at") / F.lit(3_600_000_000)).alias("at"),
