@@ -314,7 +314,9 @@ def _phrase_codes(batches: Iterator[pa.RecordBatch], table: Broadcast, frequent:
         for row, old in zip(zip(batch["pos"].to_pylist(), batch["ids"].to_pylist()), before):
             pos, keys = _keys(unpacked(row[0], np.int32, deltas=True), unpacked(row[1], np.int32))
             slots = table.value.slots(keys)
-            codes = np.where((slots >= 0) & ((frequent.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1), base + slots, -1)
+            codes, at = np.full(len(slots), -1), np.flatnonzero(slots >= 0)
+            at = at[(frequent.value[slots[at] >> 3] >> (slots[at] & 7).astype(np.uint8)) & 1 == 1]
+            codes[at] = base + slots[at]
             if old is not None and old.is_valid:
                 codes = np.maximum(codes, unpacked(old.as_py(), np.int64))
             if last:
