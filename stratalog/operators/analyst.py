@@ -101,13 +101,42 @@ def blast_radius(matches: DataFrame, occurrence: DataFrame, opinion: DataFrame)
     return rules.join(spread, KEY, "left").join(latest_opinion(opinion), KEY, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("host_count", "path_count")})
 
 
-def metrics(**tables: DataFrame) -> DataFrame:
-    """One row: a count of each table."""
+#: States of a hunt that is under way, and opinions.
+ACTIVE_STATES = ("QUEUED", "RUNNING", "VALIDATING", "PLANNED")
+OPINIONS = ("trusted", "grayware", "vulnerable", "malicious", "suspicious")
+
+
+def platform_metrics(*, artifact: DataFrame, occurrence: DataFrame, hunt: DataFrame, job: DataFrame, detection: DataFrame, bundle: DataFrame, agent: DataFrame, continuous: DataFrame) -> DataFrame:
+    """Nine counters of each tenant, and of all (`everything`, null tenant): one pass over a tagged union.
+
+    A job is counted while it isn't finished, under its hunt's tenant; one without a hunt counts nowhere.
+    """
+    open_jobs = job.where("finished_at IS NULL").select("hunt_id").join(hunt.select("hunt_id", "tenant_id"), "hunt_id")
+    parts = {
+        "artifacts": artifact.where("storage_state = 'committed'"), "occurrences": occurrence, "hunts_total": hunt, "hunts_active": hunt.where(F.col("state").isin(*ACTIVE_STATES)), "jobs": open_jobs,
+        "detections": detection, "bundles": bundle.where("active"), "agents": agent, "continuous": continuous}
     out = None
-    for name, df in tables.items():
-        one = df.agg(F.count("*").alias(name))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
-    return out
+    for name, df in parts.items():
+        one = df.select("tenant_id", F.lit(name).alias("what"))
+        out = one if out is None else out.unionByName(one)
+    return out.rollup("tenant_id").agg((F.grouping("tenant_id") == 1).alias("everything"), *[F.count_if(F.col("what") == name).alias(name) for name in parts])
+
+
+def set_opinions(opinion: DataFrame, request: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Opinions after requests (tenant_id, artifact_id, opinion_id, opinion, actor, reason, created_at), audit rows, trigger events, and what was refused.
+
+    An opinion is taken in lower case and has to be one of OPINIONS. Each supersedes the artifact's last one before it,
+    requests among themselves as well. Malicious and suspicious ones fire the trigger of verdicts.
+    """
+    asked = request.withColumn("opinion", F.lower("opinion"))
+    good = F.coalesce(F.col("opinion").isin(*OPINIONS), F.lit(False))
+    taken, refused = asked.where(good), request.join(asked.where(~good).select("opinion_id"), "opinion_id", "left_semi")
+    stored = opinion.drop("superseded_by").unionByName(taken, allowMissingColumns=True)
+    detail = F.to_json(F.struct("opinion", "reason", "opinion_id"))
+    audit = taken.select("tenant_id", "actor", F.lit("opinion.set").alias("action"), F.col("artifact_id").cast("string").alias("target"), detail.alias("detail"), "created_at")
+    payload = F.to_json(F.struct(F.lit("malicious_verdict").alias("type"), "artifact_id", "opinion", "actor", "reason"))
+    fired = taken.where(F.col("opinion").isin("malicious", "suspicious")).select("tenant_id", F.lit("malicious_verdict").alias("condition"), payload.alias("payload"))
+    return opinion_history(stored), audit, fired, refused
 
 
 def opinion_history(opinion: DataFrame) -> DataFrame:

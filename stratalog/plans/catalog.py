@@ -119,14 +119,6 @@ def outcome_counters(spark, sf_dir):
     return _attempts(spark, sf_dir).groupBy("host_name", "outcome").agg(F.count("*").alias("n"), F.min("observed_at").alias("oldest"))
 
 
-@query(f"""WITH {B.OCCURRENCE}, {B.OPINION}, {_ATTEMPT} SELECT (SELECT count(*) FROM artifact) AS artifacts_committed, (SELECT count(*) FROM occurrence) AS occurrences,
-(SELECT count(*) FROM opinion) AS opinions, (SELECT count(DISTINCT user_id) FROM events) AS agents_enrolled, (SELECT count(*) FROM benchmark) AS rules""")
-def platform_metrics(spark, sf_dir):
-    return analyst.metrics(
-        artifacts_committed=B.artifacts(spark, sf_dir).where("storage_state = 'committed'"), occurrences=B.occurrences(spark, sf_dir), opinions=B.opinions(spark, sf_dir),
-        agents_enrolled=B.table(spark, sf_dir, "events").select("user_id").distinct(), rules=B.literal_rules(spark, sf_dir))
-
-
 # --- opinions -----------------------------------------------------------------
 
 

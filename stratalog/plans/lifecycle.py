@@ -225,3 +225,49 @@ def _nearest(spark, sf_dir, found):
 def queue_depth(spark, sf_dir):
     pending = _attempts(spark, sf_dir).where("event_id % 4 = 1")
     return pending.agg(F.count("*").alias("depth"), F.min("observed_at").alias("oldest_pending"))
+
+
+# --- metrics and opinions ----------------------------------------------------------------
+
+
+@query(f"""WITH {B.OCCURRENCE}, {_STORED}, {_HUNT}, agent AS (SELECT DISTINCT tenant_id, host_name FROM occurrence), bundle AS (SELECT DISTINCT tenant_id, hunt_id % 20 AS d FROM hunt),
+u AS (SELECT tenant_id, 'a' AS w FROM stored WHERE storage_state = 'committed' UNION ALL SELECT tenant_id, 'b' FROM occurrence UNION ALL SELECT tenant_id, 'c' FROM hunt UNION ALL SELECT tenant_id, 'd' FROM hunt WHERE state IN ('QUEUED', 'RUNNING', 'VALIDATING', 'PLANNED')
+UNION ALL SELECT tenant_id, 'e' FROM hunt WHERE hunt_id % 4 = 1 AND hunt_id % 3 <> 0 UNION ALL SELECT tenant_id, 'f' FROM artifact WHERE artifact_id % 10 = 7 UNION ALL SELECT tenant_id, 'g' FROM bundle WHERE d % 3 > 0 UNION ALL SELECT tenant_id, 'h' FROM agent UNION ALL SELECT tenant_id, 'i' FROM bundle)
+SELECT tenant_id, grouping(tenant_id) = 1 AS everything, count(*) FILTER (w = 'a') AS artifacts, count(*) FILTER (w = 'b') AS occurrences, count(*) FILTER (w = 'c') AS hunts_total, count(*) FILTER (w = 'd') AS hunts_active, count(*) FILTER (w = 'e') AS jobs,
+count(*) FILTER (w = 'f') AS detections, count(*) FILTER (w = 'g') AS bundles, count(*) FILTER (w = 'h') AS agents, count(*) FILTER (w = 'i') AS continuous FROM u GROUP BY ROLLUP (tenant_id)""")
+def platform_metrics(spark, sf_dir):
+    k, hunt, occurrence = F.col("artifact_id"), _hunts(spark, sf_dir), B.occurrences(spark, sf_dir)
+    artifact = B.artifacts(spark, sf_dir).withColumn("storage_state", F.when(k % 7 == 0, "uploading").otherwise("committed"))
+    bundle = hunt.select("tenant_id", (F.col("hunt_id") % 20).alias("d")).distinct().withColumn("active", F.col("d") % 3 > 0)
+    job = hunt.where("hunt_id % 4 = 1").select("hunt_id", F.when(F.col("hunt_id") % 3 == 0, F.lit(1)).alias("finished_at"))
+    return analyst.platform_metrics(
+        artifact=artifact, occurrence=occurrence, hunt=hunt, job=job, detection=artifact.where(k % 10 == 7), bundle=bundle, agent=occurrence.select("tenant_id", "host_name").distinct(), continuous=bundle)
+
+
+_ASKED = """asked AS (SELECT tenant_id, artifact_id, 1000000 + artifact_id AS opinion_id, lower(['Malicious', 'trusted', 'SUSPICIOUS', 'unheard', 'grayware'][artifact_id % 5 + 1]) AS opinion, 'a' || (artifact_id % 3) AS actor, 'r' || artifact_id AS reason, 2000000 + artifact_id AS created_at FROM artifact),
+taken AS (SELECT * FROM asked WHERE opinion IN ('trusted', 'grayware', 'vulnerable', 'malicious', 'suspicious'))"""
+
+
+def _asked(spark, sf_dir):
+    a = F.col("artifact_id")
+    opinion = F.get(F.array(*map(F.lit, ("Malicious", "trusted", "SUSPICIOUS", "unheard", "grayware"))), (a % 5).cast("int"))
+    request = B.artifacts(spark, sf_dir).select("tenant_id", "artifact_id", (1_000_000 + a).alias("opinion_id"), opinion.alias("opinion"), F.concat(F.lit("a"), (a % 3).cast("string")).alias("actor"), F.concat(F.lit("r"), a.cast("string")).alias("reason"), (2_000_000 + a).alias("created_at"))
+    return analyst.set_opinions(B.opinions(spark, sf_dir), request)
+
+
+@query(f"""WITH {B.ARTIFACT}, {B.OPINION}, {_ASKED}, every AS (SELECT tenant_id, artifact_id, opinion_id, opinion, created_at FROM opinion UNION ALL SELECT tenant_id, artifact_id, opinion_id, opinion, created_at FROM taken)
+SELECT tenant_id, artifact_id, opinion_id, opinion, lead(opinion_id) OVER (PARTITION BY tenant_id, artifact_id ORDER BY created_at, opinion_id) AS superseded_by FROM every""")
+def opinion_set(spark, sf_dir):
+    return _asked(spark, sf_dir)[0].select("tenant_id", "artifact_id", "opinion_id", "opinion", "superseded_by")
+
+
+@query(f"""WITH {B.ARTIFACT}, {B.OPINION}, {_ASKED} SELECT tenant_id, 'audit' AS kind, CAST(artifact_id AS VARCHAR) AS target, actor, json_object('opinion', opinion, 'reason', reason, 'opinion_id', opinion_id)::VARCHAR AS body FROM taken
+UNION ALL SELECT tenant_id, 'malicious_verdict', NULL, NULL, json_object('type', 'malicious_verdict', 'artifact_id', artifact_id, 'opinion', opinion, 'actor', actor, 'reason', reason)::VARCHAR FROM taken WHERE opinion IN ('malicious', 'suspicious')
+UNION ALL SELECT tenant_id, 'refused', CAST(artifact_id AS VARCHAR), actor, opinion FROM asked WHERE opinion_id NOT IN (SELECT opinion_id FROM taken)""")
+def opinion_effects(spark, sf_dir):
+    """What setting opinions writes beside them: audit rows, trigger events, refusals."""
+    _, audit, fired, refused = _asked(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    return audit.select("tenant_id", F.lit("audit").alias("kind"), "target", "actor", F.col("detail").alias("body")).unionByName(
+        fired.select("tenant_id", F.col("condition").alias("kind"), none.alias("target"), none.alias("actor"), F.col("payload").alias("body"))).unionByName(
+        refused.select("tenant_id", F.lit("refused").alias("kind"), F.col("artifact_id").cast("string").alias("target"), "actor", F.col("opinion").alias("body")))
