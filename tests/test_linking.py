@@ -1,5 +1,6 @@
 """Linking in batches and rule scans, against plain versions."""
 
+import json
 import random
 import re
 
@@ -155,3 +156,33 @@ def test_atoms_are_in_every_match():
         found = scanner.atom(hunts.Pattern("p", "regex", source))
         assert found is None or found in text.lower()
     assert scanner.atom(hunts.Pattern("p", "regex", "[a-z]+")) is None
+
+
+def test_pair_evidence_equals_a_plain_version(spark):
+    r = random.Random(8)
+    functions = {(a, 10 * i): sorted(r.sample(range(40), r.choice((0, 3, 5, 8)))) for a in (1, 2, 3) for i in range(12)}
+    rows = [("t", a, o, [f"h{x:02d}" for x in tokens], o + 5, None if o % 20 else f"f{o}", len(tokens)) for (a, o), tokens in functions.items()]
+    df = spark.createDataFrame(rows, "tenant_id string, artifact_id long, offset long, tokens array<string>, size int, name string, insns int")
+    pairs = spark.createDataFrame([("t", 1, 2), ("t", 1, 3)], "tenant_id string, src long, dst long")
+    got = {(x.src, x.dst): x for x in similarity.pair_evidence(df, pairs, most_pairs=4, most_tokens=3).collect()}
+    for a, b in ((1, 2), (1, 3)):
+        fa, fb = ({o: set(t) for (x, o), t in functions.items() if x == y} for y in (a, b))
+        score = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
+        near = sorted(((-score(x, y), o, p) for o, x in fa.items() for p, y in fb.items() if score(x, y) >= similarity.TAU))
+        used_a, used_b, chosen = set(), set(), []
+        for s, o, p in near:
+            if o not in used_a and p not in used_b:
+                used_a.add(o), used_b.add(p), chosen.append((o, p, -s))
+        body = json.loads(got[a, b].evidence)
+        assert [(x["a"]["offset"], x["b"]["offset"], x["score"]) for x in body["pairs"]] == chosen[:4] and body["matched_pairs"] == len(chosen) and got[a, b].listed == len(chosen[:4])
+        assert body["contested_a"] == sorted({o for _, o, _ in near} - used_a) and body["unmatched_b"] == sorted(set(fb) - {p for _, _, p in near})
+        assert body["coverage_a_to_b"] == len(chosen) / 12 and not got[a, b].truncated
+        for x in body["pairs"]:
+            for side, y in (("a", a), ("b", b)):
+                tokens = [f"h{v:02d}" for v in functions[y, x[side]["offset"]]]
+                assert x[side]["token_hashes_prefix"] == tokens[:3] and x[side]["token_count"] == len(tokens) == x[side]["insn_count"] and "name" in x[side]
+    small = similarity.pair_evidence(df, pairs, most_bytes=700).collect()
+    for x in small:
+        body = json.loads(x.evidence)
+        assert len(body["pairs"]) == x.listed and x.truncated == (x.listed < body["matched_pairs"]) and sum(len(json.dumps(p, separators=(",", ":"))) + 1 for p in body["pairs"]) <= 700
+    assert any(x.truncated for x in small)
