@@ -25,10 +25,10 @@ def rule_conflicts(rule: DataFrame) -> DataFrame:
 
 
 def resolve_rule(spec: DataFrame, rule: DataFrame) -> DataFrame:
-    """spec (spec): a rule by its uuid, else by its stable id."""
-    by_id = rule.select(F.col("rule_id").alias("spec"), F.col("rule_id").alias("a"))
-    by_name = rule.groupBy(F.col("stable_id").alias("spec")).agg(F.min("rule_id").alias("b"))
-    return spec.join(by_id, "spec", "left").join(by_name, "spec", "left").select("spec", F.coalesce("a", "b").alias("rule_id"))
+    """spec (tenant_id, spec): the tenant's rule by its uuid, else by its stable id."""
+    by_id = rule.select("tenant_id", F.col("rule_id").alias("spec"), F.col("rule_id").alias("a"))
+    by_name = rule.groupBy("tenant_id", F.col("stable_id").alias("spec")).agg(F.min("rule_id").alias("b"))
+    return spec.join(by_id, ["tenant_id", "spec"], "left").join(by_name, ["tenant_id", "spec"], "left").select("tenant_id", "spec", F.coalesce("a", "b").alias("rule_id"))
 
 
 def evidence_strip(evidence: Column, keep: tuple[str, ...] = ("type", "version", "score", "pairs", "receipt", "tau")) -> Column:

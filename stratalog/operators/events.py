@@ -52,11 +52,15 @@ def technique_rollup(detection: DataFrame, *by: str) -> DataFrame:
 
 def telemetry_identity(event: Column) -> Column:
     """(event_id, boot_id, source_seq, kind, artifact_sha256, observed_at) of a JSON event; event_id is null if it has none."""
-    text = lambda key, most: F.when((F.length(F.trim(F.get_json_object(event, f"$.{key}"))).between(1, most)) & ~F.get_json_object(event, f"$.{key}").rlike(r"\p{Cntrl}"), F.trim(F.get_json_object(event, f"$.{key}")))
-    boot = text("boot_id", 128)
-    seq = F.get_json_object(event, "$.source_seq").try_cast("long")
+    keys = dict.fromkeys(("event_id", "boot_id", "source_seq", "kind", "ts", *SHA_KEYS))
+    parsed = F.from_json(event, "STRUCT<" + ", ".join(f"`{k}`: STRING" for k in keys) + ">")  # once for all keys
+
+    def text(key: str, most: int) -> Column:
+        value = F.trim(parsed[key])
+        return F.when(F.length(value).between(1, most) & ~parsed[key].rlike(r"\p{Cntrl}"), value)
+
+    boot, seq, ts = text("boot_id", 128), parsed["source_seq"].try_cast("long"), parsed["ts"].try_cast("double")
     shas = [F.when(scalars.valid_sha256(text(k, 64)), F.lower(text(k, 64))) for k in SHA_KEYS]
-    ts = F.get_json_object(event, "$.ts").try_cast("double")
     return F.struct(
         F.coalesce(text("event_id", 256), F.concat(boot, F.lit(":"), seq.cast("string"))).alias("event_id"), F.coalesce(boot, F.lit("unknown")).alias("boot_id"), seq.alias("source_seq"),
         F.coalesce(text("kind", 64), F.lit("unknown")).alias("kind"), F.coalesce(*shas).alias("artifact_sha256"), F.when(ts >= 0, F.round(ts * 1e6).cast("long")).alias("observed_at"))

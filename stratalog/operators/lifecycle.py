@@ -190,9 +190,10 @@ def populated(index: DataFrame) -> bool:
     return not index.limit(1).isEmpty()
 
 
-def lookup(table: DataFrame, key: str, value: object) -> DataFrame:
-    """The row of one key; NotFound without one."""
-    found = table.where(F.col(key) == F.lit(value)).limit(1)
+def lookup(table: DataFrame, key: str, value: object, *, tenant: str | None = None) -> DataFrame:
+    """The row of one key, of the tenant's rows where one is named; NotFound without one."""
+    wanted = F.col(key) == F.lit(value)
+    found = table.where(wanted if tenant is None else wanted & (F.col("tenant_id") == tenant)).limit(1)
     if found.isEmpty():
         raise NotFound(f"{key} {value}")
     return found

@@ -326,9 +326,10 @@ def trigger_outbox(spark, sf_dir):
     return events.fan_out(fired, triggers).select("tenant_id", "artifact_id", "opinion_id", "trigger_id")
 
 
-@query("SELECT n AS attempts, CAST(least(300, 5 * pow(2, least(n, 6))) AS BIGINT) AS seconds FROM range(0, 12) r(n)")
+@query("SELECT event_id, CAST(least(300, 5 * pow(2, least(event_id % 12, 6))) AS BIGINT) AS seconds FROM events")
 def backoff(spark, sf_dir):
-    return spark.range(12).select(F.col("id").alias("attempts"), S.backoff_seconds(F.col("id")).alias("seconds"))
+    """How long each delivery waits after so many attempts."""
+    return B.table(spark, sf_dir, "events").select("event_id", S.backoff_seconds(F.col("event_id") % 12).alias("seconds"))
 
 
 @query(f"""WITH l AS (SELECT event_id, user_id, event_id % 3 AS k FROM events) SELECT event_id, CASE k WHEN 0 THEN 'T1055,T1486' WHEN 1 THEN 'T1055,T1071,T1027' ELSE 'T1055' END AS techniques FROM l""")
@@ -505,10 +506,10 @@ def _functions(spark, sf_dir):
     return B.table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(F.array_distinct(F.transform(words, S.token_hash))).alias("tokens"))
 
 
-@query(f"WITH {_FUNCTIONS} SELECT item_id, tokens[1] AS first_band, tokens[-1] AS last_band, (CASE WHEN len(tokens) <= 4 THEN '0' WHEN len(tokens) <= 16 THEN '1' WHEN len(tokens) <= 64 THEN '2' ELSE '3' END) || ':' || tokens[len(tokens) // 2 + 1] AS middle_band FROM fn")
+@query(f"WITH {_FUNCTIONS} SELECT item_id, tokens[1] AS first_band, tokens[-1] AS last_band, lpad(lower(hex(list_reduce(list_transform(tokens, lambda x: CAST('0x' || substr(x, 1, 8) AS UBIGINT)), lambda a, b: xor(a, b)))), 8, '0') || lpad(lower(hex(list_reduce(list_transform(tokens, lambda x: CAST('0x' || substr(x, 9, 8) AS UBIGINT)), lambda a, b: xor(a, b)))), 8, '0') AS fold_band, (CASE WHEN len(tokens) <= 4 THEN '0' WHEN len(tokens) <= 16 THEN '1' WHEN len(tokens) <= 64 THEN '2' ELSE '3' END) || ':' || tokens[len(tokens) // 2 + 1] AS middle_band FROM fn")
 def function_bands(spark, sf_dir):
     b = S.function_bands(F.col("tokens"))
-    return _functions(spark, sf_dir).select("item_id", F.get(b, 0).alias("first_band"), F.get(b, 1).alias("last_band"), F.get(b, 3).alias("middle_band"))
+    return _functions(spark, sf_dir).select("item_id", F.get(b, 0).alias("first_band"), F.get(b, 1).alias("last_band"), F.get(b, 2).alias("fold_band"), F.get(b, 3).alias("middle_band"))
 
 
 @query(f"""WITH {_FUNCTIONS}, t AS (SELECT item_id, len(tokens) AS n, unnest(tokens) AS k FROM fn), c AS (SELECT a.item_id AS src, b.item_id AS dst, count(*) AS both_n, any_value(a.n) AS na, any_value(b.n) AS nb FROM t a JOIN t b ON a.k = b.k AND a.item_id < b.item_id GROUP BY 1, 2)
@@ -535,9 +536,11 @@ def suppression(spark, sf_dir):
     return B.table(spark, sf_dir, "events").select("event_id", S.suppression(name, F.col("event_id") % 30, F.col("event_id") % 7).alias("reason"))
 
 
-@query("SELECT n, CASE WHEN n = 0 THEN 0 WHEN n <= 2 THEN 1 WHEN n <= 5 THEN 2 WHEN n <= 10 THEN 3 WHEN n <= 20 THEN 4 WHEN n <= 40 THEN 5 ELSE 6 END AS bucket FROM range(0, 60) r(n)")
+@query("""SELECT doc_id, CASE WHEN n = 0 THEN 0 WHEN n <= 2 THEN 1 WHEN n <= 5 THEN 2 WHEN n <= 10 THEN 3 WHEN n <= 20 THEN 4 WHEN n <= 40 THEN 5 ELSE 6 END AS bucket FROM (SELECT doc_id, length(text) - length(replace(text, '.', '')) AS n FROM documents)""")
 def count_buckets(spark, sf_dir):
-    return spark.range(60).select(F.col("id").alias("n"), S.count_bucket(F.col("id")).alias("bucket"))
+    """Documents by the bucket of how many full stops they hold."""
+    n = F.length("text") - F.length(F.replace("text", F.lit("."), F.lit("")))
+    return B.table(spark, sf_dir, "documents").select("doc_id", S.count_bucket(n).alias("bucket"))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 6.0 AS m, l_linenumber % 4 AS imports, l_partkey % 2 = 0 AS overlay, l_partkey % 3 = 0 AS w, l_suppkey % 2 = 0 AS mk FROM lineitem),
@@ -571,10 +574,11 @@ def receipt_id(spark, sf_dir):
         "tenant_id", "artifact_id", S.receipt_id(F.col("tenant_id"), F.col("artifact_id"), c("byte"), c("v1"), c("m1"), c("c1"), F.col("sha256"), c("ok"), F.col("size_bytes")).alias("receipt_id"))
 
 
-@query("""SELECT substr(sha256('byte_similar_min_score=40;size_ratio_max=4;entropy_delta_max=2;semantic_match_tau=0.35;semantic_weak_coverage=0.35;semantic_strong_coverage=0.6;semantic_strong_min_pairs=3;packed_entropy_limit=7.2;significance_min_insns=5'), 1, 32) AS model,
-sha256('scan-config:v1:timeout_ms=10000:max_match_evidence=64') AS scan""")
+@query("""SELECT DISTINCT source AS tenant_id, substr(sha256('byte_similar_min_score=40;size_ratio_max=4;entropy_delta_max=2;semantic_match_tau=0.35;semantic_weak_coverage=0.35;semantic_strong_coverage=0.6;semantic_strong_min_pairs=3;packed_entropy_limit=7.2;significance_min_insns=5'), 1, 32) AS model,
+sha256('scan-config:v1:timeout_ms=10000:max_match_evidence=64') AS scan FROM documents""")
 def config_digests(spark, sf_dir):
-    return spark.range(1).select(S.model_digest().alias("model"), S.scan_config_digest().alias("scan"))
+    """What each tenant's cache keys carry."""
+    return B.table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id")).distinct().select("tenant_id", S.model_digest().alias("model"), S.scan_config_digest().alias("scan"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'initialize:900' WHEN event_id % 4 = 1 AND event_id BETWEEN 100 AND 900 THEN 'resume:' || event_id ELSE 'reconcile:900' END AS plan FROM events""")
@@ -627,12 +631,13 @@ def rule_conflicts(spark, sf_dir):
     return catalogue.rule_conflicts(p.select(F.lit("t0").alias("tenant_id"), F.concat(F.lit("ns"), (F.col("p_size") % 3).cast("string")).alias("namespace"), F.col("p_name").alias("stable_id"), F.col("p_type").alias("source")))
 
 
-@query("""WITH rule AS (SELECT 'u' || p_partkey AS rule_id, 'r' || (p_partkey // 2) AS stable_id FROM part), spec AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'u' || l_partkey ELSE 'r' || l_partkey END AS spec FROM lineitem)
-SELECT spec, coalesce(a.rule_id, b.rule_id) AS rule_id FROM spec LEFT JOIN rule a ON a.rule_id = spec LEFT JOIN (SELECT stable_id, min(rule_id) AS rule_id FROM rule GROUP BY 1) b ON b.stable_id = spec""")
+@query("""WITH rule AS (SELECT 't' || (p_partkey % 3) AS tenant_id, 'u' || p_partkey AS rule_id, 'r' || (p_partkey // 6) AS stable_id FROM part), spec AS (SELECT DISTINCT 't' || (l_suppkey % 3) AS tenant_id, CASE WHEN l_partkey % 2 = 0 THEN 'u' || l_partkey ELSE 'r' || (l_partkey // 3) END AS spec FROM lineitem)
+SELECT s.tenant_id, spec, coalesce(a.rule_id, b.rule_id) AS rule_id FROM spec s LEFT JOIN rule a ON a.rule_id = spec AND a.tenant_id = s.tenant_id LEFT JOIN (SELECT tenant_id, stable_id, min(rule_id) AS rule_id FROM rule GROUP BY 1, 2) b ON b.stable_id = spec AND b.tenant_id = s.tenant_id""")
 def rule_resolution(spark, sf_dir):
-    rule = B.table(spark, sf_dir, "part").select(F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("rule_id"), F.concat(F.lit("r"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("stable_id"))
-    k = F.col("l_partkey").cast("string")
-    spec = B.table(spark, sf_dir, "lineitem").select(F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("u"), k)).otherwise(F.concat(F.lit("r"), k)).alias("spec")).distinct()
+    named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    p, k = F.col("p_partkey"), F.col("l_partkey")
+    rule = B.table(spark, sf_dir, "part").select(named("t", p % 3).alias("tenant_id"), named("u", p).alias("rule_id"), named("r", F.floor(p / 6)).alias("stable_id"))
+    spec = B.table(spark, sf_dir, "lineitem").select(named("t", F.col("l_suppkey") % 3).alias("tenant_id"), F.when(k % 2 == 0, named("u", k)).otherwise(named("r", F.floor(k / 3))).alias("spec")).distinct()
     return catalogue.resolve_rule(spec, rule)
 
 
