@@ -349,3 +349,24 @@ def deduplicate(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read(spark, sf_dir, "clicks"))
+
+
+#: The contract step by step: an id's copies in order, each knowing its window from the one before. CRC-32 by its table.
+ORACLE = """
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+j AS (SELECT *, epoch_us(arrived_at) // 3600000000 AS base, unnest(range(click_id % 3 + 1)) AS j FROM clicks WHERE arrived_at IS NOT NULL),
+named AS (SELECT *, click_id || ':' || j AS name FROM j),
+summed AS (SELECT named.*, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS c FROM named, tab),
+copy AS (SELECT click_id, base + 6 * j * (c % 10) AS hour, base + 6 * j * (c % 10) + c // 10 % 200 AS label,
+  sha256(coalesce(CAST(client_id AS VARCHAR), '') || '|' || coalesce(kind, '') || '|' || CASE WHEN isfinite(value) THEN CAST(CAST(floor(100 * value + 0.5) AS BIGINT) AS VARCHAR) ELSE '' END || '|' || coalesce(CAST(epoch_us(ts) AS VARCHAR), '') || '|' || coalesce(props, '') || '|' || c % 3) AS hash FROM summed),
+cut AS (SELECT click_id, hour, hash, (label - min(label) OVER ()) * 8 // (max(label) OVER () - min(label) OVER () + 1) AS batch FROM copy),
+last AS (SELECT b, (SELECT max(hour) FROM cut WHERE batch <= b) AS m FROM range(8) r(b)),
+kept AS (SELECT cut.*, row_number() OVER (PARTITION BY click_id ORDER BY batch, hour, hash) AS n FROM cut LEFT JOIN last ON b = batch - 1 WHERE batch = 0 OR hour >= m - 96),
+step AS (SELECT click_id, n, batch, hour, hash, hour AS start, hash AS opener, 1 AS w FROM kept WHERE n = 1
+  UNION ALL SELECT k.click_id, k.n, k.batch, k.hour, k.hash, CASE WHEN new THEN k.hour ELSE start END, CASE WHEN new THEN k.hash ELSE opener END, CASE WHEN new THEN w + 1 ELSE w END
+  FROM (SELECT kept.*, s.start, s.opener, s.w, kept.hour > s.start + 24 OR s.batch < kept.batch AND s.start + 24 < (SELECT m FROM last WHERE b = kept.batch - 1) - 96 AS new FROM step s JOIN kept ON kept.click_id = s.click_id AND kept.n = s.n + 1) k),
+crc AS (SELECT hash, xor(list_reduce(list_concat([4294967295], list_transform(range(1, 65), lambda i: CAST(ascii(substr(hash, i, 1)) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS v FROM (SELECT DISTINCT hash FROM step WHERE hash <> opener), tab),
+win AS (SELECT click_id, w, any_value(start) AS start, any_value(opener) AS opener, min(batch) AS head, max(batch) AS tail, count(*) - 1 AS n_repeats, count(*) FILTER (s.hash <> opener) AS n_conflicts, coalesce(sum(v) FILTER (s.hash <> opener), 0) AS crc FROM step s LEFT JOIN crc USING (hash) GROUP BY 1, 2),
+closing AS (SELECT *, lead(head) OVER (PARTITION BY click_id ORDER BY w) AS later, (SELECT min(b) FROM last WHERE b >= tail AND start + 24 < m - 96) AS due FROM win)
+SELECT click_id, start AS start_hour, CAST(least(coalesce(due, 7), coalesce(later, 7)) AS BIGINT) AS closed_batch, n_repeats, n_conflicts, CAST(crc AS BIGINT) AS conflict_crc, opener AS hash FROM closing
+"""

@@ -41,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE, "op3_license_scan": license_scan.ORACLE, "op9_itq": itq.ORACLE, "op11_collocations": collocations.ORACLE, "op12_top_k": top_k.ORACLE}
+    return {"op2_url_filter": url_filter.ORACLE, "op3_license_scan": license_scan.ORACLE, "op9_itq": itq.ORACLE, "op11_collocations": collocations.ORACLE, "op12_top_k": top_k.ORACLE, "op13_click_windows": click_windows.ORACLE}

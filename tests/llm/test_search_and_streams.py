@@ -235,7 +235,19 @@ def test_fold_equals_one_record_at_a_time():
     assert {int(w["id"]): [int(w["start"]), int(w["repeats"]), int(w["conflicts"])] for w in opened} == {k: w[:3] for k, w in plain.items()} and out
 
 
-def test_twins_are_brute_force():
+def test_the_twin_of_clicks_equals_a_plain_loop():
+    rows = [r for r in _clicks(2, 400) if r[0] is not None and r[0] >= 0 and r[2] is not None]
     con = duckdb.connect()
-    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES ('a b. a b', 'en')) v(text, lang)")
-    assert con.execute(collocations.ORACLE).fetchall() == []
+    con.execute("CREATE TABLE clicks (click_id BIGINT, ts TIMESTAMP, arrived_at TIMESTAMP, client_id BIGINT, kind VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO clicks VALUES (?, ?, ?, ?, ?, ?, ?)", rows)
+    assert Counter(con.execute(click_windows.ORACLE).fetchall()) == _windows(rows)
+
+
+def test_the_twin_of_collocations_equals_brute_force():
+    words = [("a b c", 70), ("a b", 50), ("B C. c", 40), ("x a b c d", 110), ("d; x y", 120)]
+    docs = [(text, lang) for text, n in words for lang, times in (("en", n), (None, n // 2 + 40)) for _ in range(times)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (text VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    want = _collocations(docs, 100, 2000)
+    assert sorted(con.execute(collocations.ORACLE).fetchall()) == want and want
