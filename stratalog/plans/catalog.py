@@ -360,7 +360,7 @@ def telemetry_dedup(spark, sf_dir):
 
 # --- similarity and graph --------------------------------------------------------------
 
-_BYTES = "bytes AS (SELECT page_id, substr(hex(encode(html)), 2 * i - 1, 2) AS b FROM pages, range(1, strlen(html) + 1) r(i))"
+_BYTES = "bytes AS (SELECT page_id, unnest(regexp_extract_all(hex(encode(html)), '..')) AS b FROM pages)"
 
 
 @query(f"WITH {_BYTES}, c AS (SELECT page_id, b, count(*) AS n FROM bytes GROUP BY 1, 2), e AS (SELECT page_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM c GROUP BY 1) SELECT page_id, round(coalesce(e, 0), 6) AS entropy FROM pages LEFT JOIN e USING (page_id)")

@@ -83,6 +83,8 @@ def test_two_batches_equal_one(spark, seed):
     pairs = spark.createDataFrame([(t, a, b) for t, a in f for s, b in f if s == t and a < b], "tenant_id string, src long, dst long")
     full = {(r.tenant_id, r.src, r.dst, r.score) for r in similarity.byte_edges(pairs, feature.select(*linking.FEATURE)).collect()}
     first = [k for k in f if k[1] % 3 != 1]
+    met = {(x.tenant_id, *sorted((x.src, x.dst))) for x in linking.scoring_pairs(feature, feature).collect()}
+    assert {e[:3] for e in full if f[e[0], e[1]].artifact_class == f[e[0], e[2]].artifact_class and f[e[0], e[1]].size_bytes and f[e[0], e[2]].size_bytes} <= met
     compared = _compared(f, list(f), [])
     assert once == {e for e in full if e[:3] in compared} and once
     compared = _compared(f, first, []) | _compared(f, [k for k in f if k not in first], first)
