@@ -15,7 +15,7 @@ median absolute deviation of log perplexity, exact over all documents that pass
 the base rules, give the lower and the upper band.
 
 A second, class-based model counts pairs of word classes (`kn_words`) and within
-them every word of the corpus (`kn_vocabulary`), so words, their order and
+them every word of the table (`kn_vocabulary`), so words, their order and
 scripts that the alphabet folds together count as well. What it gathers grows
 with the input and stays in sorted hash arrays dealt over the cluster. A
 document is kept within the bands of the first and below the upper band of the

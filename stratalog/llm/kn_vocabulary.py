@@ -1,4 +1,4 @@
-"""Words within their classes: counts of the whole vocabulary, which grows with the corpus and is never collected or broadcast.
+"""Words within their classes: counts of the whole vocabulary, which grows with the table and is never collected or broadcast.
 
 The second half of a class-based model: `kn_words` foretells a word's class
 from the class before it, this module the word from its class, by modified
@@ -7,10 +7,10 @@ Kneser-Ney discounts with a place for unknown words in each class.
 A task puts its texts into blocks of some megabytes. A block is the sorted array
 of its distinct word hashes with their counts, cut by ranges of hashes, and for
 each text the places of its words in that array. Arrays go to their range, are
-merged into one sorted hash array with the counts of the corpus, and each block
+merged into one sorted hash array with the counts of the table, and each block
 gets the counts of its words back. A word costs one entry a block however often
 it stands there, so a frequent one burdens no range; ranges are as many as the
-text needs. Of the whole corpus only sums by class are gathered.
+text needs. Of the whole table only sums by class are gathered.
 
 A text's own words are taken from the counts before it is scored. Whatever the
 blocks, the result is the same.
@@ -110,7 +110,7 @@ def _merged(r: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range: the corpus's counts for each block's words, and sums by class."""
+    """Rows sorted by range: the table's counts for each block's words, and sums by class."""
     now, parts = None, []
     for batch in batches:
         for block, r, k, c in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):

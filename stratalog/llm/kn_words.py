@@ -3,7 +3,7 @@
 A word is a run of ASCII letters and digits (without case) and of other bytes
 beyond ASCII; a punctuation mark is a word, and so is each character from
 U+3000 on. Words fall into CLASSES classes by a hash, so pairs of classes are
-bounded by CLASSES ** 2 whatever the corpus and however many words it has:
+bounded by CLASSES ** 2 whatever the table and however many words it has:
 frequent words rule their classes, and rare ones add noise.
 
 Tasks add up their pairs of whole texts before the shuffle; counts go by range
