@@ -34,7 +34,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import packed, pieces, read, shared_dir, unpacked
+from stratalog.llm.common import give_back, packed, pieces, read, shared_dir, unpacked
 from stratalog.llm.perfect_hash import PerfectHash, mixed
 
 LEAST, MOST_WORDS, PER_LANG = 100, 5, 2_000
@@ -42,7 +42,7 @@ LEAST, MOST_WORDS, PER_LANG = 100, 5, 2_000
 WORD_TABLE, TABLE = 500_000, 2_000_000
 SKETCH_BITS, CHUNK = 22, 1 << 13
 #: Bytes of text in a block, and entries that a task gathers before it merges them.
-BLOCK, GATHER = 2 << 20, 1 << 21
+BLOCK, GATHER = 1 << 20, 1 << 19
 #: Parts in which a tree's arrays are summed first, and in which a language's first phrases are found first.
 PARTS = 32
 
@@ -95,14 +95,14 @@ def _hashed(lang: str, words: pa.LargeStringArray, seed: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks to (lang, word, n), summed over what a task gathers."""
+    """Texts to (lang, word, n), summed over what a task gathers."""
     names = ["lang", "word", "n"]
 
     def merged(tables: list[pa.Table]) -> pa.Table:
         return pa.concat_tables(tables).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns(names)
 
     held, many = [], 0
-    for batch in batches:
+    for batch in _blocks(batches):
         for name, block in zip(batch["lang"].to_pylist(), batch["text"]):
             words, _ = _words(np.frombuffer(block.as_buffer(), np.uint8))
             found = words.value_counts()
@@ -117,6 +117,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held, many = [], 0
     if held:
         yield from merged(held).cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=65_536)
+    held = []
+    give_back()
 
 
 class WordTable:
@@ -159,9 +161,9 @@ def _encoded(positions: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         [pa.array([packed(positions[there].astype(np.int32), deltas=True)], pa.binary()), pa.array([packed(ids[there].astype(np.int32))], pa.binary())], names=["pos", "ids"])
 
 
-def _word_codes(batches: Iterator[pa.RecordBatch], table: Broadcast, last: bool) -> Iterator[pa.RecordBatch]:
-    """Blocks with the numbers of a table's words; after the last table, positions and numbers alone."""
-    for batch in batches:
+def _word_codes(batches: Iterator[pa.RecordBatch], table: Broadcast, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks, made of texts at first, with the numbers of a table's words; after the last table, positions and numbers alone."""
+    for batch in _blocks(batches) if first else batches:
         for name, block, before in zip(batch["lang"].to_pylist(), batch["text"], batch["codes"]):
             words, positions = _words(np.frombuffer(block.as_buffer(), np.uint8))
             distinct = words.dictionary_encode()
@@ -172,6 +174,7 @@ def _word_codes(batches: Iterator[pa.RecordBatch], table: Broadcast, last: bool)
                 yield _encoded(positions, codes)
             else:
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block.as_py()], pa.binary()), pa.array([packed(codes)], pa.binary())], names=["lang", "text", "codes"])
+    give_back()
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], table: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -219,7 +222,10 @@ def _cells(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
             add()
             held, many = [], 0
     add()
+    held = []
     yield from _chunks(counts)
+    del counts
+    give_back()
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], full: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
@@ -244,6 +250,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], full: Broadcast, bits: int) -
                 held, many = [], 0
     if held:
         yield from flush(held)
+    held = []
+    give_back()
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch], table: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -336,7 +344,7 @@ class Miner:
     def __init__(self, docs: DataFrame, least: int, text: str, lang: str):
         self.spark, self.least = docs.sparkSession, least
         self.folder = f"{shared_dir(self.spark)}/collocations-{uuid.uuid4().hex}"
-        self.blocks = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(_blocks, "lang string, text binary, codes binary")
+        self.docs = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
@@ -348,12 +356,12 @@ class Miner:
 
     def words(self) -> tuple[DataFrame, DataFrame, int]:
         """Frequent words as phrases of level one, words of each language, and all words."""
-        counted = self.stored(self.blocks.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+        counted = self.stored(self.docs.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
         totals = self.stored(counted.groupBy("lang").agg(F.sum("n").alias("words")), "totals")
         frequent = counted.where(F.col("n") >= self.least)
         many, words = frequent.count(), totals.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
         _numbers_fit(many)
-        tables, base, levels, coded = max(1, -(-many // WORD_TABLE)), 0, [], self.blocks
+        tables, base, levels, coded = max(1, -(-many // WORD_TABLE)), 0, [], self.docs
         for t in range(tables if many else 0):
             own = frequent.where(F.pmod(F.xxhash64("lang", "word"), F.lit(tables)) == t)
             rows = own.select("lang", "word").toArrow()  # bounded
@@ -361,7 +369,7 @@ class Miner:
             base += len(rows)
             sent, last = self.spark.sparkContext.broadcast(table), t == tables - 1
             levels.append(own.mapInArrow(partial(_numbered, table=sent), "id long, lang string, word string, n long"))
-            coded = coded.mapInArrow(partial(_word_codes, table=sent, last=last), ENCODED if last else "lang string, text binary, codes binary")
+            coded = coded.mapInArrow(partial(_word_codes, table=sent, first=t == 0, last=last), ENCODED if last else "lang string, text binary, codes binary")
         none = F.array().cast("array<long>")
         level = levels[0] if levels else self.spark.createDataFrame([], "id long, lang string, word string, n long")
         for more in levels[1:]:
