@@ -188,3 +188,15 @@ def test_pair_evidence_equals_a_plain_version(spark):
         body = json.loads(x.evidence)
         assert len(body["pairs"]) == x.listed and x.truncated == (x.listed < body["matched_pairs"]) and sum(len(json.dumps(p, separators=(",", ":"))) + 1 for p in body["pairs"]) <= 700
     assert any(x.truncated for x in small)
+
+
+def test_digests_are_taken_apart_before_pairs_meet(spark):
+    rows = [("t", i, "en", 100, 4.0, d) for i, d in enumerate(("3:ABCDEFGHIJ:ABCDE", "3:ABCDEFGHIK:ABCDE", "6:ABCDE:ABCDEFGHIJ", "3:AAAAAAABCDEFGHI:A", "3:AAABCDEFGHI:A", "12:ABCDEFGHIJ:A", "x:ABCDEFGHIJ:A", "3:ABCDEFGHIJ", None))]
+    feature = spark.createDataFrame(rows, "tenant_id string, artifact_id long, artifact_class string, size_bytes long, entropy double, fuzzy string")
+    ids = range(len(rows))
+    pairs = spark.createDataFrame([("t", a, b) for a in ids for b in ids if a < b], "tenant_id string, src long, dst long")
+    edges = similarity.byte_edges(pairs, feature)
+    scores = spark.createDataFrame([(a, b, rows[a][5], rows[b][5]) for a in ids for b in ids if a < b], "src long, dst long, a string, b string").select("src", "dst", scalars.fuzzy_compare(F.col("a"), F.col("b")).alias("score"))
+    assert {(r.src, r.dst, r.score) for r in edges.collect()} == {(r.src, r.dst, float(r.score)) for r in scores.where("score >= 40").collect()}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "regexp_replace" not in plan[: plan.index("Join")]
