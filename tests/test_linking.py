@@ -200,3 +200,17 @@ def test_digests_are_taken_apart_before_pairs_meet(spark):
     assert {(r.src, r.dst, r.score) for r in edges.collect()} == {(r.src, r.dst, float(r.score)) for r in scores.where("score >= 40").collect()}
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" in plan and "regexp_replace" not in plan[: plan.index("Join")]
+
+
+@pytest.mark.parametrize("cap", [1, 3, 7])
+def test_bands_with_the_same_members_meet_once(spark, cap):
+    rng = random.Random(cap)
+    rows = [("t", i, b, f"k{i % 2}") for i in range(40) for b in range(6)] + [("t", i, 9, f"q{rng.randrange(8)}") for i in range(40)] + [("u", i, 0, "k0") for i in range(5)]
+    bands = spark.createDataFrame(rows, "tenant_id string, artifact_id long, band_idx int, band_key string")
+    want = {}
+    for t, i, b, k in rows:
+        want.setdefault((t, i), set()).update(j for u, j, c, m in rows if (u, c, m) == (t, b, k) and j > i)
+    found = similarity.candidates(bands, cap)
+    assert sorted(map(tuple, found.collect())) == sorted((t, i, j) for (t, i), js in want.items() for j in sorted(js)[:cap])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_xor" in plan and "block" in plan
