@@ -214,3 +214,19 @@ def test_bands_with_the_same_members_meet_once(spark, cap):
     assert sorted(map(tuple, found.collect())) == sorted((t, i, j) for (t, i), js in want.items() for j in sorted(js)[:cap])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_xor" in plan and "block" in plan
+
+
+def test_rules_share_what_is_found(monkeypatch):
+    rules = [("n", f'rule r{i} {{ strings: $a = "abab" $b = "AB" nocase $c = /a[a-z]{{1,2}}b/ condition: {c} }}') for i, c in enumerate(("$a and #b > 3", "not $a", "filesize < 4", "#a == 70", "$c", "#a > 69 and $b"))]
+    one = scanner.Scanner(rules)
+    calls, find = [], scanner.Finder.find
+    monkeypatch.setattr(scanner.Finder, "find", lambda self, *a: calls.append(1) or find(self, *a))
+    for text in (b"", b"xyz", b"abab", b"ABABaBab", b"ab" * 71, b"abab." * 70, b"axxb aab abb"):
+        calls.clear()
+        want = []
+        for i in range(len(rules)):
+            n = {k: len(re.findall(p, text)) for k, p in (("a", rb"(?=abab)"), ("b", rb"(?i)(?=ab)"), ("c", rb"(?=a[a-z]{1,2}b)"))}
+            if ((n["a"] and n["b"] > 3), not n["a"], len(text) < 4, n["a"] == 70, n["c"], n["a"] > 69 and n["b"])[i]:
+                want.append((f"r{i}", [(f"${k}", m.start()) for k, p in (("a", rb"(?=abab)"), ("b", rb"(?i)(?=ab)"), ("c", rb"(?=a[a-z]{1,2}b)")) for m in list(re.finditer(p, text))[:64]]))
+        assert [(m["rule_id"], [(p["identifier"], p["offset"]) for p in m["patterns"]]) for m in one.scan(text)[1]] == want
+        assert len(calls) <= 3
