@@ -2,17 +2,18 @@
 
 Level by level, as Apriori does: a phrase can only be frequent if the phrase without its last word and the one without
 its first are. Every frequent phrase of a level has a number, so a phrase of the next level is a pair of numbers, an
-exact key of 64 bits. A level takes four passes over the text, which is held as positions and numbers only:
+exact key of 64 bits. A level takes three passes over the text, which is held as positions and numbers only:
 
-1. A table of counters: mappers bincount the hashes of the pairs, the arrays are summed as a tree. Pairs in a cell that
-   doesn't reach the least count can't be frequent.
-2. Candidates: the different pairs in the other cells. They get a minimal perfect hash with their keys beside it.
-3. Counts: mappers look pairs up, verify the stored key, bincount their slots; the arrays are summed as a tree.
-4. The text again, as positions and numbers of this level's frequent phrases.
+1. Candidates: mappers send the different pairs of every GATHER or so, dealt by their hash, each with a count of one
+   byte. Pairs whose bytes together reach the least count, or one of which is full, get a minimal perfect hash with
+   their keys beside it.
+2. Counts: mappers look pairs up, verify the stored key, bincount their slots; the arrays are summed as a tree.
+3. The text again, as positions and numbers of this level's frequent phrases.
 
-What is broadcast has a bound: tables hold TABLE keys, more keys make more tables, each of which costs a pass more. The
-cells grow with the text to 2 ** SKETCH_BITS; beyond, they only let more candidates through. Counts of a phrase's parts
-are read by their numbers, from the levels' tables.
+What is broadcast has a bound: tables hold TABLE keys, more keys make more tables, each of which costs a pass more. What
+finds the candidates grows with the text: as much is sent for every GATHER, however often it repeats elsewhere, and
+buckets stay of one size up to 2 ** SKETCH_BITS of them. Counts of a phrase's parts are read by their numbers, from the
+levels' tables.
 
 Null texts are empty, a null language is `und` and so one with that name. Rows may repeat, and extra columns play no
 part. Words may be of any length. An empty table, or one without a frequent phrase, gives no rows. Ranks, scores and
@@ -40,7 +41,9 @@ from stratalog.llm.perfect_hash import PerfectHash, mixed
 LEAST, MOST_WORDS, PER_LANG = 100, 5, 2_000
 #: Words of a table of words, and keys of a table of phrases, that is broadcast.
 WORD_TABLE, TABLE = 500_000, 2_000_000
-SKETCH_BITS, CHUNK = 22, 1 << 13
+CHUNK = 1 << 13
+#: Words of the text for each bucket of pairs, bits of a pair's hash that tell its bucket at most, and the full byte of a count.
+BUCKET, SKETCH_BITS, MANY = 1 << 21, 12, 255
 #: Bytes of text in a block, and entries that a task gathers before it merges them.
 BLOCK, GATHER = 1 << 20, 1 << 19
 #: Parts in which a tree's arrays are summed first, and in which a language's first phrases are found first.
@@ -55,6 +58,7 @@ STEP = 0x100000001B3
 
 ENCODED = "pos binary, ids binary"
 SUMS = "chunk int, counts binary"
+PAIRS = "bucket int, keys binary, counts binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,49 +211,60 @@ def _chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([part], pa.int32()), pa.array([packed(own)], pa.binary())], names=["chunk", "part", "counts"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    counts, held, many = np.zeros(1 << bits, np.int64), [], 0
-
-    def add() -> None:
-        if held:
-            counts[:] += np.bincount(np.concatenate(held), minlength=1 << bits)
+def _pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The different keys of every GATHER or so, dealt by their hash, with counts of one byte, which stop at MANY."""
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (mixed(keys) >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        keys, counts, bucket = keys[order], np.minimum(counts[order], MANY).astype(np.uint8), bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=np.uint16(bucket[0] + 1)))
+        rows = [(int(bucket[a]), packed(keys[a:b], deltas=True), packed(counts[a:b])) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
 
+    held, many = [], 0
     for pos, ids in _rows(batches):
         _, keys = _keys(pos, ids)
-        held.append((mixed(keys) >> np.uint64(64 - bits)).astype(np.int64))
+        held.append(keys)
         many += len(keys)
         if many > GATHER:
-            add()
+            yield from flush(held)
             held, many = [], 0
-    add()
+    if many:
+        yield from flush(held)
     held = []
-    yield from _chunks(counts)
-    del counts
     give_back()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], full: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
-    """The different keys in full cells, as far as a task gathers them."""
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys = np.unique(np.concatenate(held)).view(np.int64)
-        for i in range(0, len(keys), 65_536):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 65_536])], names=["key"])
+def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Keys, sorted by bucket, whose counts together may reach the least."""
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        return keys[starts], np.minimum(np.add.reduceat(counts[order], starts), least)
 
-    held, many = [], 0
-    for pos, ids in _rows(batches):
-        _, keys = _keys(pos, ids)
-        cell = (mixed(keys) >> np.uint64(64 - bits)).astype(np.int64)
-        keys = np.unique(keys[(full.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1])
-        held.append(keys)
-        many += len(keys)
-        if many > GATHER:
-            held = [np.unique(np.concatenate(held))]
-            many = len(held[0])
-            if many > GATHER // 2:
-                yield from flush(held)
-                held, many = [], 0
+    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, counts = merged(held)
+        if len(keys := keys[counts >= least]):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    now, held, many, most = None, [], 0, 2 * GATHER
+    for batch in batches:
+        for bucket, keys, counts in zip(batch["bucket"].to_pylist(), batch["keys"], batch["counts"]):
+            if held and bucket != now:
+                yield from out(held)
+                held, many, most = [], 0, 2 * GATHER
+            now, counts = bucket, unpacked(counts.as_py(), np.uint8).astype(np.int64)
+            held.append((unpacked(keys.as_py(), np.uint64, deltas=True), np.where(counts == MANY, least, counts)))
+            many += len(counts)
+            if many > most:
+                held = [merged(held)]
+                many = len(held[0][0])
+                most = max(most, 2 * many)
     if held:
-        yield from flush(held)
+        yield from out(held)
     held = []
     give_back()
 
@@ -382,10 +397,9 @@ class Miner:
 
     def next(self, level: int, before: DataFrame, words: int) -> DataFrame | None:
         """The frequent phrases of a level, or None if there are none."""
-        bits = min(SKETCH_BITS, max(12, math.ceil(math.log2(max(words, 1) / 8))))
-        cells = tree_sum(self.encoded.mapInArrow(partial(_cells, bits=bits), f"chunk int, part int, {SUMS.split(', ')[1]}"))
-        full = self.spark.sparkContext.broadcast(_bits(cells, 1 << bits, self.least))
-        keys = self.stored(self.encoded.mapInArrow(partial(_candidates, full=full, bits=bits), "key long").distinct(), f"keys{level}")
+        bits = min(SKETCH_BITS, max(8, math.ceil(math.log2(max(words, 1) / BUCKET))))
+        pairs = self.encoded.mapInArrow(partial(_pairs, bits=bits), PAIRS).repartition("bucket").sortWithinPartitions("bucket")
+        keys = self.stored(pairs.mapInArrow(partial(_candidates, least=self.least), "key long"), f"keys{level}")
         many = keys.count()
         _numbers_fit(many)
         if not many:

@@ -84,6 +84,27 @@ def test_no_collocations(spark):
         assert collocations.mine(spark.createDataFrame(rows, "text string, lang string"), least=2).count() == 0
 
 
+def test_candidates_of_collocations_are_pairs_that_reach_the_count(spark, monkeypatch):
+    r, least = random.Random(3), 10
+    docs = [(" ".join(f"w{r.randrange(200)}" for _ in range(400)), "en") for _ in range(150)] + [("w1 w2 w3", "en")] * 30
+    sizes = []
+    monkeypatch.setattr(collocations, "PerfectHash", lambda keys: sizes.append(len(keys)) or PerfectHash(keys))
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(7)
+    assert [tuple(x) for x in sorted(collocations.mine(df, least=least).collect())] == _collocations(docs, least, 2000)
+    pairs = Counter(p for text, _ in docs for p in zip(text.split(), text.split()[1:]))
+    # words, pairs, and the one phrase of three: rare pairs don't pass because others share a place with them
+    assert sizes == [200, sum(n >= least for n in pairs.values()), 1]
+
+
+@pytest.mark.parametrize("gather", [50, 1 << 19])
+def test_collocations_beyond_a_byte(spark, monkeypatch, gather):
+    docs = [("a b c", "en")] * 290 + [("a b d", "en")] * 20 + [("b c " * 20, None)] * 30
+    monkeypatch.setattr(collocations, "GATHER", gather)
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(2)
+    for least in (255, 300):
+        assert [tuple(x) for x in sorted(collocations.mine(df, least=least).collect())] == _collocations(docs, least, 2000)
+
+
 # --- top-k search -----------------------------------------------------------------------
 
 
