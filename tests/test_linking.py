@@ -230,3 +230,41 @@ def test_rules_share_what_is_found(monkeypatch):
                 want.append((f"r{i}", [(f"${k}", m.start()) for k, p in (("a", rb"(?=abab)"), ("b", rb"(?i)(?=ab)"), ("c", rb"(?=a[a-z]{1,2}b)")) for m in list(re.finditer(p, text))[:64]]))
         assert [(m["rule_id"], [(p["identifier"], p["offset"]) for p in m["patterns"]]) for m in one.scan(text)[1]] == want
         assert len(calls) <= 3
+
+
+def test_only_what_a_condition_leaves_open_is_looked_for(monkeypatch):
+    one = scanner.Scanner([("n", 'rule r { strings: $a = "needle" $b = "hay " nocase $c = "straw" $d = /barn[a-z ]{1,8}door/ condition: $d or ($a and #b > 2 and not $c) }')])
+    calls, find = [], scanner.Finder.find
+    monkeypatch.setattr(scanner.Finder, "find", lambda self, *a: calls.append(1) or find(self, *a))
+    # a rule that fails makes no evidence, and a count is taken only where the rest leaves it open
+    for text, most in ((b"needle straw " * 9, 0), (b"hay " * 9, 0), (b"barn " * 9, 0), (b"needle hay HAY ", 1), (b"needle hay hay hay straw", 1)):
+        calls.clear()
+        assert one.scan(text) == ("clean", []) and len(calls) <= most, text
+    assert [p["offset"] for p in one.scan(b"needle Hay HAY hay ")[1][0]["patterns"]] == [0, 7, 11, 15]
+    assert [(p["identifier"], p["offset"], p["length"]) for p in one.scan(b"a barn or door, straw")[1][0]["patterns"]] == [("$c", 16, 5), ("$d", 2, 12)]
+
+
+def test_evidence_is_that_of_scans(spark, monkeypatch):
+    rng = random.Random(5)
+    parts = [b"needle", b"hay", b"HAY", b"MZ\x01\x02P", b"abbbc7", b"w\x00i\x00d\x00e\x00", b"full", b" ", b".", b"aa", b"1a2", b"\xff\x00", b"a long needle of words"]
+    more = {"g": 'rule g { strings: $a = "a long needle of" $b = /(?i:HAY)/ condition: all of them }', "h": 'rule h { strings: $a = "hay" $b = "full" $c = "MZ" condition: 2 of them and filesize > 9 }', "i": 'rule i { strings: $a = "aa" condition: #a != 2 or false }'}
+    contents = [b"".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(300)] + [b"", b"aa" * 200]
+    df = spark.createDataFrame([("t%d" % (i % 2), i, c) for i, c in enumerate([*contents, None])], "tenant_id string, artifact_id long, content binary").repartition(2)
+    rules = spark.createDataFrame(list((RULES | more).items()), "rule_id string, source string")
+    good = {k: hunts.parse_rule(v) for k, v in (RULES | more).items() if k not in ("bad", "worse")}
+    want = []
+    for i, c in enumerate(contents):
+        for k, r in good.items():
+            hits = {p.name: [(m.start(1), len(m[1])) for m in re.finditer(b"(?=(" + p.regex.encode("latin-1") + b"))", c, re.S | (re.I if p.ignore_case else 0))] for p in r.patterns}
+            if hunts.holds(hunts.parse_condition(r), {n: len(x) for n, x in hits.items()}, len(c)):
+                want += [(f"t{i % 2}", i, k, f"${n}", o, size) for n, x in hits.items() for o, size in x[: scanner.MOST_EVIDENCE]]
+    assert sorted(map(tuple, scanner.evidence(df, rules).collect())) == sorted(want)
+    exploded = scanner.scan(df, rules).selectExpr("tenant_id", "artifact_id", "explode(matches) AS m").selectExpr("tenant_id", "artifact_id", "m.rule_id", "explode(m.patterns) AS p").select("tenant_id", "artifact_id", "rule_id", "p.*")
+    assert sorted(map(tuple, exploded.collect())) == sorted(want)
+    assert scanner.evidence(df, rules.where("false")).count() == 0
+    # runs that lie across the ends of slabs
+    for slab in (1, 5, 64):
+        monkeypatch.setattr(scanner, "SLAB", slab)
+        one = scanner.Scanner([(k, v) for k, v in (RULES | more).items()])
+        got = [(f"t{i % 2}", i, m["rule_id"], p["identifier"], p["offset"], p["length"]) for i, c in enumerate(contents) for m in one.scan(c)[1] for p in m["patterns"]]
+        assert sorted(got) == sorted(want)
