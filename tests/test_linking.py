@@ -113,6 +113,47 @@ def test_hot_bands_keep_the_first_partners(spark):
     assert {k: sorted(v) for k, v in got.items()} == {i: [j for j in range(300) if j != i][:5] for i in range(300)}
 
 
+def _digests(spark, digests):
+    """Features of artifacts of one class, told by their fuzzy hashes."""
+    return spark.createDataFrame([("t", i, "x", 100, 4.0, d, [], None) for i, d in enumerate(digests)], "tenant_id string, artifact_id long, artifact_class string, size_bytes long, entropy double, fuzzy string, normalized array<struct<name:string,hash:string>>, hint string")
+
+
+def _byte_similar(feature, standing):
+    return {(x.src, x.dst, x.score) for x in linking.link(feature, standing).where("edge_type = 'byte_similar'").collect()}
+
+
+def test_partners_beyond_the_first_are_compared(spark):
+    r = random.Random(6)
+    # a band that all share; only the last four are alike, two and two
+    rows = ["12:ABC" + "".join(r.choices(fuzzy.ALPHABET, k=30)) + ":A" for _ in range(600)]
+    rows += [rows[0][:-9] + "q" * 3 + ":A", "12:ABCnoneofthese12345:B", "12:ABCnoneofthese12346:B", rows[599][:-9] + "z:A"]
+    feature = graph.durable(_digests(spark, rows))
+    want = {(0, 600), (601, 602), (599, 603)}
+    assert {x[:2] for x in _byte_similar(feature, linking.Standing.empty(feature))} == want
+    first = linking.Standing.empty(feature)
+    first = linking.Standing(feature.where("artifact_id < 602"), linking.bands(feature.where("artifact_id < 602")), first.edge, first.group)
+    assert {x[:2] for x in _byte_similar(feature, first)} == {x for x in want if x[1] > 601}
+
+
+def test_bands_and_runs_as_a_plain_version_has_them(spark):
+    r = random.Random(9)
+    half = lambda: "".join(r.choices("AB", (9, 1), k=r.choice((0, 1, 2, 3, 8, 12, 16))))
+    rows = [f"{r.choice((3, 6, 12))}:{half()}:{half()}" for _ in range(110)] + ["3:XYZABABCDEFG:PQ", "6:QQ:XYZABABCDEFG", "192:UVWUVWUVW:K"] + [None, "x:ABCDEFGH:A"]
+    feature = graph.durable(_digests(spark, rows))
+    f = {("t", i): feature_row for i, feature_row in enumerate(feature.orderBy("artifact_id").collect()) if feature_row.fuzzy}
+    ids = range(len(rows))
+    pairs = spark.createDataFrame([("t", a, b) for a in ids for b in ids if a < b], "tenant_id string, src long, dst long")
+    full = {(x.src, x.dst, x.score) for x in similarity.byte_edges(pairs, feature.select(*linking.FEATURE)).collect()}
+    met = {x[1:] for x in _compared(f, list(f), [])}
+    want = {x for x in full if x[:2] in met}
+    assert _byte_similar(feature, linking.Standing.empty(feature)) == want and 0 < len(want) < len(full)
+    uncapped = {(x.src, x.dst) for x in linking.band_candidates(linking.bands(feature), linking.bands(feature)).collect()}
+    with_band = {(a, b) for a, b in uncapped if a < b}
+    assert {(b, a) for a, b in uncapped} == uncapped
+    near = similarity.byte_edges(pairs, feature.select(*linking.FEATURE), banded=True)
+    assert {(x.src, x.dst, x.score) for x in near.collect()} == {x for x in full if x[:2] in with_band}
+
+
 RULES = {
     "a": 'rule a { strings: $x = "needle" $y = "Hay" nocase condition: $x and #y >= 2 }',
     "b": "rule b { strings: $h = { 4D 5A ?? [1-3] 50 } condition: $h }",
