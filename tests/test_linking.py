@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import fuzzy, scalars
 from stratalog.operators import graph, hunts, linking, scanner, similarity
+from stratalog.plans import catalog
 
 
 def _contents(seed, n):
@@ -154,6 +155,29 @@ def test_bands_and_runs_as_a_plain_version_has_them(spark):
     assert {(x.src, x.dst, x.score) for x in near.collect()} == {x for x in full if x[:2] in with_band}
 
 
+def test_edges_and_groups_are_found_without_each_other(spark, monkeypatch):
+    feature = graph.durable(_features(spark, _contents(4, 90)))
+    whole = linking.backfill(feature, 2)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    edges, groups = rows(whole.edge.where("edge_type = 'byte_similar'").drop("links")), rows(whole.group)
+    found, none = linking.merge_groups, lambda *a, **b: pytest.fail("not asked for")
+    monkeypatch.setattr(linking, "merge_groups", none)
+    assert edges and rows(linking.backfill_alike(feature, 2)) == edges
+    monkeypatch.setattr(linking, "merge_groups", found)
+    monkeypatch.setattr(similarity, "byte_edges", none)
+    assert groups and rows(linking.backfill_groups(feature, 2)) == groups
+    assert catalog.queries()["linked_groups"](spark, "/root/testdata/sf0.001").columns == ["tenant_id", "artifact_id", "group_id"]
+
+
+def test_hashes_of_long_slices(monkeypatch):
+    r = random.Random(2)
+    contents = [bytes(r.choices(b"ab \n", k=n)) for n in (0, 1, 7, 300, 5000, 9000)] + [b"\x00" * 4000, bytes(range(256)) * 30]
+    want = [fuzzy.fuzzy_hash(c) for c in contents]
+    for few in (0, 1, 5, 1000):
+        monkeypatch.setattr(fuzzy, "FEW", few)
+        assert fuzzy.fuzzy_hashes(contents) == want
+
+
 RULES = {
     "a": 'rule a { strings: $x = "needle" $y = "Hay" nocase condition: $x and #y >= 2 }',
     "b": "rule b { strings: $h = { 4D 5A ?? [1-3] 50 } condition: $h }",
