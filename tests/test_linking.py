@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import fuzzy, scalars
 from stratalog.operators import graph, hunts, linking, scanner, similarity
-from stratalog.plans import catalog
+from stratalog.plans import catalog, similar
 
 
 def _contents(seed, n):
@@ -333,3 +333,26 @@ def test_evidence_is_that_of_scans(spark, monkeypatch):
         one = scanner.Scanner([(k, v) for k, v in (RULES | more).items()])
         got = [(f"t{i % 2}", i, m["rule_id"], p["identifier"], p["offset"], p["length"]) for i, c in enumerate(contents) for m in one.scan(c)[1] for p in m["patterns"]]
         assert sorted(got) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def costly(spark):
+    """A text that asks for more work than the bound, and rules of which one holds."""
+    rules = [(f"r{i}", f'rule r{i} {{ strings: $a = "ab" condition: #a == {i} }}') for i in range(5000, 10001)]
+    return spark.createDataFrame([("t", 1, b"ab" * 10000)], "tenant_id string, artifact_id long, content binary"), spark.createDataFrame(rules, "rule_id string, source string")
+
+
+def _failing(monkeypatch):
+    of = similar._rules
+    bad = [("item_bad", RULES["bad"]), ("item_null", None)]
+    monkeypatch.setattr(similar, "_rules", lambda spark, sf_dir: of(spark, sf_dir).unionByName(spark.createDataFrame(bad, "rule_id string, source string")))
+
+
+def test_scans_that_show_no_status_hide_no_failure(spark, costly, monkeypatch):
+    content, rules = costly
+    assert scanner.scan(content, rules).first()["status"] == "timeout"
+    found = scanner.scan(content, rules, strict=True).first()
+    assert found["status"] == "matched" and [m.rule_id for m in found["matches"]] == ["r10000"]
+    _failing(monkeypatch)
+    with pytest.raises(hunts.RuleError, match="item_bad .*item_null"):
+        catalog.queries()["rule_scan"](spark, "/root/testdata/sf0.001")
