@@ -356,3 +356,13 @@ def test_scans_that_show_no_status_hide_no_failure(spark, costly, monkeypatch):
     _failing(monkeypatch)
     with pytest.raises(hunts.RuleError, match="item_bad .*item_null"):
         catalog.queries()["rule_scan"](spark, "/root/testdata/sf0.001")
+
+
+def test_evidence_hides_no_failure(spark, costly, monkeypatch):
+    content, rules = costly
+    assert scanner.evidence(content, rules).count() == 0
+    places = scanner.evidence(content, rules, strict=True).collect()
+    assert [(x.rule_id, x.offset) for x in places] == [("r10000", 2 * i) for i in range(scanner.MOST_EVIDENCE)]
+    _failing(monkeypatch)
+    with pytest.raises(hunts.RuleError, match="item_bad .*item_null"):
+        catalog.queries()["rule_evidence"](spark, "/root/testdata/sf0.001")
